@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -22,3 +24,24 @@ def local_session(name: str = "weftgraph", cpus: str | None = None, partitions:
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+_shipped: dict[str, str] = {}
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the executors' Python workers: once for each Spark application, as a
+    zip that Spark's own file server hands out."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="weftgraph-"), "weftgraph.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(here):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("weftgraph", os.path.relpath(full, here)))
+    sc.addPyFile(path)
+    _shipped[sc.applicationId] = path
