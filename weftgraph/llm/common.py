@@ -1,14 +1,14 @@
-"""Shared helpers: reading tables, the shared folder, let-bindings for SQL expressions."""
+"""Shared helpers: reading tables, let-bindings for SQL expressions, slices of bounded size."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir, stage  # noqa: F401
+
 #: The white space that separates words, as characters.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -17,25 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder all executors share; a temporary one only where the session names none."""
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir") or spark.conf.get("weftgraph.shared.dir", "")
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='weftgraph-')}"
-        spark.conf.set("weftgraph.shared.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a narrow intermediate table to the shared folder and read it back: it is made once and
-    survives the loss of any executor."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value evaluated once however often body uses it."""
     return F.transform(F.array(value), body)[0]
