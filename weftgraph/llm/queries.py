@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, host_rules, near_dup, packing, warc
+from . import chat, decontaminate, host_rules, language, near_dup, packing, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,8 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN s USING (r)
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = near_dup.near_duplicates(table(spark, sf_dir, "documents"), 0.8)
     return classes.select("doc_id", "class_id")
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
