@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, context_tree, decontaminate, host_rules, language, main_text, near_dup, packing, warc
+from . import chat, context_tree, decontaminate, host_rules, language, main_text, near_dup, packing, perplexity, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,8 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = context_tree.score_documents(table(spark, sf_dir, "documents"))
     return context_tree.code_length_per_byte(scored).drop("n_bytes")
+
+
+@query
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.quality_by_perplexity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
