@@ -52,40 +52,70 @@ def canonical(text: str | None) -> bytes:
 def pairs(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(context, byte) of every byte of the documents in turn, and the document of each."""
     pad = b"\n" * DEPTH
-    raw = np.frombuffer(b"".join(x for d in docs for x in (pad, d)), np.uint8)
+    raw = b"".join([b"\n" * (7 - DEPTH), *(x for d in docs for x in (pad, d))])
     sizes = np.array([len(d) for d in docs], np.int64)
-    doc = np.repeat(np.arange(len(docs)), sizes)
-    at = np.arange(int(sizes.sum())) + DEPTH * (doc + 1)
-    wide = raw.astype(_U)
-    key = wide.copy()
-    for k in range(1, DEPTH + 1):
-        key[k:] |= wide[:-k] << _U(8 * (DEPTH + 1 - k))
-    return key[at], doc
+    if not len(sizes):
+        return np.empty(0, _U), np.empty(0, np.int32)
+    # eight bytes at every place as one number: the byte itself is on top, the one before it next, and so on
+    wide = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+    real = np.ones(len(wide), bool)
+    begins = np.concatenate([[0], np.cumsum(sizes + DEPTH)[:-1]]) - 7 + 7 - DEPTH
+    for k in range(DEPTH):
+        at = begins + k
+        real[at[at >= 0]] = False
+    wide = wide[real]
+    byte = wide >> _U(56)
+    wide &= _U((1 << 56) - (1 << 8 * (7 - DEPTH)))
+    wide |= byte
+    return wide, np.repeat(np.arange(len(docs), dtype=np.int32), sizes)
 
 
 _TABLE = np.random.default_rng(20).integers(1, 2**63, 256).astype(_U) * _U(2) + _U(1)
+_STEP = 0x9E3779B97F4A7C15
+_powers = [np.ones(1, _U), np.ones(1, _U)]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """The first n powers of the step and of its inverse, modulo 2 ** 64."""
+    if len(_powers[0]) < n:
+        for i, base in enumerate((_STEP, pow(_STEP, -1, 2**64))):
+            steps = np.full(n, base, _U)
+            steps[0] = 1
+            _powers[i] = np.cumprod(steps)
+    return _powers
 
 
 def word_hashes(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every token, the end among them, and its document."""
+    """Hash of every token and its document; the words of all documents come first, then their ends. A word's
+    hash is a difference of running sums, moved back to place zero."""
     raw = np.frombuffer(b"".join(docs), np.uint8)
     sizes = np.array([len(d) for d in docs], np.int64)
-    doc = np.repeat(np.arange(len(docs)), sizes)
-    inside = (raw != 32) & (raw != 10)
-    start = np.flatnonzero(inside & np.append(True, ~inside[:-1]))
-    end = np.flatnonzero(raw == 10)
-    if len(start):
-        at = np.flatnonzero(inside)
-        first = np.searchsorted(at, start)
-        place = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
-        with np.errstate(over="ignore"):
-            power = np.cumprod(np.full(int(place.max()) + 1, 0x9E3779B97F4A7C15, _U))
-            h = np.add.reduceat(_TABLE[raw[at]] * power[place], first)
-            h = (h ^ (h >> _U(31))) * _U(0xBF58476D1CE4E5B9)
-            h ^= h >> _U(29)
-    else:
-        h = np.empty(0, _U)
-    return np.concatenate([h, np.full(len(end), END_WORD)]), np.concatenate([doc[start], doc[end]])
+    gap = np.flatnonzero((raw == 32) | (raw == 10))
+    start, stop = np.append(0, gap[:-1] + 1)[: len(gap)], gap
+    real = stop > start
+    start, stop = start[real], stop[real]
+    doc = np.searchsorted(np.cumsum(sizes), start, "right").astype(np.int32)
+    up, down = powers(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, _U)
+    np.cumsum(_TABLE[raw] * up[: len(raw)], out=sums[1:])
+    h = (sums[stop] - sums[start]) * down[start]
+    h = (h ^ (h >> _U(31))) * _U(0xBF58476D1CE4E5B9)
+    h ^= h >> _U(29)
+    return np.concatenate([h, np.full(len(docs), END_WORD)]), np.concatenate([doc, np.arange(len(docs), dtype=np.int32)])
+
+
+class Ranked:
+    """The distinct keys of a slice, sorted, and how to add up values of theirs by document."""
+
+    def __init__(self, keys: np.ndarray, doc: np.ndarray):
+        order = np.argsort(keys)
+        ranked = keys[order]
+        fresh = np.append(True, ranked[1:] != ranked[:-1]) if len(ranked) else np.empty(0, bool)
+        self.keys, self.which, self.doc = ranked[fresh], np.cumsum(fresh, dtype=np.int32) - 1, doc[order]
+
+    def add(self, value: np.ndarray, docs: int) -> np.ndarray:
+        """Sums by document; value: of each distinct key."""
+        return np.bincount(self.doc, weights=value[self.which], minlength=docs)
 
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -209,8 +239,10 @@ class Top:
         return out
 
 
-def _distinct(parts: list[np.ndarray]) -> np.ndarray:
-    return np.unique(np.concatenate(parts)) if parts else np.empty(0, _U)
+def distinct(*parts: np.ndarray) -> np.ndarray:
+    """Sorted distinct keys. np.unique would hash them first, which takes many times as long as sorting."""
+    k = np.sort(np.concatenate(parts)) if parts else np.empty(0, _U)
+    return k[np.append(True, k[1:] != k[:-1])] if len(k) else k
 
 
 def count_pairs(docs: DataFrame, shards: int) -> DataFrame:
@@ -293,9 +325,9 @@ def score_documents(docs: DataFrame, train: Column | None = None, block_bytes: i
     def ask(p: pd.DataFrame) -> pd.DataFrame:
         keys, words = [], []
         for _, docs_ in canonical_docs(p):
-            keys.append(np.unique(pairs(docs_)[0]))
-            words.append(np.unique(word_hashes(docs_)[0]))
-        keys, words = _distinct(keys), _distinct(words)
+            keys.append(distinct(pairs(docs_)[0]))
+            words.append(distinct(word_hashes(docs_)[0]))
+        keys, words = distinct(*keys), distinct(*words)
         a, b = by_shard(keys, shard_of(keys, shards), shards), by_shard(words, words % _U(shards), shards)
         out = [(s, pack_sorted(keys[i]), pack_sorted(words[j])) for s, (i, j) in enumerate(zip(a, b, strict=True)) if len(i) or len(j)]
         return pd.DataFrame(out, columns=["shard", "keys", "words"]).assign(block=int(p["block"].iloc[0]))
@@ -305,7 +337,7 @@ def score_documents(docs: DataFrame, train: Column | None = None, block_bytes: i
         keys, counts = (unpack_sorted(model["keys"].iloc[0]), unpack_counts(model["counts"].iloc[0])) if len(model) else blank
         words, times = (unpack_sorted(model["words"].iloc[0]), unpack_counts(model["word_counts"].iloc[0])) if len(model) else blank
         wanted = [unpack_sorted(x) for x in asked["keys"]]
-        every = _distinct(wanted)
+        every = distinct(*wanted)
         trees = Subtrees(keys, counts)
         value = np.concatenate([top.log10(every[i : i + 500_000], trees) for i in range(0, len(every), 500_000)]) if len(every) else np.empty(0)
         out = []
@@ -319,9 +351,8 @@ def score_documents(docs: DataFrame, train: Column | None = None, block_bytes: i
 
     def add_up(p: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         answered = {r.shard: (r.values_, r.times) for r in answers.rename(columns={"values": "values_"}).itertuples()}
-        parts = list(canonical_docs(p))
-        keys = _distinct([np.unique(pairs(d)[0]) for _, d in parts])
-        words = _distinct([np.unique(word_hashes(d)[0]) for _, d in parts])
+        parts = [(at, [len(d) for d in docs_], Ranked(*pairs(docs_)), Ranked(*word_hashes(docs_))) for at, docs_ in canonical_docs(p)]
+        keys, words = distinct(*(k.keys for _, _, k, _ in parts)), distinct(*(w.keys for _, _, _, w in parts))
         value, times = np.zeros(len(keys)), np.zeros(len(words), np.int64)
         places = zip(by_shard(keys, shard_of(keys, shards), shards), by_shard(words, words % _U(shards), shards), strict=True)
         for s, (i, j) in enumerate(places):
@@ -330,17 +361,13 @@ def score_documents(docs: DataFrame, train: Column | None = None, block_bytes: i
         n = len(p)
         score, base, n_tokens, n_known, n_bytes = (np.zeros(n) for _ in range(5))
         log_base = np.where(times > 0, np.log10((times + 0.5) / (tokens + 0.5 * (types + 1))), unseen)
-        for at, docs_ in parts:
-            key, doc_ = pairs(docs_)
-            order = np.argsort(key)
-            score[at] = np.bincount(doc_[order], weights=value[np.searchsorted(keys, key[order])], minlength=len(at))
-            word, doc_ = word_hashes(docs_)
-            order = np.argsort(word)
-            found = np.searchsorted(words, word[order])
-            base[at] = np.bincount(doc_[order], weights=log_base[found], minlength=len(at))
-            n_known[at] = np.bincount(doc_[order], weights=times[found] > 0, minlength=len(at))
-            n_tokens[at] = np.bincount(doc_, minlength=len(at))
-            n_bytes[at] = [len(d) for d in docs_]
+        for at, sizes, k, w in parts:
+            found = np.searchsorted(words, w.keys)
+            score[at] = k.add(value[np.searchsorted(keys, k.keys)], len(at))
+            base[at] = w.add(log_base[found], len(at))
+            n_known[at] = w.add((times[found] > 0).astype(float), len(at))
+            n_tokens[at] = np.bincount(w.doc, minlength=len(at))
+            n_bytes[at] = sizes
         return pd.DataFrame({
             "doc_id": p["doc_id"].astype("Int64"), "held_out": p["held_out"], "n_tokens": n_tokens.astype(np.int64), "n_known": n_known.astype(np.int64),
             "train_tokens": tokens, "base_score": base, "score": score, "n_bytes": n_bytes.astype(np.int64),
