@@ -15,8 +15,8 @@ def edge_id(u: Column, v: Column) -> Column:
 
 def normalise_edge_id(text: Column) -> Column:
     """`b|a` to `a|b`; null unless there are exactly two non-blank parts."""
-    parts = F.transform(F.split(text, "\\|"), F.trim)
-    good = (F.size(parts) == 2) & (parts[0] != "") & (parts[1] != "")
+    parts = F.transform(F.split(text, "\\|"), lambda t: F.trim(t))
+    good = (F.size(parts) == 2) & (F.get(parts, F.lit(0)) != "") & (F.get(parts, F.lit(1)) != "")
     return F.when(good, edge_id(F.try_element_at(parts, F.lit(1)), F.try_element_at(parts, F.lit(2))))
 
 
@@ -84,7 +84,7 @@ def hash32(text: Column, bits: int = 32) -> Column:
 
 def string_angle(a: Column, b: Column) -> Column:
     """A direction in [0, 2 pi) fixed by two ids: a 31-multiplier hash modulo 2 ** 32."""
-    codes = F.transform(F.split(F.concat_ws("|", a, b), ""), F.ascii)
+    codes = F.transform(F.split(F.concat_ws("|", a, b), ""), lambda t: F.ascii(t))
     h = F.aggregate(codes, F.lit(0).cast("long"), lambda s, c: F.pmod(s * 31 + c, F.lit(1 << 32).cast("long")))
     return h / F.lit(float(1 << 32)) * F.lit(2) * F.pi()
 

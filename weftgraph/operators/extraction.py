@@ -39,8 +39,10 @@ def component_of(adj: DataFrame, root) -> DataFrame:
 class Neighbours:
     """Neighbour lists on demand, a batch per join, kept on the driver; heaviest first, then by id."""
 
-    def __init__(self, adj: DataFrame):
-        self.adj = adj.select("src", "dst", F.col("weight").cast("float").alias("weight"))
+    def __init__(self, adj: DataFrame, stored: bool = False):
+        """stored: adj is a table (bucketed by src, at best) and need not be staged."""
+        narrow = adj.select("src", "dst", F.col("weight").cast("float").alias("weight"))
+        self.adj = narrow if stored else stage(narrow, "adjacency")
         self.kind = dict(adj.dtypes)["src"]
         self.held: dict = {}
 
@@ -145,10 +147,10 @@ def _stitch(near: Neighbours, chosen: dict, budget: int) -> int:
     return budget
 
 
-def extract_nodes(adj: DataFrame, seeds: list, max_nodes: int = 500, local_fraction: float = 0.3, stitch: bool = True) -> Extraction:
+def extract_nodes(adj: DataFrame, seeds: list, max_nodes: int = 500, local_fraction: float = 0.3, stitch: bool = True, stored: bool = False) -> Extraction:
     """Nodes around the seeds: first each seed in turn takes its best neighbours up to a quota, then parts are
     stitched, then the rest of the budget goes to the nodes whose best weights to the seeds add up highest."""
-    near = Neighbours(adj)
+    near = Neighbours(adj, stored)
     near.fetch(seeds)
     out = Extraction()
     seeds = list(dict.fromkeys(seeds))
@@ -231,9 +233,9 @@ def induced(adj: DataFrame, ids: DataFrame) -> DataFrame:
     return x.groupBy(F.col("src").alias("node1"), F.col("dst").alias("node2")).agg(F.max("weight").alias("weight"))
 
 
-def extract(adj: DataFrame, seeds: list, max_nodes: int = 500, local_fraction: float = 0.3, stitch: bool = True) -> tuple[DataFrame, Extraction]:
+def extract(adj: DataFrame, seeds: list, max_nodes: int = 500, local_fraction: float = 0.3, stitch: bool = True, stored: bool = False) -> tuple[DataFrame, Extraction]:
     """Edges of the extracted subnetwork, and what was chosen."""
-    got = extract_nodes(adj, seeds, max_nodes, local_fraction, stitch)
+    got = extract_nodes(adj, seeds, max_nodes, local_fraction, stitch, stored)
     ids = adj.sparkSession.createDataFrame([(x,) for x in got.nodes], f"id {dict(adj.dtypes)['src']}")
     return induced(adj, F.broadcast(ids)), got
 

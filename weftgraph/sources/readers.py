@@ -4,6 +4,8 @@ edges, partitions, metrics, mappings, matrices, binary adjacency. Schemas are ex
 
 from __future__ import annotations
 
+from fnmatch import fnmatch
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,24 +25,35 @@ def lines(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
 
 def numbered(spark: SparkSession, path: str) -> DataFrame:
     """file, line, text with line numbers: each file is one row on its way, so only for files that fit a task."""
-    x = spark.read.option("wholetext", "true").text(path)
+    x = spark.read.text(path, wholetext=True)
     each = x.select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\\r?\\n")).alias("line", "text"))
     return each.select("file", (F.col("line") + 1).alias("line"), "text")
 
 
-def fields(text: Column, at_most: int = 12) -> Column:
-    """Cells of a CSV line, quotes doubled inside quotes, trimmed; absent cells are dropped, so ragged lines
-    keep their number of cells."""
-    schema = ", ".join(f"c{i} string" for i in range(at_most))
-    row = F.from_csv(text, schema, {"escape": '"', "quote": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "nullValue": "\u0000", "emptyValue": "", "mode": "PERMISSIVE"})
-    return F.filter(F.array(*[row[f"c{i}"] for i in range(at_most)]), lambda c: c.isNotNull())
+def fields(text: Column) -> Column:
+    """Cells of a CSV line, quotes doubled inside quotes, trimmed; ragged lines keep their number of cells."""
+    cells = F.regexp_extract_all(F.concat(F.lit(","), text), F.lit(r',\s*("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+
+    def plain(c: Column) -> Column:
+        t = F.trim(c)
+        quoted = F.startswith(t, F.lit('"')) & F.endswith(t, F.lit('"')) & (F.length(t) > 1)
+        return F.when(quoted, F.replace(F.substr(t, F.lit(2), F.length(t) - 2), F.lit('""'), F.lit('"'))).otherwise(t)
+
+    return F.transform(cells, plain)
+
+
+def file_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the files in a folder, empty ones too, from its store's listing."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return sorted(f.getPath().getName() for f in found if f.isFile())
 
 
 def network(spark: SparkSession, path: str) -> DataFrame:
     """source, node1, node2, weight: lines of three cells or more, a finite weight and two ends."""
     c = fields(F.col("text"))
     x = lines(spark, path).select(F.col("file").alias("source"), c.alias("c")).filter(F.size("c") >= 3)
-    x = x.select("source", F.trim(F.col("c")[0]).alias("node1"), F.trim(F.col("c")[1]).alias("node2"), finite_number(F.col("c")[2]).alias("weight"))
+    x = x.select("source", F.trim(F.get("c", F.lit(0))).alias("node1"), F.trim(F.get("c", F.lit(1))).alias("node2"), finite_number(F.get("c", F.lit(2))).alias("weight"))
     return x.filter("node1 <> '' AND node2 <> '' AND weight IS NOT NULL")
 
 
@@ -51,16 +64,16 @@ def first_line(spark: SparkSession, path: str) -> str | None:
 
 def one_file(spark: SparkSession, folder: str, pattern: str) -> str:
     """The only file of a folder that fits; any other number is an error."""
-    names = [r["path"] for r in spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path").take(2)]
+    names = [n for n in file_names(spark, folder) if fnmatch(n, pattern)]
     if len(names) != 1:
         raise ValueError(f"{'no' if not names else 'more than one'} file {pattern} in {folder}")
-    return names[0]
+    return f"{folder}/{names[0]}"
 
 
 def node_attributes(spark: SparkSession, path: str) -> DataFrame:
     """file, line, id, taxid, nh_id, nh_size: nine cells by place, the first four named in the header."""
     x = numbered(spark, path)
-    heads = x.filter("line = 1").select("file", F.transform(F.split("text", ","), F.trim).alias("h"))
+    heads = x.filter("line = 1").select("file", F.transform(F.split("text", ","), lambda t: F.trim(t)).alias("h"))
     bad = heads.filter(F.slice("h", 1, 4) != F.array(*map(F.lit, ATTRIBUTE_HEADER))).limit(1).collect()
     if bad:
         raise ValueError(f"{bad[0]['file']}: the header does not begin with {', '.join(ATTRIBUTE_HEADER)}")
@@ -99,7 +112,7 @@ def fasta_name(header: Column) -> Column:
     """Name of a header: up to white space, the accession of sp|X| and tr|X| names, 64 letters at most."""
     word = F.substring_index(F.regexp_replace(header, "\t", " "), " ", 1)
     parts = F.split(word, "\\|")
-    named = (F.size(parts) == 3) & parts[0].isin("sp", "tr")
+    named = (F.size(parts) == 3) & F.get(parts, F.lit(0)).isin("sp", "tr")
     return F.substring(F.when(named, F.try_element_at(parts, F.lit(2))).otherwise(word), 1, 64)
 
 
@@ -154,16 +167,16 @@ def points(spark: SparkSession, path: str) -> DataFrame:
     """query_id (file name), hit_id, x, y: tabs, commas or spaces, by line; other lines are headers."""
     t = F.trim("text")
     parts = F.when(F.contains(t, F.lit("\t")), F.split(t, "\t")).when(F.contains(t, F.lit(",")), F.split(t, ",")).otherwise(F.split(t, "\\s+"))
-    x = lines(spark, path).select(F.regexp_replace("file", r"\.(csv|tsv|txt)$", "").alias("query_id"), F.transform(parts, F.trim).alias("c")).filter(F.size("c") >= 3)
-    x = x.select("query_id", F.col("c")[0].alias("hit_id"), finite_number(F.nullif(F.col("c")[1], F.lit(""))).alias("x"), finite_number(F.nullif(F.col("c")[2], F.lit(""))).alias("y"))
+    x = lines(spark, path).select(F.regexp_replace("file", r"\.(csv|tsv|txt)$", "").alias("query_id"), F.transform(parts, lambda t: F.trim(t)).alias("c")).filter(F.size("c") >= 3)
+    x = x.select("query_id", F.get("c", F.lit(0)).alias("hit_id"), finite_number(F.nullif(F.get("c", F.lit(1)), F.lit(""))).alias("x"), finite_number(F.nullif(F.get("c", F.lit(2)), F.lit(""))).alias("y"))
     return x.filter("x IS NOT NULL AND y IS NOT NULL")
 
 
 def signals(spark: SparkSession, folder: str, hidden: bool = False) -> tuple[DataFrame, DataFrame]:
     """protein, signal of a folder of one file per protein, and protein, status (ok or empty) of every file."""
-    glob = {} if hidden else {"pathGlobFilter": "[!.]*"}
-    files = spark.read.format("binaryFile").options(**glob).load(folder).select(F.element_at(F.split("path", "/"), -1).alias("protein"), "length")
-    x = spark.read.options(**glob).text(folder).select(F.col("_metadata.file_name").alias("protein"), F.trim("value").alias("signal")).filter("signal <> ''").distinct()
+    names = [n for n in file_names(spark, folder) if hidden or not n.startswith(".")]
+    files = spark.createDataFrame([(n,) for n in names], "protein string")
+    x = spark.read.text([f"{folder}/{n}" for n in names if n[0] in "._"] + [folder]).select(F.col("_metadata.file_name").alias("protein"), F.trim("value").alias("signal")).filter("signal <> ''").distinct()
     some = x.select("protein").distinct().withColumn("some", F.lit(True))
     status = files.join(some, "protein", "left").select("protein", F.when(F.col("some").isNull(), "empty").otherwise("ok").alias("status"))
     return x, status
@@ -223,7 +236,7 @@ def id_list(spark: SparkSession, path: str, upper: bool = True) -> DataFrame:
 
 def complete_indexes(spark: SparkSession, folder: str) -> DataFrame:
     """prefix of the indexes all of whose three files are there, in order."""
-    x = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("f"))
+    x = spark.createDataFrame([(n,) for n in file_names(spark, folder)], "f string")
     kind = F.regexp_extract("f", r"\.(adj\.bin|adj\.index\.bin|node_ids\.tsv)$", 1)
     y = x.select(kind.alias("kind"), F.regexp_replace("f", r"\.(adj\.bin|adj\.index\.bin|node_ids\.tsv)$", "").alias("prefix")).filter("kind <> ''")
     return y.groupBy("prefix").agg(F.countDistinct("kind").alias("n")).filter("n = 3").select("prefix").orderBy("prefix")
