@@ -45,6 +45,7 @@ BOILER_WORDS = frozenset(
 )
 CONTENT_WORDS = frozenset("article content post entry story main body text articlebody postcontent maincontent".split())
 PARENT_LESS = frozenset("p li dt dd option tr td th".split())  # a second one closes the first
+_CUT_OFF = re.compile(r"<[!/?a-zA-Z]")
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
 
 
@@ -278,6 +279,8 @@ def extract(html: str | None, costs: Costs = Costs()) -> str:
         return ""
     page = Page()
     page.feed(html)
+    if _CUT_OFF.match(page.rawdata):  # a tag or comment that never ends is no text
+        page.rawdata = ""
     page.close()
     page.flush()
     return "\n".join(b.text for b, keep in zip(page.blocks, label(page, costs), strict=True) if keep)
