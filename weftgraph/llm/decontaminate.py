@@ -218,11 +218,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words
         parts = (b.iloc[cut] for b in batches for cut in slices([len(t or "") for t in b["text"]], SHARD_CHARS))
         for b in parts:
             words = [split_words(t) for t in b["text"]]
-            ids = b["doc_id"].astype("Int64").to_numpy()
+            ids = b["doc_id"].astype("Int64").array
             for block in _each(blocks):
                 doc, start, which = search(block, words)
+                if not len(doc):
+                    continue
                 count = block.first[which + 1] - block.first[which]
-                at = np.repeat(block.first[which] - np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64), count) + np.arange(int(count.sum())) if len(which) else np.empty(0, np.int64)
+                at = np.repeat(block.first[which] - np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64), count) + np.arange(int(count.sum()))
                 d, s, n = np.repeat(doc, count), np.repeat(start, count), np.repeat(block.lengths[which], count)
                 item, place = block.shown[at, 0], block.shown[at, 1]
                 order = np.lexsort((s, s - place, item, d))
@@ -231,7 +233,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words
                 new[1:] = (np.diff(d) != 0) | (np.diff(item) != 0) | (np.diff(s) != 1) | (np.diff(place) != 1)
                 heads = np.flatnonzero(new)
                 tails = np.append(heads[1:], len(d)) - 1
-                yield pd.DataFrame({"doc_id": ids[d[heads]], "item_id": [block.items[i] for i in item[heads]], "start": s[heads], "item_start": place[heads], "n_words": s[tails] + n[tails] - s[heads] if len(heads) else []})
+                yield pd.DataFrame({"doc_id": ids[d[heads]], "item_id": [block.items[i] for i in item[heads]], "start": s[heads], "item_start": place[heads], "n_words": s[tails] + n[tails] - s[heads]})
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, MATCHES)
 

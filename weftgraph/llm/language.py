@@ -241,15 +241,17 @@ def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             for cut in slices([len(t or "") for t in b["text"]], PATH_CHARS):
                 part = b.iloc[cut]
                 text, size, label, _ = shared.value.label(part["text"].tolist())
+                if not len(text):
+                    continue
                 fresh = np.ones(len(text), bool)
                 fresh[1:] = (text[1:] != text[:-1]) | (label[1:] != label[:-1])
                 head = np.flatnonzero(fresh)
                 owner = text[head]
                 begin = np.searchsorted(text, owner)
                 yield pd.DataFrame({
-                    "doc_id": part["doc_id"].astype("Int64").to_numpy()[owner], "span": np.arange(len(head)) - np.searchsorted(owner, owner),
+                    "doc_id": part["doc_id"].astype("Int64").array[owner], "span": np.arange(len(head)) - np.searchsorted(owner, owner),
                     "lang": [shared.value.langs[i] for i in label[head]], "first_word": head - begin,
-                    "n_words": np.diff(np.append(head, len(text))), "letters": np.add.reduceat(size, head) if len(head) else [],
+                    "n_words": np.diff(np.append(head, len(text))), "letters": np.add.reduceat(size, head),
                 })
 
     ship(docs.sparkSession)
