@@ -193,3 +193,15 @@ def test_validation():
     for bad in (lambda: validation.seeds(""), lambda: validation.max_nodes(9999), lambda: validation.csv_name("../x"), lambda: validation.ranges([(0.5, 0.5)]), lambda: validation.edge_ids(["a"]), lambda: validation.groups([{"name": "g"}])):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_coarsened_communities_equal_planted_groups(spark):
+    rng = np.random.default_rng(1)
+    e = [(f"n{a:02}", f"n{b:02}", 1.0) for a in range(60) for b in range(a + 1, 60) if rng.random() < (0.6 if a // 15 == b // 15 else 0.02)]
+    df = spark.createDataFrame(e + [("x", "y", 1.0)], "node1 string, node2 string, weight double")
+    got = communities.communities(df, local_edges=100)
+    groups = {}
+    for r in got.collect():
+        groups.setdefault(r["cluster_id"], set()).add(r["node"][0] + (str(int(r["node"][1:]) // 15) if r["node"][0] == "n" else ""))
+    assert got.count() == 62 and all(len({g[0] + g[1:] for g in v} - {"y"}) == 1 for v in groups.values() if v != {"x", "y"})
+    assert communities.modularity(df, got) > 0.5

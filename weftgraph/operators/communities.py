@@ -162,9 +162,48 @@ def _by_size(label: np.ndarray) -> np.ndarray:
     return rank[part]
 
 
-def communities(edges: DataFrame, nodes: DataFrame | None = None, resolution: float = 1.0, seed: int = 42, iterations: int = 10) -> DataFrame:
-    """node, cluster_id over all nodes: each connected component is one task's work, since no community spans
-    two; nodes without edges are clusters of their own. Ids are component and community, dotted."""
+def coarsen(edges: DataFrame, resolution: float = 1.0, rounds: int = 12) -> DataFrame:
+    """node, part: one level of local moves as joins, for graphs no task can hold.
+
+    In a round every node weighs the communities next to it (one grouped sum over the edges) and moves to the
+    best; only half of the nodes, by a hash that changes with the round, may move at once, so that neighbours do
+    not swap for ever. Communities are then cut into their connected parts. Hubs and large communities meet in
+    narrow sums that are combined before the shuffle. edges: node1, node2, weight, loops allowed."""
+    both = edges.filter("node1 <> node2").select(F.col("node1").alias("u"), F.col("node2").alias("v"), F.col("weight").cast("double").alias("w"))
+    both = stage(both.union(both.select("v", "u", "w")), "moves-edges")
+    loops = edges.filter("node1 = node2").select(F.col("node1").alias("u"), (F.col("weight") * 2.0).alias("w"))
+    degree = stage(both.select("u", "w").union(loops).groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k")), "degrees")
+    total = degree.agg(F.sum("k")).collect()[0][0] or 0.0
+    label = stage(degree.select("node", "k", F.col("node").alias("part")), "labels")
+    quiet = 0
+    for r in range(rounds):
+        weight = label.groupBy("part").agg(F.sum("k").alias("all"))
+        next_to = both.join(label.select(F.col("node").alias("v"), "part"), "v").groupBy(F.col("u").alias("node"), "part").agg(F.sum("w").alias("to"))
+        options = next_to.join(weight, "part").join(label.select("node", "k", F.col("part").alias("own")), "node")
+        here = F.col("part") == F.col("own")
+        gain = F.col("to") - F.lit(resolution / total) * F.col("k") * (F.col("all") - F.when(here, F.col("k")).otherwise(0.0)) if total else F.lit(0.0)
+        best = options.groupBy("node").agg(F.max(F.struct(gain.alias("gain"), "part")).alias("b"), F.max(F.when(here, gain)).alias("stay"))
+        turn = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0
+        moved = label.join(best, "node", "left")
+        base = label.join(weight, "part").select("node", (-F.lit(resolution / total) * F.col("k") * (F.col("all") - F.col("k")) if total else F.lit(0.0)).alias("leave"))
+        moved = moved.join(base, "node")
+        better = turn & (F.col("b.gain") > F.coalesce("stay", "leave") + 1e-12)
+        new = stage(moved.select("node", "k", F.when(better, F.col("b.part")).otherwise(F.col("part")).alias("part"), F.coalesce(better & (F.col("b.part") != F.col("part")), F.lit(False)).alias("moved")), "labels")
+        label = new.select("node", "k", "part")
+        quiet = quiet + 1 if new.filter("moved").isEmpty() else 0
+        if quiet == 2:
+            break
+    inner = both.join(label.select(F.col("node").alias("u"), F.col("part").alias("p")), "u").join(label.select(F.col("node").alias("v"), F.col("part").alias("q")), "v").filter("p = q")
+    joined = connected_components(inner, "u", "v")
+    return label.select("node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("part"))
+
+
+def communities(edges: DataFrame, nodes: DataFrame | None = None, resolution: float = 1.0, seed: int = 42, iterations: int = 10, local_edges: int = 2_000_000) -> DataFrame:
+    """node, cluster_id over all nodes; nodes without edges are clusters of their own. Ids are component and
+    community, dotted.
+
+    No community spans two connected components, so a component is one task's work, unless it has more than
+    `local_edges` edges: such components are first coarsened by joins, level by level, until they are small."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         names = np.unique(np.concatenate([p["node1"], p["node2"]]))
@@ -174,10 +213,32 @@ def communities(edges: DataFrame, nodes: DataFrame | None = None, resolution: fl
         return pd.DataFrame({"node": names, "cluster_id": [f"{names[0]}.{c}" for c in label]})
 
     ship(edges.sparkSession)
-    parts = connected_components(edges)
-    own = edges.filter("node1 <> node2").select("node1", "node2", F.col("weight").cast("double").alias("weight")).join(parts.select(F.col("node").alias("node1"), "component"), "node1")
     kind = dict(edges.dtypes)["node1"]
-    found = own.groupBy("component").applyInPandas(lambda p: run(p), f"node {kind}, cluster_id string")
+    own = edges.filter("node1 <> node2").select("node1", "node2", F.col("weight").cast("double").alias("weight"))
+    parts = connected_components(own)
+    own = stage(own.join(parts.select(F.col("node").alias("node1"), "component"), "node1"), "component-edges")
+    up = None  # node, part: what the levels so far have joined
+    while True:
+        large = own.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > local_edges).select("component")
+        large = stage(large, "large")
+        if large.isEmpty():
+            break
+        big = own.join(large, "component", "left_semi")
+        level = stage(coarsen(big, resolution), "level")
+        a, b = level.select(F.col("node").alias("node1"), F.col("part").alias("a")), level.select(F.col("node").alias("node2"), F.col("part").alias("b"))
+        merged = big.join(a, "node1").join(b, "node2").groupBy("component", F.least("a", "b").alias("node1"), F.greatest("a", "b").alias("node2")).agg(F.sum("weight").alias("weight"))
+        before, merged = big.count(), stage(merged.select("node1", "component", "node2", "weight"), "merged")
+        small = own.join(large, "component", "left_anti")
+        own = stage(small.select("node1", "component", "node2", "weight").union(merged), "component-edges")
+        step = level if up is None else up.join(level.select(F.col("node").alias("part"), F.col("part").alias("to")), "part", "left").select("node", F.coalesce("to", "part").alias("part"))
+        up = stage(step if up is None else step.union(level.join(up.select("node"), "node", "left_anti")), "up")
+        if merged.count() >= before:
+            break  # nothing joins any more: the level is the answer for these components
+    found = own.select("component", "node1", "node2", "weight").groupBy("component").applyInPandas(lambda p: run(p), f"node {kind}, cluster_id string")
+    if up is not None:
+        found = stage(found, "found")
+        lower = up.join(found.withColumnRenamed("node", "part"), "part").select("node", "cluster_id")
+        found = lower.union(found.join(up.select("node"), "node", "left_anti"))
     if nodes is None:
         return found
     alone = nodes.select(F.col("id").alias("node")).join(found.select("node"), "node", "left_anti")

@@ -76,14 +76,11 @@ def payload(edges: DataFrame, edit: Edit) -> DataFrame:
 
 def statistics(nodes: DataFrame, edges: DataFrame, edit: Edit) -> DataFrame:
     """One row: nodes, hidden_nodes, edges, visible_edges."""
-    n = nodes.agg(F.count(F.lit(1)).alias("nodes"))
-    h = nodes.join(edit.nodes, "id", "left_semi").agg(F.count(F.lit(1)).alias("hidden_nodes"))
-    e = edges.agg(F.count(F.lit(1)).alias("edges"))
-    v = visible_edges(edges, edit).agg(F.count(F.lit(1)).alias("visible_edges"))
-    out = n
-    for one in (h, e, v):  # one row each
-        out = out.join(F.broadcast(one))
-    return out
+    one = F.count(F.lit(1))
+    hidden_nodes = nodes.join(edit.nodes, "id", "left_semi").agg(one).scalar()
+    return nodes.agg(one.alias("nodes")).select(
+        "nodes", hidden_nodes.alias("hidden_nodes"), edges.agg(one).scalar().alias("edges"), visible_edges(edges, edit).agg(one).scalar().alias("visible_edges")
+    )
 
 
 def below(edges: DataFrame, weight: float) -> DataFrame:

@@ -31,17 +31,15 @@ def subtract(ranges: DataFrame, low: float, high: float) -> DataFrame:
 def hidden(edges: DataFrame, ranges: DataFrame, weight: str = "weight") -> DataFrame:
     """Edges whose weight lies in a range; other columns as they are. The ranges are merged first and are few
     (at most a thousand by the rules of an edit), so they go to all edges as one array."""
-    few = merge(ranges).agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
-    x = edges.join(F.broadcast(few))
+    few = merge(ranges).agg(F.collect_list(F.struct("low", "high"))).scalar()
     w = F.col(weight)
-    inside = F.exists("ranges", lambda r: (w >= r["low"]) & (w < r["high"]))
-    return x.filter(inside).drop("ranges")
+    held = edges.withColumn("__ranges", few)
+    return held.filter(F.exists("__ranges", lambda r: (w >= r["low"]) & (w < r["high"]))).drop("__ranges")
 
 
 def highlight(edges: DataFrame, layers: DataFrame, weight: str = "weight") -> DataFrame:
     """Edges with the color of the last layer whose closed range [low, high] holds their weight, else null."""
-    few = layers.agg(F.sort_array(F.collect_list(F.struct("layer", "low", "high", "color"))).alias("layers"))
-    x = edges.join(F.broadcast(few))
+    few = layers.agg(F.sort_array(F.collect_list(F.struct("layer", "low", "high", "color")))).scalar()
     w = F.col(weight)
-    fits = F.filter("layers", lambda r: (w >= r["low"]) & (w <= r["high"]))
-    return x.withColumn("color", F.try_element_at(fits, F.lit(-1))["color"]).drop("layers")
+    fits = F.filter("__layers", lambda r: (w >= r["low"]) & (w <= r["high"]))
+    return edges.withColumn("__layers", few).withColumn("color", F.try_element_at(fits, F.lit(-1))["color"]).drop("__layers")

@@ -259,7 +259,7 @@ def binary_adjacency(spark: SparkSession, prefix: str) -> DataFrame:
                 yield pd.DataFrame({"src": src, "dst": body["dst"][at].astype(np.int64), "weight": body["weight"][at]})
 
     read = lambda suffix: spark.read.format("binaryFile").load(prefix + suffix).select("content")
-    both = read(".adj.index.bin").withColumnRenamed("content", "index").join(F.broadcast(read(".adj.bin").withColumnRenamed("content", "pairs")))
+    both = read(".adj.index.bin").select(F.col("content").alias("index"), read(".adj.bin").scalar().alias("pairs"))
     ids = spark.read.schema("id bigint, name string").csv(prefix + ".node_ids.tsv", sep="\t")
     x = both.mapInPandas(run, "src bigint, dst bigint, weight float")
     a, b = ids.select(F.col("id").alias("src"), F.col("name").alias("s")), ids.select(F.col("id").alias("dst"), F.col("name").alias("d"))
