@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import node_key
 from ..session import ship
-from ..shared import stage
+from ..shared import discard, stage
 from .components import connected_components
 
 
@@ -175,7 +175,7 @@ def coarsen(edges: DataFrame, resolution: float = 1.0, rounds: int = 12) -> Data
     degree = stage(both.select("u", "w").union(loops).groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k")), "degrees")
     total = degree.agg(F.sum("k")).collect()[0][0] or 0.0
     label = stage(degree.select("node", "k", F.col("node").alias("part")), "labels")
-    quiet = 0
+    held, quiet = label, 0
     for r in range(rounds):
         weight = label.groupBy("part").agg(F.sum("k").alias("all"))
         next_to = both.join(label.select(F.col("node").alias("v"), "part"), "v").groupBy(F.col("u").alias("node"), "part").agg(F.sum("w").alias("to"))
@@ -189,7 +189,8 @@ def coarsen(edges: DataFrame, resolution: float = 1.0, rounds: int = 12) -> Data
         moved = moved.join(base, "node")
         better = turn & (F.col("b.gain") > F.coalesce("stay", "leave") + 1e-12)
         new = stage(moved.select("node", "k", F.when(better, F.col("b.part")).otherwise(F.col("part")).alias("part"), F.coalesce(better & (F.col("b.part") != F.col("part")), F.lit(False)).alias("moved")), "labels")
-        label = new.select("node", "k", "part")
+        discard(held)
+        held, label = new, new.select("node", "k", "part")
         quiet = quiet + 1 if new.filter("moved").isEmpty() else 0
         if quiet == 2:
             break

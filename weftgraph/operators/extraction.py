@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import stage
+from ..shared import discard, stage
 
 
 def reach(adj: DataFrame, seeds: DataFrame, hops: int | None = None) -> DataFrame:
@@ -24,10 +24,11 @@ def reach(adj: DataFrame, seeds: DataFrame, hops: int | None = None) -> DataFram
     while hops is None or k < hops:
         k += 1
         nxt = adj.join(edge.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
-        edge = stage(nxt.join(found.select("id"), "id", "left_anti").withColumn("hop", F.lit(k)), "frontier")
+        before, edge = edge, stage(nxt.join(found.select("id"), "id", "left_anti").withColumn("hop", F.lit(k)), "frontier")
         if edge.isEmpty():
             break
-        found = stage(found.union(edge), "reach")
+        older, found = found, stage(found.union(edge), "reach")
+        discard(before, older)
     return found
 
 

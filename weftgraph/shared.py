@@ -22,4 +22,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     is cut, and it survives the loss of any executor."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*staged: DataFrame | None) -> None:
+    """Delete staged tables that nothing reads any more; other frames are left alone."""
+    for df in staged:
+        path = getattr(df, "staged_at", None)
+        if path:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import finite_number
 
+#: Header cells (fixed values).
 ATTRIBUTE_HEADER = ["node_id", "NCBI_txID", "NH_ID", "NH_Size"]
 HIT_HEADER = ["Query ID", "Query Length", "Hit ID", "Hit Score", "Hit Length"]
 #: The 23 residue letters (fixed values).
