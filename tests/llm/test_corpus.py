@@ -259,7 +259,7 @@ def test_packing_small_cases():
     t = Tokenizer.from_file(packing.default_tokenizer())
     t.encode_special_tokens = True
     encode = packing.encoder(packing.default_tokenizer())
-    for s in ("<|endoftext|> a b　 x\n\n y", "  ", "١٢٣ ½ a1b2 ̀é 👩‍👩‍👧 \x00\x1f \x85", "'s IT'S ’s\r\n\t z   ", "a" * 5000):
+    for s in ("<|endoftext|> a b　 x\n\n y", "  ", "١٢٣ ½ a1b2 ̀é 👩‍👩‍👧 \x00\x1f \x85", "'s IT'S ’s\r\n\t z   ", "a" * 5000, "a" + " " * 1_000_000 + "b", "\n" * 60_000):
         assert encode(s) == t.encode(s, add_special_tokens=False).ids
     assert packing.cut(5000, 2048) == [(0, 904), (904, 2048), (2952, 2048)] and packing.cut(2048, 2048) == [(0, 2048)] and packing.cut(1, 2048) == [(0, 1)]
     rng = np.random.default_rng(0)

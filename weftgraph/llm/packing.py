@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,6 +32,8 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END_ID = 0
+LONG_SPACE = 50_000
+_SPACES = re.compile(rf"\s{{{LONG_SPACE}}}")
 
 
 def default_tokenizer() -> str:
@@ -51,7 +54,18 @@ def encoder(path: str):
     spec = json.load(open(path, encoding="utf-8"))
     special = {t["content"] for t in spec.get("added_tokens", [])}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    fast = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def encode(text: str) -> list[int]:
+        if len(text) <= LONG_SPACE or not _SPACES.search(text):
+            return fast(text)
+        from tokenizers import Tokenizer  # the fast loop's pattern overflows on very long white space
+
+        whole = Tokenizer.from_file(path)
+        whole.encode_special_tokens = True
+        return whole.encode(text, add_special_tokens=False).ids
+
+    return encode
 
 
 def cut(n: int, limit: int) -> list[tuple[int, int]]:
