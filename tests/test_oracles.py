@@ -33,7 +33,7 @@ def test_query_equals_sql(spark, duck, name):
     got = sorted(tuple(map(normal, r)) for r in df.select(*cols).collect())
     rel = duck.sql(catalogue.ORACLES[name])
     assert sorted(rel.columns) == cols
-    want = sorted(tuple(map(normal, r)) for r in duck.sql(f"SELECT {', '.join(cols)} FROM ({catalogue.ORACLES[name]})").fetchall())
+    want = sorted(tuple(map(normal, r)) for r in duck.sql(f"SELECT {', '.join(f'"{c}"' for c in cols)} FROM ({catalogue.ORACLES[name]})").fetchall())
     assert got == want
 
 
