@@ -58,7 +58,7 @@ def test_query_equals_sql(spark, duck, name):
     df = queries.QUERIES[name](spark, D)
     cols = sorted(df.columns)
     got = sorted(tuple(map(normal, r)) for r in df.select(*cols).collect())
-    want = sorted(tuple(map(normal, r)) for r in duck.sql(f"SELECT {', '.join(cols)} FROM ({queries.ORACLES[name]})").fetchall())
+    want = sorted(tuple(map(normal, r)) for r in duck.sql(f"SELECT {', '.join(f'"{c}"' for c in cols)} FROM ({queries.ORACLES[name]})").fetchall())
     assert got == want
 
 
