@@ -31,8 +31,13 @@ _shipped: dict[str, str] = {}
 
 def ship(spark: SparkSession) -> None:
     """Make this package importable in the executors' Python workers: once for each Spark application, as a
-    zip that Spark's own file server hands out."""
-    sc = spark.sparkContext
+    zip that Spark's own file server hands out.
+
+    Rows can hold long texts, and an Arrow batch is held several times over by the JVM and by Python; where
+    the session keeps Spark's default of 64 MB a batch, it is lowered to 8 MB."""
+    sc, size = spark.sparkContext, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(size, "64m") in ("67108864b", "67108864", "64MB", "64m"):
+        spark.conf.set(size, "8m")
     if sc.applicationId in _shipped:
         return
     here = os.path.dirname(os.path.abspath(__file__))
