@@ -91,15 +91,19 @@ def rule_failed(c: Column, r: Rules) -> Column:
     )
 
 
-def host_rates(judged: DataFrame, host: str = "source", failed: str = "failed", limit: float = Rules.host_limit) -> DataFrame:
+def host_counts(judged: DataFrame, host: str = "source", failed: str = "failed") -> DataFrame:
+    """host, n, f: documents and failures."""
+    return judged.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(failed).cast("long")).alias("f"))
+
+
+def host_rates(counts: DataFrame, limit: float = Rules.host_limit) -> DataFrame:
     """Per host: documents, failures, shrunk rate, refused.
 
     The prior Beta(m*s, (1-m)*s) takes its mean m from all documents and its strength s from the spread of
     the hosts' rates beyond binomial noise (moments). One host, or no spread beyond noise, gives the
     strongest prior, 1e6 documents: every host then has about the corpus rate.
     """
-    hosts = judged.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(failed).cast("long")).alias("f"))
-    hosts = stage(hosts, "hosts")
+    hosts = stage(counts, "hosts")
     t = hosts.agg(
         F.sum("n").alias("n"), F.sum("f").alias("f"), F.count(F.lit(1)).alias("h"),
         F.sum(F.col("f") * F.col("f") / F.col("n")).alias("ff"), F.sum(F.col("n") * F.col("n")).alias("nn"),
@@ -132,7 +136,7 @@ def host_rules(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id",
     judged = stage(judged, "rule-counts")
     flat = {x: F.col(x) for x in (*COUNTS, "n_lines")}
     judged = judged.withColumns({"base_failed": base_failed(flat, rules), "failed": rule_failed(flat, rules)})
-    hosts = host_rates(judged, "host_of", "failed", rules.host_limit)
+    hosts = host_rates(host_counts(judged, "host_of"), rules.host_limit)
     out = _refuse(judged, "host_of", hosts)
     return out.select(
         "doc_id", *COUNTS, "base_failed", F.col("failed").alias("rule_failed"), "host_rate", "host_refused",
@@ -141,8 +145,11 @@ def host_rules(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id",
 
 
 def keep_good(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The input rows, all columns, that pass: the counts are taken twice, and no text is shuffled."""
-    judged = docs.select(F.col(host_col).alias("host_of"), let(rule_counts(F.col(text_col)), lambda c: rule_failed(c, rules)).alias("failed"))
-    refused = host_rates(judged, "host_of", "failed", rules.host_limit).filter("refused").select(F.col("host").alias("__host"))
-    good = docs.filter(let(rule_counts(F.col(text_col)), lambda c: ~rule_failed(c, rules)))
+    """The input rows, all columns, that pass. The rules run once: rows that pass them are staged, and a host's
+    failures are its documents less those; no text is shuffled."""
+    good = stage(docs.filter(let(rule_counts(F.col(text_col)), lambda c: ~rule_failed(c, rules))), "good-rows")
+    each = lambda rows, f: rows.select(F.col(host_col).alias("host"), F.lit(f).alias("one"))
+    both = each(docs, 1).union(each(good, -1)).groupBy("host")
+    counts = both.agg(F.count_if(F.col("one") > 0).alias("n"), F.sum("one").alias("f"))
+    refused = host_rates(counts, rules.host_limit).filter("refused").select(F.col("host").alias("__host"))
     return good.join(refused, F.col(host_col).eqNullSafe(F.col("__host")), "left_anti")
