@@ -32,7 +32,7 @@ from .common import slices
 BITS = 16  # of a window's bucket
 CELLS = 2 << BITS  # three-letter windows, then four-letter ones
 BLOCKS = 32  # parts of a table that are added up separately
-SCORE_CHARS, PATH_CHARS = 2_000_000, 20_000_000
+SCORE_CHARS, PATH_CHARS = 1_000_000, 10_000_000
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
 SPANS = "doc_id long, span int, lang string, first_word int, n_words int, letters int"
 
