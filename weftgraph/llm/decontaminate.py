@@ -35,7 +35,7 @@ from .common import slices
 
 REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 #: Characters of a shard, or of one document that is longer by itself.
-SHARD_CHARS = 4_000_000
+SHARD_CHARS = 2_000_000
 MATCHES = "doc_id long, item_id string, start long, item_start long, n_words long"
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
