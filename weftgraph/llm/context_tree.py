@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from .common import slices, stage
-from .packed import merge_counts, pack_counts, pack_sorted, unpack_counts, unpack_sorted
+from .packed import merge_counts, pack_counts, pack_floats, pack_sorted, unpack_counts, unpack_floats, unpack_sorted
 
 DEPTH = 6  # context bytes; with the next byte a pair takes 56 bits, the latest context byte first
 SLICE_BYTES = 2_000_000
@@ -346,7 +346,7 @@ def score_documents(docs: DataFrame, train: Column | None = None, block_bytes: i
             at = np.minimum(np.searchsorted(words, w), max(0, len(words) - 1))
             seen = words[at] == w if len(words) else np.zeros(len(w), bool)
             c = np.where(seen, times[at], 0) if len(words) else np.zeros(len(w), np.int64)
-            out.append((block, asked["shard"].iloc[0], value[np.searchsorted(every, own)].astype("<f4").tobytes(), pack_counts(c)))
+            out.append((block, asked["shard"].iloc[0], pack_floats(value[np.searchsorted(every, own)]), pack_counts(c)))
         return pd.DataFrame(out, columns=["block", "shard", "values", "times"])
 
     def add_up(p: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
@@ -357,7 +357,7 @@ def score_documents(docs: DataFrame, train: Column | None = None, block_bytes: i
         places = zip(by_shard(keys, shard_of(keys, shards), shards), by_shard(words, words % _U(shards), shards), strict=True)
         for s, (i, j) in enumerate(places):
             if len(i) or len(j):
-                value[i], times[j] = np.frombuffer(answered[s][0], "<f4"), unpack_counts(answered[s][1])
+                value[i], times[j] = unpack_floats(answered[s][0]), unpack_counts(answered[s][1])
         n = len(p)
         score, base, n_tokens, n_known, n_bytes = (np.zeros(n) for _ in range(5))
         log_base = np.where(times > 0, np.log10((times + 0.5) / (tokens + 0.5 * (types + 1))), unseen)

@@ -33,6 +33,16 @@ def unpack_counts(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.int64)
 
 
+def pack_floats(values: np.ndarray) -> bytes:
+    """32-bit floats; the plane of signs and exponents shrinks to a fraction."""
+    return _squeeze(values.astype("<f4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpack_floats(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(_expand(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<f4").ravel()
+
+
 def merge_counts(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys with summed counts."""
     k = np.concatenate(keys) if keys else np.empty(0, np.uint64)
