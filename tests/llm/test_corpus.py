@@ -470,6 +470,11 @@ def test_tree_scores_and_base_line(spark):
         assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(t), sum(c[w] > 0 for w in t), n, held(i))
         assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t))
     one = {r["doc_id"]: r["score"] for r in context_tree.score_documents(docs, block_bytes=10**9).collect()}
+    salted = {r["doc_id"]: r for r in context_tree.score_documents(docs, block_bytes=100_000, salt_bytes=20_000).collect()}
+    assert all(salted[i]["score"] == pytest.approx(got[i]["score"], rel=1e-6) and salted[i]["n_known"] == got[i]["n_known"] for i in got)
+    counted = context_tree.count_pairs(docs.repartition(6), 3)
+    once, twice = (context_tree.fit_top(context_tree.fit_shards(x)) for x in (counted, context_tree.merge_parts(counted, 2)))
+    assert once[1:] == twice[1:] and np.allclose(once[0].stop1, twice[0].stop1)
     assert all(one[i] == pytest.approx(got[i]["score"], rel=1e-5) for i in one)
 
 

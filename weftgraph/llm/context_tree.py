@@ -36,7 +36,7 @@ DEPTH = 6  # context bytes; with the next byte a pair takes 56 bits, the latest
 SLICE_BYTES = 2_000_000
 END_WORD = np.uint64(1)
 COUNTED = "shard int, keys binary, counts binary, words binary, word_counts binary"
-SHARD = "shard int, keys binary, counts binary, words binary, word_counts binary, tokens long, types long, node array<int>, zeros array<long>, ones array<long>, below array<double>"
+SHARD = "shard int, keys binary, counts binary, words binary, word_counts binary, tokens long, types long, bytes long, node array<int>, zeros array<long>, ones array<long>, below array<double>"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
 _U = np.uint64
 
@@ -276,6 +276,21 @@ def count_pairs(docs: DataFrame, shards: int) -> DataFrame:
     return docs.select("text").mapInPandas(run, COUNTED)
 
 
+def merge_parts(counted: DataFrame, parts: int) -> DataFrame:
+    """counted, added up within `parts` groups of partitions first, so that no task gets a hot shard's rows
+    from every partition."""
+
+    def add(p: pd.DataFrame) -> pd.DataFrame:
+        keys, counts = merge_counts([unpack_sorted(x) for x in p["keys"]], [unpack_counts(x) for x in p["counts"]])
+        words, times = merge_counts([unpack_sorted(x) for x in p["words"]], [unpack_counts(x) for x in p["word_counts"]])
+        return pd.DataFrame([(p["shard"].iloc[0], pack_sorted(keys), pack_counts(counts), pack_sorted(words), pack_counts(times))], columns=["shard", "keys", "counts", "words", "word_counts"])
+
+    if parts < 2:
+        return counted
+    part = F.pmod(F.spark_partition_id(), F.lit(parts))
+    return counted.withColumn("part", part).groupBy("shard", "part").applyInPandas(add, COUNTED)
+
+
 def fit_shards(counted: DataFrame) -> DataFrame:
     """Each shard's counts, its token and word-type numbers, and what depth 1 needs of it."""
 
@@ -286,7 +301,7 @@ def fit_shards(counted: DataFrame) -> DataFrame:
         node, zeros, ones, below = (np.concatenate(x) for x in zip(*top)) if top else (np.empty(0),) * 4
         return pd.DataFrame({
             "shard": p["shard"][:1], "keys": [pack_sorted(keys)], "counts": [pack_counts(counts)], "words": [pack_sorted(words)], "word_counts": [pack_counts(times)],
-            "tokens": [int(times.sum())], "types": [len(words)], "node": [node.astype(np.int32)], "zeros": [zeros.astype(np.int64)], "ones": [ones.astype(np.int64)], "below": [below.astype(float)],
+            "tokens": [int(times.sum())], "types": [len(words)], "bytes": [int(counts.sum())], "node": [node.astype(np.int32)], "zeros": [zeros.astype(np.int64)], "ones": [ones.astype(np.int64)], "below": [below.astype(float)],
         })
 
     return counted.groupBy("shard").applyInPandas(run, SHARD)
@@ -301,10 +316,11 @@ def fit_top(fitted: DataFrame) -> tuple[Top, int, int]:
     return Top.fit(*cols), t[0] or 0, t[1] or 0
 
 
-def score_documents(docs: DataFrame, train: Column | None = None, block_bytes: int = 5_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, train: Column | None = None, block_bytes: int = 5_000_000, salt_bytes: int = 1_000_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: tokens, known tokens, base score, log10 probability under the tree.
 
-    train: which rows the model learns from; by default those that are not held out.
+    train: which rows the model learns from; by default those that are not held out. A shard that holds more
+    than `salt_bytes` bytes of training text answers its blocks in several tasks, each with a copy of it.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -313,7 +329,10 @@ def score_documents(docs: DataFrame, train: Column | None = None, block_bytes: i
     size = rows.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     blocks = max(1, -(-size // block_bytes))
     shards = int(min(65536, max(8, blocks // 4)))
-    fitted = stage(fit_shards(count_pairs(rows.filter("train"), shards)), "tree-shards")
+    counted = merge_parts(count_pairs(rows.filter("train"), shards), -(-blocks // 1024))
+    fitted = stage(fit_shards(counted), "tree-shards")
+    copies = F.greatest(F.lit(1), F.ceil(F.col("bytes") / salt_bytes)).cast("int")
+    salts = {r["shard"]: r["n"] for r in fitted.select("shard", copies.alias("n")).filter("n > 1").collect()}  # fewer than the shards
     top, tokens, types = fit_top(fitted)
     unseen = np.log10(0.5 / (tokens + 0.5 * (types + 1)))
 
@@ -329,8 +348,9 @@ def score_documents(docs: DataFrame, train: Column | None = None, block_bytes: i
             words.append(distinct(word_hashes(docs_)[0]))
         keys, words = distinct(*keys), distinct(*words)
         a, b = by_shard(keys, shard_of(keys, shards), shards), by_shard(words, words % _U(shards), shards)
-        out = [(s, pack_sorted(keys[i]), pack_sorted(words[j])) for s, (i, j) in enumerate(zip(a, b, strict=True)) if len(i) or len(j)]
-        return pd.DataFrame(out, columns=["shard", "keys", "words"]).assign(block=int(p["block"].iloc[0]))
+        block = int(p["block"].iloc[0])
+        out = [(s, block % salts.get(s, 1), pack_sorted(keys[i]), pack_sorted(words[j]), block) for s, (i, j) in enumerate(zip(a, b, strict=True)) if len(i) or len(j)]
+        return pd.DataFrame(out, columns=["shard", "salt", "keys", "words", "block"])
 
     def answer(asked: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         blank = (np.empty(0, _U), np.empty(0, np.int64))
@@ -374,9 +394,9 @@ def score_documents(docs: DataFrame, train: Column | None = None, block_bytes: i
         })
 
     dealt = rows.select("doc_id", "held_out", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
-    asked = dealt.groupBy("block").applyInPandas(ask, "shard int, keys binary, words binary, block long")
-    model = fitted.select("shard", "keys", "counts", "words", "word_counts")
-    answers = asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInPandas(answer, "block long, shard int, values binary, times binary")
+    asked = dealt.groupBy("block").applyInPandas(ask, "shard int, salt int, keys binary, words binary, block long")
+    model = fitted.select("shard", F.explode(F.sequence(F.lit(0), copies - 1)).alias("salt"), "keys", "counts", "words", "word_counts")
+    answers = asked.groupBy("shard", "salt").cogroup(model.groupBy("shard", "salt")).applyInPandas(answer, "block long, shard int, values binary, times binary")
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(add_up, SCORED)
 
 
