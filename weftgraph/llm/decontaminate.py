@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import slices
+from .common import slices, trimmed
 
 REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 #: Characters of a shard, or of one document that is longer by itself.
@@ -206,7 +206,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
                 out.insert(0, "doc_id", part["doc_id"].astype("Int64").array)
                 yield out
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, REPORT)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(trimmed(run), REPORT)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
@@ -235,7 +235,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words
                 tails = np.append(heads[1:], len(d)) - 1
                 yield pd.DataFrame({"doc_id": ids[d[heads]], "item_id": [block.items[i] for i in item[heads]], "start": s[heads], "item_start": place[heads], "n_words": s[tails] + n[tails] - s[heads]})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, MATCHES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(trimmed(run), MATCHES)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 4_000_000, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
@@ -253,4 +253,4 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10,
                 clean += (~shard.report()["contaminated"]).tolist()
             yield b.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

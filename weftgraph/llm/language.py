@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import slices
+from .common import slices, trimmed
 
 BITS = 16  # of a window's bucket
 CELLS = 2 << BITS  # three-letter windows, then four-letter ones
@@ -199,7 +199,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_l
 
     ship(docs.sparkSession)
     kept = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
-    parts = kept.mapInPandas(count, "lang string, block int, counts binary").groupBy("lang", "block").applyInPandas(total, "lang string, block int, counts binary")
+    parts = kept.mapInPandas(trimmed(count), "lang string, block int, counts binary").groupBy("lang", "block").applyInPandas(total, "lang string, block int, counts binary")
     tables: dict[str, dict[int, np.ndarray]] = {}
     for row in parts.toLocalIterator():
         tables.setdefault(row["lang"], {})[row["block"]] = np.frombuffer(row["counts"], np.int64)
@@ -229,7 +229,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     ship(docs.sparkSession)
     doc = F.col(id_col).cast("long")
-    return docs.select(doc.alias("doc_id"), held_out(doc).alias("held_out"), F.col(text_col).alias("text")).mapInPandas(run, PREDICTED)
+    return docs.select(doc.alias("doc_id"), held_out(doc).alias("held_out"), F.col(text_col).alias("text")).mapInPandas(trimmed(run), PREDICTED)
 
 
 def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -255,7 +255,7 @@ def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 })
 
     ship(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, SPANS)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(trimmed(run), SPANS)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -274,4 +274,4 @@ def keep_identified(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id",
             yield b.filter(pa.array([x != "und" and s >= least for x, s in zip(langs, score, strict=True)], pa.bool_()))
 
     ship(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .common import trimmed
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -88,7 +89,7 @@ def tokenise(docs: DataFrame, limit: int, tokenizer: str, id_col: str = "doc_id"
             yield out.assign(doc_id=out["doc_id"].astype("Int64"))
 
     ship(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(trimmed(run), PIECES)
 
 
 def configurations(sizes: np.ndarray, demand: np.ndarray, limit: int, rounds: int = 4000) -> list[tuple[np.ndarray, int]]:
