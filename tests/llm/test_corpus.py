@@ -337,6 +337,22 @@ def test_near_duplicates_against_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == root
 
 
+def test_near_duplicates_many_variants_of_one(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrst", k=5))
+    base = [word() for _ in range(400)]
+    texts = [base]
+    for _ in range(80):  # each like the original, hardly two like each other
+        at = rng.randrange(400 - 43)
+        texts.append(base[:at] + [word() for _ in range(43)] + base[at + 43 :])
+    shared = [word() for _ in range(150)]
+    texts += [shared + [word() for _ in range(150)] for _ in range(12)]  # in common buckets, but no copies
+    rows = [(i, " ".join(t), "en", "a", 1) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert [got[i] for i in range(81)] == [0] * 81
+    assert [got[i] for i in range(81, 93)] == list(range(81, 93))
+
+
 def test_near_duplicates_odd_rows(spark):
     got = near_dup.near_duplicates(odd_docs(spark)).collect()
     rows = Counter()
