@@ -107,3 +107,20 @@ def test_edge_ids_are_ordered_or_refused(pairs):
         else:
             x, y = got.split("|")
             assert x <= y and {x, y} == {a.strip(), b.strip()}
+
+
+def test_alignment_queries_take_the_whole_table(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from weftgraph.plans import catalogue
+
+    p = spark.read.parquet("/root/testdata/sf0.01/part.parquet").filter("p_partkey >= 260").limit(120)
+    p = p.withColumn("p_partkey", F.col("p_partkey") + 1000)
+    p.write.parquet(f"{tmp_path}/part.parquet")
+    p = spark.read.parquet(f"{tmp_path}/part.parquet")
+    seqs = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("seq"))
+    rows = lambda x: sorted(map(tuple, x.collect()))
+    top = catalogue.alg4_top_targets(spark, str(tmp_path))
+    assert rows(top) == rows(alignment.top_targets(seqs, seqs, alignment.simple_matrix(), 5)) and top.select("query").distinct().count() == 120
+    pairs = rows(catalogue.alg1_diagonals_whole(spark, str(tmp_path)))
+    assert pairs == rows(alignment.diagonals(seqs, seqs)) and len({x[0] for x in pairs}) == 120

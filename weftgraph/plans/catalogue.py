@@ -548,10 +548,18 @@ def son13_signal_calls(spark, d):
     return signal_calls.call_signals(b.points(spark, d))
 
 
+def _sequences(spark, d):
+    return b.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.regexp_replace(F.upper("p_name"), "[^A-Z]", "").alias("seq"))
+
+
 @query()
 def alg4_top_targets(spark, d):
-    seqs = b.table(spark, d, "part").filter("p_partkey <= 300").select(F.col("p_partkey").alias("id"), F.regexp_replace(F.upper("p_name"), "[^A-Z]", "").alias("seq"))
-    return alignment.top_targets(seqs, seqs, alignment.simple_matrix(), 5)
+    """Queries of one sequence have the same targets: one of them is asked against the whole table."""
+    seqs = _sequences(spark, d)
+    asked = seqs.groupBy("seq").agg(F.min("id").alias("id"))
+    top = alignment.top_targets(asked, seqs, alignment.simple_matrix(), 5)
+    each = seqs.join(asked.withColumnRenamed("id", "query"), "seq").select("id", "query")
+    return top.join(each, "query").select(F.col("id").alias("query"), "target", "similarity", "rank")
 
 
 @query("""
@@ -565,6 +573,17 @@ def alg1_diagonals(spark, d):
     return alignment.diagonals(seqs, seqs).withColumn("diagonal", F.col("diagonal").cast("long"))
 
 
+@query()
+def alg1_diagonals_whole(spark, d):
+    """All pairs of the whole table; no SQL, which takes too long. Each pair of sequences is worked out once."""
+    seqs = _sequences(spark, d)
+    one = seqs.groupBy("seq").agg(F.min("id").alias("id"))
+    each = seqs.join(one.withColumnRenamed("id", "one"), "seq").select("id", "one")
+    x = alignment.diagonals(one, one).withColumnsRenamed({"query": "q", "target": "t"})
+    x = x.join(each.select(F.col("id").alias("query"), F.col("one").alias("q")), "q").join(each.select(F.col("id").alias("target"), F.col("one").alias("t")), "t")
+    return x.select("query", "target", F.col("diagonal").cast("long").alias("diagonal"), "votes")
+
+
 # -- taxonomy -----------------------------------------------------------------------------------------------
 
 PATHS = f"""RECURSIVE t AS ({T}), a AS (SELECT node, node AS ancestor, 0 AS steps FROM t UNION ALL SELECT a.node, t.parent, steps + 1 FROM a JOIN t ON t.node = a.ancestor WHERE t.parent IS NOT NULL)"""
