@@ -124,3 +124,11 @@ def test_alignment_queries_take_the_whole_table(spark, tmp_path):
     assert rows(top) == rows(alignment.top_targets(seqs, seqs, alignment.simple_matrix(), 5)) and top.select("query").distinct().count() == 120
     pairs = rows(catalogue.alg1_diagonals_whole(spark, str(tmp_path)))
     assert pairs == rows(alignment.diagonals(seqs, seqs)) and len({x[0] for x in pairs}) == 120
+
+
+@pytest.mark.parametrize("name", ["win8_tree_parents", "fn3_fixed_decimals", "src13_file_keys"])
+def test_line_queries_take_the_whole_table(spark, name):
+    from weftgraph.plans import catalogue, inventory  # noqa: F401
+
+    d = "/root/testdata/sf0.001"
+    assert catalogue.QUERIES[f"{name}_whole"](spark, d).count() == spark.read.parquet(f"{d}/lineitem.parquet").count()

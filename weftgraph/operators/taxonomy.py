@@ -30,6 +30,16 @@ def build(parsed: DataFrame) -> DataFrame:
     return both.withColumn("parent", F.last("over", ignorenulls=True).over(w)).filter("own").select("line", "depth", "name", "parent")
 
 
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """The rows with `line` from 1, in order. Rows are numbered within ranges of the order and added to the
+    sizes of the ranges before, so no task holds all rows; the ranges are staged, so both see the same."""
+    ranged = stage(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # as many rows as partitions
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return ranged.withColumn("inside", inside).join(F.broadcast(before), "part").withColumn("line", F.col("before") + F.col("inside")).drop("part", "before", "inside")
+
+
 def paths(tree: DataFrame, node: str = "node", parent: str = "parent") -> DataFrame:
     """node, ancestor, steps: each node with itself (0) and all above it, for nodes under a root (no parent).
     Levels are joined from the roots down, as many joins as the tree is deep."""

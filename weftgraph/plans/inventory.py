@@ -158,6 +158,16 @@ def win8_tree_parents(spark, d):
     return taxonomy.build(x.select(line.alias("line"), F.least(F.col("l_linenumber") - 1, F.lit(4)).cast("int").alias("depth"), F.concat(F.lit("n"), F.col("l_partkey").cast("string")).alias("name")))
 
 
+@query("""
+WITH x AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS line, least(l_linenumber - 1, 4) AS depth, 'n' || l_partkey AS name FROM lineitem),
+y AS (SELECT *, max(line) FILTER (depth = 0) OVER w AS d0, max(line) FILTER (depth = 1) OVER w AS d1, max(line) FILTER (depth = 2) OVER w AS d2, max(line) FILTER (depth = 3) OVER w AS d3
+  FROM x WINDOW w AS (ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT line, depth::INT AS depth, name, CASE depth WHEN 1 THEN d0 WHEN 2 THEN d1 WHEN 3 THEN d2 WHEN 4 THEN d3 END AS parent FROM y""")
+def win8_tree_parents_whole(spark, d):
+    x = taxonomy.numbered(b.table(spark, d, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return taxonomy.build(x.select("line", F.least(F.col("l_linenumber") - 1, F.lit(4)).cast("int").alias("depth"), F.concat(F.lit("n"), F.col("l_partkey").cast("string")).alias("name")))
+
+
 @query(f"SELECT cluster_id, size FROM ({METRICS}) ORDER BY size DESC, cluster_id LIMIT 10")
 def win12_largest_clusters(spark, d):
     return ranking.orient_top(communities.metrics(b.part_edges(spark, d), b.partition(spark, d))).select("cluster_id", "size")
@@ -250,6 +260,11 @@ def fn3_fixed_decimals(spark, d):
     return b.table(spark, d, "lineitem").filter("l_orderkey <= 500").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), fn.fixed(F.col("l_quantity"), 2).alias("q"))
 
 
+@query("SELECT l_partkey AS a, l_suppkey AS b, printf('%.2f', l_quantity) AS q FROM lineitem")
+def fn3_fixed_decimals_whole(spark, d):
+    return b.table(spark, d, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), fn.fixed(F.col("l_quantity"), 2).alias("q"))
+
+
 @query(f"WITH {PATHS} SELECT count(*) AS total, count(taxid) AS annotated, count(*) FILTER (taxid IN ('7', '9')) AS database FROM t")
 def agg11_tree_statistics(spark, d):
     t = b.taxa(spark, d)
@@ -300,6 +315,12 @@ def src13_file_keys(spark, d):
     return b.table(spark, d, "lineitem").filter("l_orderkey <= 300").select(F.col("l_partkey").alias("id"), readers.file_key(name, 1).alias("q"), readers.file_key(name, 2).alias("t"))
 
 
+@query("SELECT l_partkey AS id, l_linestatus AS q, l_returnflag AS t FROM lineitem")
+def src13_file_keys_whole(spark, d):
+    name = F.concat_ws("_", "l_linestatus", "l_returnflag")
+    return b.table(spark, d, "lineitem").select(F.col("l_partkey").alias("id"), readers.file_key(name, 1).alias("q"), readers.file_key(name, 2).alias("t"))
+
+
 @query("SELECT date_trunc('day', ts) AS day, user_id, max(ts) AS latest, count(*) AS events FROM events GROUP BY 1, 2")
 def str1_latest_by_key(spark, d):
     from ..streaming.reload import latest_by_key
