@@ -132,3 +132,15 @@ def test_line_queries_take_the_whole_table(spark, name):
 
     d = "/root/testdata/sf0.001"
     assert catalogue.QUERIES[f"{name}_whole"](spark, d).count() == spark.read.parquet(f"{d}/lineitem.parquet").count()
+
+
+def test_network_queries_take_all_proteins(spark):
+    from weftgraph.plans import bindings, catalogue, inventory  # noqa: F401
+
+    d = "/root/testdata/sf0.001"
+    proteins = {x[0] for x in bindings.signals(spark, d).select("protein").distinct().collect()}
+    brand = {x[0] for x in bindings.table(spark, d, "part").filter("p_brand = 'Brand#23'").select("p_partkey").collect()}
+    one_way = catalogue.QUERIES["graph16_sji_oneway_whole"](spark, d).select("a").distinct().collect()
+    assert {x[0] for x in one_way} == proteins
+    ends = catalogue.QUERIES["join5_missing_neighbours_whole"](spark, d).select("a", "b").collect()
+    assert {x for e in ends for x in e} == proteins and brand and not {e[0] for e in ends} & brand

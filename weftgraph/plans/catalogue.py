@@ -61,6 +61,17 @@ def graph16_sji_oneway(spark, d):
     return sji.network_oneway(s.filter("protein % 10 = 0"), s).select("a", "b", "inter", "uni", "sji")
 
 
+@query(f"""
+WITH s AS ({S}), n AS (SELECT protein, count(*) AS k FROM s GROUP BY 1),
+i AS (SELECT e.protein AS a, e.signal AS b, count(*) AS inter FROM s e JOIN s f ON f.protein = e.protein
+  JOIN s g ON g.protein = e.signal AND g.signal = f.signal GROUP BY 1, 2)
+SELECT a, b, inter, n1.k + n2.k - inter AS uni, inter / (n1.k + n2.k - inter) AS sji
+FROM i JOIN n n1 ON n1.protein = a JOIN n n2 ON n2.protein = b""")
+def graph16_sji_oneway_whole(spark, d):
+    s = b.signals(spark, d)
+    return sji.network_oneway(s, s).select("a", "b", "inter", "uni", "sji")
+
+
 @query(f"""
 WITH s AS ({S}), x AS (SELECT e.protein AS a, e.signal AS b,
   EXISTS (SELECT 1 FROM s g WHERE g.protein = e.signal AND g.signal = e.protein) AS back FROM s e)

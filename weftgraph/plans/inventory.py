@@ -30,6 +30,17 @@ def join5_missing_neighbours(spark, d):
     return sji.network(b.signals(spark, d).filter("protein % 2 = 0")).select("a", "b", "inter", "uni", "sji")
 
 
+@query(f"""
+WITH s AS (SELECT protein AS a, signal AS b FROM ({S}) WHERE protein NOT IN (SELECT p_partkey FROM part WHERE p_brand = 'Brand#23')), n AS (SELECT a, list(b) AS l, count(*) AS k FROM s GROUP BY 1),
+p AS (SELECT s.a, s.b FROM s WHERE s.a <> s.b AND NOT EXISTS (SELECT 1 FROM s t WHERE t.a = s.b AND t.b = s.a AND s.b < s.a)),
+x AS (SELECT p.a, p.b, CASE WHEN m.k IS NULL THEN 1 ELSE len(list_intersect(n.l, m.l)) END AS inter, n.k + coalesce(m.k, 1) AS total FROM p JOIN n ON n.a = p.a LEFT JOIN n m ON m.a = p.b)
+SELECT a, b, inter, total - inter AS uni, inter / (total - inter) AS sji FROM x WHERE inter > 0""")
+def join5_missing_neighbours_whole(spark, d):
+    """Parts of one brand have no signals of their own, and are neighbours all the same."""
+    missing = b.table(spark, d, "part").filter("p_brand = 'Brand#23'").select(F.col("p_partkey").alias("protein"))
+    return sji.network(b.signals(spark, d).join(missing, "protein", "left_anti")).select("a", "b", "inter", "uni", "sji")
+
+
 @query(f"""
 WITH s AS ({S}) SELECT p.p_partkey AS seed, CASE WHEN n.k IS NULL THEN 'empty' WHEN e.k IS NULL THEN 'ok_no_edges' ELSE 'ok' END AS status, coalesce(e.k, 0) AS edges_written
 FROM part p LEFT JOIN (SELECT protein, count(*) AS k FROM s GROUP BY 1) n ON n.protein = p_partkey
