@@ -7,7 +7,9 @@ largest; the configurations of these few sizes are optimised by column generatio
 the places of the rounded ones; what is left over and all small pieces go in by best fit.
 
 Token ids are those of the byte-level BPE vocabulary file (`tokenizer`), merged by tiktoken with ranks read
-from that file: the ids are equal to those of the tokenizers library (tested), at five times its speed.
+from that file: the ids are equal to those of the tokenizers library with encode_special_tokens = True (tested),
+at five times its speed. A text that spells an added token such as <|endoftext|> is plain text here; with the
+library's defaults it would give that token's id.
 
 Defined results: a null text is empty and gives the end id alone; repeated rows and ids are packed each for
 itself; null ids are kept; an empty table gives an empty result; extra columns are ignored.
