@@ -353,15 +353,63 @@ def test_near_duplicates_many_variants_of_one(spark):
     assert [got[i] for i in range(81, 93)] == list(range(81, 93))
 
 
+@pytest.mark.parametrize(("size", "pairs"), [(12, 120), (30, 120), (200, 100), (1000, 60), (5000, 24)])
+def test_near_duplicates_recall_at_the_threshold(spark, size, pairs):
+    """Pairs with a fifth of the words substituted anywhere: edit similarity 0.8, the least that is a link."""
+    rng = random.Random(size)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    rows = []
+    for i in range(pairs):
+        a = [word() for _ in range(size)]
+        b = list(a)
+        for at in rng.sample(range(size), size // 5):
+            b[at] = word()
+        rows += [(2 * i, " ".join(a), "en", "a", 1), (2 * i + 1, " ".join(b), "en", "a", 1)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert {got[2 * i] for i in range(pairs)} == set(range(0, 2 * pairs, 2))
+    assert sum(got[2 * i + 1] == 2 * i for i in range(pairs)) >= 0.95 * pairs
+
+
+def test_near_duplicates_among_common_passages(spark):
+    """Texts put together from few passages share every bucket; the pairs among them are still found."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    pool = [[word() for _ in range(25)] for _ in range(24)]
+    texts = []
+    for _ in range(40):
+        one = [w for p in rng.sample(pool, 8) for w in p]
+        texts += [one, [w if rng.random() > 0.1 else word() for w in one]]
+    rows = [(i, " ".join(t), "en", "a", 1) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(got[i] == i and got[i + 1] == i for i in range(0, 80, 2))
+
+
+def test_alignment_equals_plain_distance():
+    rng = random.Random(3)
+    for _ in range(600):
+        v = rng.choice([2, 4, 30, 1000])
+        a = [rng.randrange(v) for _ in range(rng.choice([0, 3, 20, 120]))]
+        b = [rng.randrange(v) if rng.random() < 0.15 else x for x in a if rng.random() > 0.05]
+        if rng.random() < 0.3:
+            b = b[len(b) // 2 :] + b[: len(b) // 2]
+        n = max(len(a), len(b))
+        d = round((1 - edit_similarity(a, b)) * n)
+        for most in {0, 1, d - 1, d, d + 1, near_dup.allowed(n, 0.8)} - {-1}:
+            assert near_dup.banded(a, b, most) == min(d, most + 1)
+            assert near_dup.at_most(np.array(a, np.uint32), np.array(b, np.uint32), most) == (d <= most)
+
+
 def test_near_duplicates_odd_rows(spark):
     got = near_dup.near_duplicates(odd_docs(spark)).collect()
     rows = Counter()
     for r in got:
         rows[r["doc_id"]] += r["copies"]
     assert rows == Counter(r[0] for r in ODD)
-    one = near_dup.keep_one(odd_docs(spark))
+    odd = odd_docs(spark).withColumns({"own": F.lit(1), "__own": F.lit(1), "__id": F.lit(1), "keeper_id": F.lit(1), "keeper_node": F.lit(1), "_own": F.lit(1)})
+    one = near_dup.keep_one(odd)
     kept = [(r["doc_id"], (r["text"] or "")[:10]) for r in one.collect()]
-    assert one.columns == odd_docs(spark).columns and len(kept) == len(set(kept))
+    assert near_dup.keep_one(odd.limit(0)).count() == 0
+    assert one.columns == odd.columns and len(kept) == len(set(kept))
     assert kept.count((1, "the cat sa")) == 1 and sum(not t.strip() for _, t in kept) == 1 and (None, "der hund u") in kept
     assert near_dup.near_duplicates(odd_docs(spark).limit(0)).count() == 0
 
