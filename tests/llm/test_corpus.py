@@ -583,6 +583,19 @@ def test_archives_round_trip(spark, tmp_path):
     assert [r["url_key"] for r in wide] == [r["url_key"] for r in got] and len({r["range_no"] for r in wide}) > 1
 
 
+def test_archives_of_any_id_size_and_time(spark, tmp_path):
+    big = "x" * 20_000
+    rows = [(9_300_000_000_000, "u", big, 253402300800 + 5), (2**62, "u", "a", 253402300799), (-1, "u", big, 0), (2**62 + 1, "u", "b", None), (None, "u", "c" * 1_100_000, 7), (3, "u", "d", 7), (3, "u", "d", 7)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, s long").withColumn("time", F.timestamp_seconds("s")).withColumn("__n", F.lit(1))
+    path = f"file://{tmp_path}/any"
+    got = warc.capture_histories(pages, path, time_col="time").orderBy("range_no", "place").collect()
+    assert [r["page_id"] for r in got] == [-1, None, 3, 3, 2**62 + 1, 2**62, 9_300_000_000_000]
+    assert {(r["page_id"], r["record_type"], r["refers_to"]) for r in got if r["payload_bytes"] == 20_000} == {(-1, "revisit", 9_300_000_000_000), (9_300_000_000_000, "response", None)}
+    files = [f"{d}/{n}" for d, _, names in os.walk(tmp_path / "any") for n in names if n.endswith(".gz")]
+    heads = [h for f in files for _, h, _ in warc.parse(__import__("gzip").open(f))]
+    assert len({h["warc-record-id"] for h in heads}) == len(rows) and len({r["file"] for r in got if r["payload_bytes"] > 16384 or r["page_id"] == 3}) >= 3
+
+
 # -- pipeline -----------------------------------------------------------------------------------------------
 
 
