@@ -53,12 +53,12 @@ _SCRIPT = np.array([NAMES.index(name) for _, name in SCRIPTS])
 
 @functools.lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    return np.array([unicodedata.category(chr(c))[0] in "LM" if not 0xD800 <= c < 0xE000 else False for c in range(0x32000)])
+    return np.array([unicodedata.category(chr(c))[0] in "LM" if not 0xD800 <= c < 0xE000 else False for c in range(0x110000)])
 
 
 @functools.lru_cache(maxsize=1)
 def _real_letters() -> np.ndarray:
-    return np.array([unicodedata.category(chr(c))[0] == "L" if not 0xD800 <= c < 0xE000 else False for c in range(0x32000)])
+    return np.array([unicodedata.category(chr(c))[0] == "L" if not 0xD800 <= c < 0xE000 else False for c in range(0x110000)])
 
 
 @dataclass
@@ -79,8 +79,7 @@ def find_words(texts: list[str | None]) -> Words:
     lowered = [(t or "").lower() for t in texts]
     points = np.frombuffer("\n\n".join(["", *lowered, ""]).encode("utf-32-le", "replace"), "<u4").astype(np.int64)
     ends = np.cumsum([len(t) + 2 for t in lowered]) + 2
-    folded = np.minimum(points, 0x31FFF)
-    inside = _letters()[folded]
+    inside = _letters()[points]
     space = np.where(inside, points, 32).astype(np.uint64)
     at = np.flatnonzero(inside)
     a, b, c, d = space[at - 2], space[at - 1], space[at], space[at + 1]
@@ -90,7 +89,7 @@ def find_words(texts: list[str | None]) -> Words:
     first = ~inside[at - 1]
     start = np.flatnonzero(first)
     head = at[start]
-    real = np.unique(np.searchsorted(ends, np.flatnonzero(_real_letters()[folded]), "right"))
+    real = np.unique(np.searchsorted(ends, np.flatnonzero(_real_letters()[points]), "right"))
     known = np.zeros(len(texts), bool)
     known[real] = True
     shift = np.uint64(64 - BITS)
