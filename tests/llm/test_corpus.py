@@ -225,6 +225,9 @@ def test_language_odd_rows(spark):
     assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got)
     und = Counter(r["doc_id"] for r in got if r["lang_pred"] == "und")
     assert und == Counter([None, 2, 3, 4])
+    private_use = [(i, t, "en", "a", 1) for i, t in enumerate(["\U000f0000", "\U0010fffd 12", "\U000e0041!", "\U000e0100", "\u0301 5", "word \U000f0000"])]
+    assert [r["lang_pred"] for r in language.predict(spark.createDataFrame(private_use, DOCS).coalesce(1), language.learn(odd_docs(spark))).collect()] == ["und"] * 5 + ["en"]
+    assert language.keep_identified(odd_docs(spark).limit(0)).count() == 0
     assert {r["lang_pred"] for r in language.identify(odd_docs(spark).withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert language.identify(odd_docs(spark).limit(0)).count() == 0
     assert language.keep_identified(odd_docs(spark)).columns == odd_docs(spark).columns
@@ -238,9 +241,8 @@ def test_packing_is_gapless_whole_and_equals_the_tokenizers_library(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
     docs = docs_of(spark)
-    got = packing.best_fit_packing(docs, shard_docs=100).toPandas()
+    got = packing.best_fit_packing(docs, shard_pieces=100).toPandas()
     for _, g in got.sort_values("offset").groupby("sequence_id"):
         assert g["offset"].tolist() == [0, *np.cumsum(g["length"])[:-1]] and g["length"].sum() <= 2048
     pieces = {i: g.sort_values("piece") for i, g in got.groupby("doc_id")}
@@ -257,9 +259,9 @@ def test_packing_small_cases():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
     encode = packing.encoder(packing.default_tokenizer())
-    for s in ("<|endoftext|> a b　 x\n\n y", "  ", "١٢٣ ½ a1b2 ̀é 👩‍👩‍👧 \x00\x1f \x85", "'s IT'S ’s\r\n\t z   ", "a" * 5000, "a" + " " * 1_000_000 + "b", "\n" * 60_000):
+    assert encode("a <|endoftext|> b") == [64, 220, 50256, 275]
+    for s in ("x<|endoftext|><|endoftext|> y <|endoftext", "<|endoftext|>" + " " * 60_000, "<|endoftext|> a b　 x\n\n y", "  ", "١٢٣ ½ a1b2 ̀é 👩‍👩‍👧 \x00\x1f \x85", "'s IT'S ’s\r\n\t z   ", "a" * 5000, "a" + " " * 1_000_000 + "b", "\n" * 60_000):
         assert encode(s) == t.encode(s, add_special_tokens=False).ids
     assert packing.cut(5000, 2048) == [(0, 904), (904, 2048), (2952, 2048)] and packing.cut(2048, 2048) == [(0, 2048)] and packing.cut(1, 2048) == [(0, 1)]
     rng = np.random.default_rng(0)
@@ -273,6 +275,23 @@ def test_packing_small_cases():
             assert offset[own].tolist() == [0, *np.cumsum(lengths[own])[:-1].tolist()] and lengths[own].sum() <= 2048
 
 
+def test_packing_against_the_best_of_all_packings():
+    rng = np.random.default_rng(4)
+
+    def fewest(lengths, limit):
+        best = {0: (0, limit)}  # of each set of pieces: sequences, and the least filling of the last
+        for chosen in range(1, 1 << len(lengths)):
+            best[chosen] = min((n + (used + x > limit), used + x if used + x <= limit else x) for i, x in enumerate(lengths) if chosen >> i & 1 for n, used in [best[chosen ^ 1 << i]])
+        return best[(1 << len(lengths)) - 1][0]
+
+    over = 0
+    for _ in range(60):
+        lengths, limit = rng.integers(1, 21, int(rng.integers(1, 10))), 20
+        seq, _ = packing.pack(lengths, limit, groups=4, large=5)
+        over += len(set(seq.tolist())) - fewest(lengths.tolist(), limit)
+    assert 0 <= over <= 3
+
+
 def test_packing_odd_rows(spark):
     got = packing.best_fit_packing(odd_docs(spark)).collect()
     assert Counter(r["doc_id"] for r in got if r["piece"] == 0) == Counter(r[0] for r in ODD)

@@ -1,18 +1,17 @@
 """Packing of token sequences by the linear grouping scheme.
 
-Pieces are dealt to shards by a hash; a shard holds about `shard_docs` documents whatever the input's size,
+Pieces are dealt to shards by a hash; a shard holds about `shard_pieces` pieces whatever the input's size,
 so memory is bounded and each shard's packing is independent (the loss is a few sequences a shard). In a
 shard, lengths above `large` are sorted and cut into groups of equal cardinality, each rounded up to its
 largest; the configurations of these few sizes are optimised by column generation; actual documents take
 the places of the rounded ones; what is left over and all small pieces go in by best fit.
 
-Token ids are those of the byte-level BPE vocabulary file (`tokenizer`), merged by tiktoken with ranks read
-from that file: the ids are equal to those of the tokenizers library with encode_special_tokens = True (tested),
-at five times its speed. A text that spells an added token such as <|endoftext|> is plain text here; with the
-library's defaults it would give that token's id.
+Token ids are those of the tokenizers library with the vocabulary file (`tokenizer`) as it is. Plain text is merged
+by tiktoken with ranks read from that file, which gives the same ids (tested) at five times the speed; texts that
+spell an added token such as <|endoftext|>, or hold very long white space, go through the library itself.
 
 Defined results: a null text is empty and gives the end id alone; repeated rows and ids are packed each for
-itself; null ids are kept; an empty table gives an empty result; extra columns are ignored.
+itself; null ids are kept, and their pieces are dealt out like all others; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import trimmed
+from .common import stage, trimmed
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -55,22 +54,27 @@ def encoder(path: str):
     rest = [b for b in range(256) if b not in set(plain)]
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
     spec = json.load(open(path, encoding="utf-8"))
-    special = {t["content"] for t in spec.get("added_tokens", [])}
+    special = sorted(t["content"] for t in spec.get("added_tokens", []))
     ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
     fast = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
+    spelt = re.compile("|".join(map(re.escape, special))) if special else None
+
     def encode(text: str) -> list[int]:
-        if len(text) <= LONG_SPACE or not _SPACES.search(text):
+        if (spelt is None or not spelt.search(text)) and (len(text) <= LONG_SPACE or not _SPACES.search(text)):
             return fast(text)
-        from tokenizers import Tokenizer  # the fast loop's pattern overflows on very long white space
-
-        whole = Tokenizer.from_file(path)
-        whole.encode_special_tokens = True
-        return whole.encode(text, add_special_tokens=False).ids
+        return library(path).encode(text, add_special_tokens=False).ids  # the fast loop's pattern overflows on very long white space
 
     return encode
 
 
+@functools.lru_cache(maxsize=2)
+def library(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def cut(n: int, limit: int) -> list[tuple[int, int]]:
     """Start and length of the pieces of n tokens; only the first may be shorter than the limit."""
     first = n % limit or min(n, limit)
@@ -78,20 +82,22 @@ def cut(n: int, limit: int) -> list[tuple[int, int]]:
 
 
 def tokenise(docs: DataFrame, limit: int, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece, without the ids themselves: their CRC-32 stands for them."""
+    """One row per piece, without the ids themselves: their CRC-32 stands for them. `row` numbers the pieces of
+    a partition; it deals rows that are equal in all else to different shards."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer)
+        encode, n_rows = encoder(tokenizer), 0
         for b in batches:
             rows: list[tuple] = []
             for doc, text in zip(b["doc_id"], b["text"], strict=True):
                 ids = np.array([*(encode(text) if text else ()), END_ID], "<u4")
                 rows += [(doc, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(cut(len(ids), limit))]
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+            yield out.assign(doc_id=out["doc_id"].astype("Int64"), row=np.arange(n_rows, n_rows + len(out)))
+            n_rows += len(out)
 
     ship(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(trimmed(run), PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(trimmed(run), PIECES + ", row long")
 
 
 def configurations(sizes: np.ndarray, demand: np.ndarray, limit: int, rounds: int = 4000) -> list[tuple[np.ndarray, int]]:
@@ -228,20 +234,20 @@ def pack(lengths: np.ndarray, limit: int = 2048, groups: int = 32, large: int =
     return seq, offset
 
 
-def pack_pieces(pieces: DataFrame, n_docs: int, limit: int = 2048, shard_docs: int = 16384, groups: int = 32) -> DataFrame:
-    """Pieces with sequence_id and offset. n_docs: about how many documents there are; sets the shards."""
-    shards = max(1, -(-n_docs // shard_docs))
+def pack_pieces(pieces: DataFrame, n_pieces: int, limit: int = 2048, shard_pieces: int = 20_000, groups: int = 32) -> DataFrame:
+    """Pieces (with their `row`) with sequence_id and offset. n_pieces sets the number of shards."""
+    shards = max(1, -(-n_pieces // shard_pieces))
 
     def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
+        p = p.sort_values(["length", "doc_id", "piece", "ids_crc32", "row"], ascending=[False, True, True, True, True], kind="stable")
         seq, offset = pack(p["length"].to_numpy(), limit, groups)
-        return p.drop(columns="shard").assign(sequence_id=seq + (int(key[0]) << 40), offset=offset)
+        return p.drop(columns=["shard", "row"]).assign(sequence_id=seq + (int(key[0]) << 40), offset=offset)
 
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "row"), F.lit(shards)))
     return dealt.groupBy("shard").applyInPandas(run, PACKED)
 
 
-def best_fit_packing(docs: DataFrame, limit: int = 2048, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = 16384, groups: int = 32) -> DataFrame:
+def best_fit_packing(docs: DataFrame, limit: int = 2048, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", shard_pieces: int = 20_000, groups: int = 32) -> DataFrame:
     """Documents packed into sequences of at most `limit` tokens: one row per piece."""
-    pieces = tokenise(docs, limit, tokenizer or default_tokenizer(), id_col, text_col)
-    return pack_pieces(pieces, docs.count(), limit, shard_docs, groups)
+    pieces = stage(tokenise(docs, limit, tokenizer or default_tokenizer(), id_col, text_col), "pieces")
+    return pack_pieces(pieces, pieces.count(), limit, shard_pieces, groups)
