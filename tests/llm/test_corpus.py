@@ -462,6 +462,45 @@ def test_extraction_pages():
     assert main_text.extract(long).count("\n") == 4999
 
 
+PROSE = "The committee met on Tuesday to discuss the new plan for the harbour, and most members agreed with it."
+BODY = f"<h1>Harbour plan agreed</h1><p>{PROSE}</p><p>Short.</p><p>{PROSE} {PROSE}</p><p>Indeed.</p><p>{PROSE}</p>"
+NAV, FOOT = "<nav><a href=a>Home</a> <a href=b>News</a></nav>", "<footer>Copyright us</footer>"
+
+
+@pytest.mark.parametrize("page", [
+    f'<div class="site no-sidebar">{NAV}<article>{BODY}</article>{FOOT}</div>',
+    f'{NAV}<div class="has-sidebar"><article>{BODY}</article></div>{FOOT}',
+    f'{NAV}<article><div class="entry-content comments-open">{BODY}</div></article>{FOOT}',
+    f'{NAV}<section class="section-notice"><article>{BODY}</article></section>{FOOT}',
+    f'{NAV}<article class="related-story">{BODY}</article>{FOOT}',
+    f'<form id="aspnetForm">{NAV}<div>{BODY}</div>{FOOT}</form>',
+    f'{NAV}<div class="x1">{BODY}</div><div>Accept</div>{FOOT}',
+    f'<ul><li><a href=a>Home</a><li><a href=b>News</a></ul><div>{BODY}</div><div class="comments"><p>{PROSE}</p><p>{PROSE}</p></div><div id="sidebar"><p>Weather is fine today in the whole of the country.</p></div>{FOOT}',
+    f'{NAV}<article>{BODY}<form>Subscribe to our newsletter <input></form></article>{FOOT}',
+    f'{NAV}<article>{BODY}<section class="comments"><article class="comment"><p>{PROSE}</p></article></section></article>{FOOT}',
+    f'<div class="cookie-banner"><p>{PROSE}</p></div>{NAV}<main>{BODY}<div class="ad">Buy the best things now, only today, and save.</div></main>{FOOT}',
+])
+def test_extraction_is_not_misled_by_names(page):
+    want = "\n".join(["Harbour plan agreed", PROSE, "Short.", PROSE + " " + PROSE, "Indeed.", PROSE])
+    assert main_text.extract(f"<html><body>{page}</body></html>") == want
+
+
+def test_the_cut_decides_where_the_costs_alone_are_wrong():
+    page = main_text.parse(f"<body>{NAV}<div>{BODY}<ul><li>first thing here</li><li>second thing</li></ul><p>{PROSE}</p></div><div>Accept</div>{FOOT}")
+    costs = main_text.Costs()
+    cut, alone = main_text.label(page, costs), [x >= 0 for x in main_text.balances(page, costs)]
+    assert cut == [False] + [True] * 9 + [False] * 2
+    assert [b.text for b, x, y in zip(page.blocks, cut, alone) if x != y] == ["Short.", "Indeed.", "first thing here", "second thing"]
+
+
+def test_extraction_odd_rows(spark):
+    rows = [(1, None, None), (None, "u", "<p>a"), (2, "v", ""), (3, "w", f"<article>{BODY}</article>"), (3, "w", f"<article>{BODY}</article>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit(1), "n_chars": F.lit("x")})
+    got = main_text.extract_main_text(pages).collect()
+    assert sorted((r["page_id"] or 0, r["url"], r["n_chars"]) for r in got if r["n_chars"] < 9) == [(0, "u", 1), (1, None, 0), (2, "v", 0)] and len(got) == 5
+    assert main_text.extract_main_text(pages.limit(0)).count() == 0
+
+
 @data
 def test_extraction_equals_article(spark):
     import html
