@@ -186,6 +186,28 @@ def test_perplexity_odd_rows(spark):
     assert perplexity.quality_by_perplexity(odd_docs(spark).limit(0), labels).count() == 0
 
 
+def test_perplexity_sample_is_bounded_and_never_empty(spark):
+    rows = [(i, "word " * (2000 + i), "en", "a", 1) for i in range(60)]
+    docs, trusted = spark.createDataFrame(rows, DOCS), spark.range(60).withColumnRenamed("id", "doc_id")
+    size = {i: len(t) for i, t, *_ in rows}
+    take = lambda n: [r["doc_id"] for r in perplexity.sample_ids(docs, trusted, n, "doc_id", "text").collect()]
+    usable = {i for i in size if zlib.crc32(str(i).encode()) % 5}
+    assert set(take(10**9)) == usable and take(5000) == [min(usable)]
+    some = take(100_000)
+    assert 5 <= len(some) == len(set(some)) and set(some) <= usable and sum(size[i] for i in some) <= 100_000
+    assert perplexity.sample_ids(docs, trusted.limit(0), 1000, "doc_id", "text").count() == 0
+
+
+@data
+def test_perplexity_verdict_follows_from_its_columns(spark):
+    got = perplexity.quality_by_perplexity(docs_of(spark), spark.read.parquet(f"{D}/labels.parquet")).collect()
+    for r in got:
+        wide = 1.15 * 10 ** (2 / math.sqrt(r["n_bytes"]))
+        assert r["kept"] == (r["least"] / wide <= r["perplexity"] <= r["most"] * wide)
+        assert r["n_bytes"] == len(perplexity.plain(None)) or r["perplexity"] > 1
+    assert len({(r["least"], r["most"]) for r in got}) >= 1 and 0 < sum(r["kept"] for r in got)
+
+
 # -- language -----------------------------------------------------------------------------------------------
 
 
@@ -324,6 +346,19 @@ def test_decontamination_in_blocks_matches_and_odd_rows(spark):
 # -- near-duplicates ----------------------------------------------------------------------------------------
 
 
+def test_suffix_array_is_sorted_to_the_end_of_every_run():
+    rng = np.random.default_rng(2)
+    ids = rng.integers(1, 4, 300)
+    ids[rng.integers(0, 300, 12)] = 0
+    ends = np.append(np.flatnonzero(ids == 0), len(ids))
+    suffix = np.flatnonzero(ids)
+    run = ends[np.searchsorted(ends, suffix)] - suffix
+    read = decontaminate.Reader(ids, 3)
+    order = decontaminate.sorted_suffixes(read(suffix, run), suffix, run, read)
+    whole = [tuple(ids[s : s + n]) for s, n in zip(suffix[order], run[order])]
+    assert whole == sorted(whole)
+
+
 def edit_similarity(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -1,11 +1,12 @@
 """Benchmark decontamination by suffix arrays of the training documents.
 
-Documents are taken in shards (the record batches of a partition). A shard's suffix array holds, sorted, the
+Documents are taken in shards (slices of a partition's record batches). A shard's suffix array holds, sorted, the
 suffixes at which a match can begin: positions whose next words are benchmark words in benchmark order, pair
-by pair, for at least the shortest window. Every benchmark suffix is looked up in it by binary search, which
-gives all places where its first `window` words stand; runs of such places on one diagonal are the longest
-verbatim matches. No document word is left out and no match is lost: a match of a window has only benchmark
-pairs, so its position is in the array.
+by pair, for at least the shortest window, each read to the end of that run. Every benchmark suffix is looked up in it
+by binary search, which gives all places where its first `window` words stand; neighbouring places on one diagonal are
+one longest verbatim match, with its locations. The verdicts come from these matches: their words are hit, their items
+are found, their documents removed. No document word is left out and no match is lost: a match of a window has only
+benchmark pairs, so its position is in the array.
 
 The benchmark goes to the executors in blocks of at most `block_words` words, one broadcast each; every shard
 is searched for every block, and hits are united by document, so the benchmark may have any size.
@@ -91,6 +92,41 @@ def make_block(items: list[tuple[str, list[bytes]]], window: int) -> Block:
     )
 
 
+def sorted_suffixes(keys: np.ndarray, suffix: np.ndarray, run: np.ndarray, read) -> np.ndarray:
+    """The order of suffixes whose first words are `keys`: those that tie are read on, a window at a time, until
+    they differ or end. read(positions, lengths) gives the keys of the words that follow."""
+    order = np.argsort(keys, kind="stable")
+    rank = np.empty(len(keys), np.int64)
+    _, rank[order] = np.unique(keys[order], return_inverse=True)
+    done = 0
+    while True:
+        done += 1
+        _, at, size = np.unique(rank, return_inverse=True, return_counts=True)
+        tied = np.flatnonzero((size[at] > 1) & (np.maximum.reduceat(run[np.argsort(at, kind="stable")], np.cumsum(size) - size)[at] > done * read.window))
+        if not len(tied):
+            return np.argsort(rank, kind="stable")
+        more = read(suffix[tied] + done * read.window, np.maximum(run[tied] - done * read.window, 0))
+        _, more = np.unique(more, return_inverse=True)
+        place = np.lexsort((more, rank[tied]))
+        fresh = np.ones(len(tied), bool)
+        fresh[1:] = (rank[tied][place][1:] != rank[tied][place][:-1]) | (more[place][1:] != more[place][:-1])
+        finer = rank * (len(tied) + 1)
+        finer[tied[place]] += np.cumsum(fresh)
+        _, rank = np.unique(finer, return_inverse=True)
+
+
+class Reader:
+    """Keys of the window that begins at each position, cut at its run's end."""
+
+    def __init__(self, ids: np.ndarray, window: int):
+        self.ids, self.window = ids, window
+
+    def __call__(self, positions: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        places = np.arange(self.window)
+        words = self.ids[np.minimum(positions[:, None] + places, len(self.ids) - 1)]
+        return _keys(np.where(places < lengths[:, None], words, 0))
+
+
 def search(block: Block, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Occurrences of windows in a shard: document, first word, window. One binary search per suffix."""
     none = np.empty(0, np.int64)
@@ -112,13 +148,12 @@ def search(block: Block, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarra
     ends = np.append(np.flatnonzero(~linked), total)
     run = np.where(ids[known] > 0, ends[np.searchsorted(ends, known)] - known + 1, 0)
     keep = run >= block.lengths.min()
-    suffix, run = known[keep], np.minimum(run[keep], block.window)
+    suffix, run = known[keep], run[keep]
     if not len(suffix):
         return none, none, none
-    places = np.arange(block.window)
-    rows = np.where(places < run[:, None], ids[np.minimum(suffix[:, None] + places, total - 1)], 0)
-    keys = _keys(rows)
-    order = np.argsort(keys, kind="stable")
+    read = Reader(ids, block.window)
+    keys = read(suffix, run)
+    order = sorted_suffixes(keys, suffix, run, read)
     array, keys = suffix[order], keys[order]
     low = np.searchsorted(keys, block.windows, "left")
     raw = block.windows.astype(f"S{4 * block.window}")
@@ -132,12 +167,20 @@ def search(block: Block, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarra
     return doc[start], start - offsets[doc[start]], which
 
 
-def _items_of(block: Block, doc: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """Distinct document and item of occurrences."""
-    pairs = np.unique(np.stack([doc, which]), axis=1) if len(doc) else np.empty((2, 0), np.int64)
-    count = block.first[pairs[1] + 1] - block.first[pairs[1]]
-    at = np.repeat(block.first[pairs[1]] - np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64), count) + np.arange(int(count.sum())) if len(count) else np.empty(0, np.int64)
-    return np.unique(np.stack([np.repeat(pairs[0], count), block.shown[at, 0]]), axis=1)
+def longest(block: Block, docs: list[list[bytes]]) -> tuple[np.ndarray, ...]:
+    """Longest verbatim matches in a shard: document, item, first word in either, words."""
+    doc, start, which = search(block, docs)
+    count = block.first[which + 1] - block.first[which]
+    at = np.repeat(block.first[which] - np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64), count) + np.arange(int(count.sum())) if len(doc) else np.empty(0, np.int64)
+    d, s, n = np.repeat(doc, count), np.repeat(start, count), np.repeat(block.lengths[which], count)
+    item, place = block.shown[at, 0], block.shown[at, 1]
+    order = np.lexsort((s, s - place, item, d))
+    d, s, n, item, place = d[order], s[order], n[order], item[order], place[order]
+    new = np.ones(len(d), bool)
+    new[1:] = (np.diff(d) != 0) | (np.diff(item) != 0) | (np.diff(s) != 1) | (np.diff(place) != 1)
+    heads = np.flatnonzero(new)
+    tails = np.append(heads[1:], len(d))[: len(heads)] - 1
+    return d[heads], item[heads], s[heads], place[heads], s[tails] + n[tails] - s[heads]
 
 
 class Shard:
@@ -150,11 +193,11 @@ class Shard:
         self.items: dict[int, set[str]] = {}
 
     def take(self, block: Block) -> None:
-        doc, start, which = search(block, self.words)
+        doc, item, start, _, n = longest(block, self.words)
         at = self.offsets[doc] + start
         np.add.at(self.edge, at, 1)
-        np.add.at(self.edge, at + block.lengths[which], -1)
-        for d, i in _items_of(block, doc, which).T.tolist():
+        np.add.at(self.edge, at + n, -1)
+        for d, i in np.unique(np.stack([doc, item]), axis=1).T.tolist():
             self.items.setdefault(d, set()).add(block.items[i])
 
     def report(self) -> pd.DataFrame:
@@ -191,19 +234,24 @@ def _each(blocks: list) -> Iterator[Block]:
             vars(b).pop("_value", None)  # one block in memory at a time
 
 
+def _reports(texts: list[str | None], blocks: list) -> pd.DataFrame:
+    """Reports of a record batch, in shards; each block is loaded once for all of them."""
+    shards = [Shard(texts[cut]) for cut in slices([len(t or "") for t in texts], SHARD_CHARS)]
+    for block in _each(blocks):
+        for shard in shards:
+            shard.take(block)
+    return pd.concat([s.report() for s in shards], ignore_index=True)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """One row per document: words, hit words, items found, digest of their ids, contaminated."""
     blocks = blocks_of(benchmark, window, block_words, item_col, "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for cut in slices([len(t or "") for t in b["text"]], SHARD_CHARS):
-                part = b.iloc[cut]
-                shard = Shard(part["text"].tolist())
-                for block in _each(blocks):
-                    shard.take(block)
-                out = shard.report()
-                out.insert(0, "doc_id", part["doc_id"].astype("Int64").array)
+            if len(b):
+                out = _reports(b["text"].tolist(), blocks)
+                out.insert(0, "doc_id", b["doc_id"].astype("Int64").array)
                 yield out
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(trimmed(run), REPORT)
@@ -220,20 +268,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words
             words = [split_words(t) for t in b["text"]]
             ids = b["doc_id"].astype("Int64").array
             for block in _each(blocks):
-                doc, start, which = search(block, words)
-                if not len(doc):
-                    continue
-                count = block.first[which + 1] - block.first[which]
-                at = np.repeat(block.first[which] - np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64), count) + np.arange(int(count.sum()))
-                d, s, n = np.repeat(doc, count), np.repeat(start, count), np.repeat(block.lengths[which], count)
-                item, place = block.shown[at, 0], block.shown[at, 1]
-                order = np.lexsort((s, s - place, item, d))
-                d, s, n, item, place = d[order], s[order], n[order], item[order], place[order]
-                new = np.ones(len(d), bool)
-                new[1:] = (np.diff(d) != 0) | (np.diff(item) != 0) | (np.diff(s) != 1) | (np.diff(place) != 1)
-                heads = np.flatnonzero(new)
-                tails = np.append(heads[1:], len(d)) - 1
-                yield pd.DataFrame({"doc_id": ids[d[heads]], "item_id": [block.items[i] for i in item[heads]], "start": s[heads], "item_start": place[heads], "n_words": s[tails] + n[tails] - s[heads]})
+                d, item, start, place, n = longest(block, words)
+                if len(d):
+                    yield pd.DataFrame({"doc_id": ids[d], "item_id": [block.items[i] for i in item], "start": start, "item_start": place, "n_words": n})
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(trimmed(run), MATCHES)
 
@@ -245,12 +282,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, clean = b.column(at).to_pylist(), []
-            for cut in slices([len(t or "") for t in texts], SHARD_CHARS):
-                shard = Shard(texts[cut])
-                for block in _each(blocks):
-                    shard.take(block)
-                clean += (~shard.report()["contaminated"]).tolist()
-            yield b.filter(pa.array(clean, pa.bool_()))
+            if b.num_rows:
+                yield b.filter(pa.array((~_reports(b.column(at).to_pylist(), blocks)["contaminated"]).tolist(), pa.bool_()))
 
     return docs.mapInArrow(trimmed(run), docs.schema)
