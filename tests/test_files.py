@@ -142,6 +142,79 @@ def test_stream_follows_a_folder(spark, tmp_path):
     assert [r["source"] for r in c.list_networks().collect()] == ["new.csv"]
 
 
+def test_saved_networks_get_names_of_their_own_and_survive_the_stream(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path / "store"))
+    c.ingest_file(put(tmp_path / "in", "a.csv", NETWORK))
+    c.ingest_file(put(tmp_path / "in", "b.csv", "x,y,0.5\n"))
+    none = editing.Edit.none(spark)
+    assert [c.save_edit("a.csv", n, none)["source"] for n in ("B.csv", "mine", "mine", "Mine.csv")] == ["B_1.csv", "mine.csv", "mine_1.csv", "Mine_2.csv"]
+    assert c.status("b.csv")["edges"] == 1 and c.status("mine.csv")["edges"] == 5
+    assert c.extract("a.csv", "node1", "mine")["source"] == "mine_3.csv"
+    put(tmp_path / "in", "late.csv", "p,q,0.25\n")
+    reload.follow(c, str(tmp_path / "in"), str(tmp_path / "cp"), once=True).awaitTermination(120)
+    assert [r["source"] for r in c.list_networks().orderBy("source").collect()] == ["B_1.csv", "Mine_2.csv", "a.csv", "b.csv", "late.csv", "mine.csv", "mine_1.csv", "mine_3.csv"]
+
+
+def test_saved_networks_are_files_of_the_folder(spark, tmp_path):
+    path = put(tmp_path / "in", "a.csv", NETWORK)
+    c = Catalog(spark, str(tmp_path / "store"), str(tmp_path / "in"))
+    c.ingest_file(path)
+    assert c.save_edit("a.csv", "A.csv", editing.Edit.none(spark))["source"] == "A_1.csv" and c.own_writes == ["A_1.csv"]
+    assert len((tmp_path / "in" / "A_1.csv").read_text().splitlines()) == 5
+    reload.follow(c, str(tmp_path / "in"), str(tmp_path / "cp"), once=True).awaitTermination(120)
+    assert [r["source"] for r in c.list_networks().orderBy("source").collect()] == ["A_1.csv", "a.csv"]
+
+
+def test_a_save_that_fails_leaves_nothing(spark, tmp_path, monkeypatch):
+    def no(self, name):
+        raise OSError("disk full")
+
+    monkeypatch.setattr(Catalog, "_write_file", no)
+    c = Catalog(spark, str(tmp_path / "store"), str(tmp_path / "in"))
+    c.ingest_file(put(tmp_path / "in", "a.csv", NETWORK))
+    with pytest.raises(OSError):
+        c.save_edit("a.csv", "mine", editing.Edit.none(spark))
+    assert [r["source"] for r in c.list_networks().collect()] == ["a.csv"] and c.members.filter("source = 'mine.csv'").isEmpty()
+    assert c.reserve("mine.csv") == "mine.csv"
+
+
+def test_a_file_that_became_empty_leaves_no_network(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path / "store"))
+    c.ingest_file(put(tmp_path / "in", "a.csv", NETWORK))
+    c.ingest_file(put(tmp_path / "in", "b.csv", "x,y,0.5\n"))
+    c.ingest_file(put(tmp_path / "in", "a.csv", "\n"))
+    assert [r["source"] for r in c.list_networks().collect()] == ["b.csv"]
+
+
+def test_folder_changes_without_a_network_file(spark, tmp_path):
+    c, told = Catalog(spark, str(tmp_path / "store")), []
+    put(tmp_path / "in", "a.csv", NETWORK)
+    put(tmp_path / "in", "b.csv", "x,y,0.5\n")
+    c.ingest_file(str(tmp_path / "in"))
+    f = reload.Folder(c, str(tmp_path / "in"), lambda kind, name: told.append((kind, name)))
+    f.look()
+    put(tmp_path / "in", "n.nodes.attr", "node_id,NCBI_txID,NH_ID,NH_Size,,,,,\nx,9606,,,,,,,\n")
+    put(tmp_path / "in", "taxonomy.txt", "root\n")
+    (tmp_path / "in" / "a.csv").write_text("")
+    told.clear()
+    f.look()
+    assert told == [("network", "a.csv"), ("attributes", "n.nodes.attr"), ("taxonomy", "taxonomy.txt")]
+    assert [r["source"] for r in c.list_networks().collect()] == ["b.csv"] and c.nodes.filter("id = 'x'").collect()[0]["taxid"] == "9606"
+    (tmp_path / "in" / "b.csv").unlink()
+    f.look()
+    assert c.list_networks().isEmpty()
+
+
+def test_taxonomy_tree_leaves_orphans_out(spark, tmp_path):
+    from weftgraph.operators import taxonomy
+
+    rows = [(1, 0, "root"), (2, 2, "orphan"), (3, 3, "its child"), (4, 1, "kept"), (5, 2, "leaf")]
+    parsed = spark.createDataFrame(rows, "line int, depth int, name string")
+    with pytest.warns(UserWarning, match="2 orphan"):
+        got = taxonomy.without_orphans(parsed)
+    assert sorted(r["name"] for r in got.collect()) == ["kept", "leaf", "root"]
+
+
 def test_suppression_ends_by_time_and_number():
     now = [0.0]
     s = reload.Suppression(10, 2, lambda: now[0])

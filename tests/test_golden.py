@@ -205,3 +205,29 @@ def test_coarsened_communities_equal_planted_groups(spark):
         groups.setdefault(r["cluster_id"], set()).add(r["node"][0] + (str(int(r["node"][1:]) // 15) if r["node"][0] == "n" else ""))
     assert got.count() == 62 and all(len({g[0] + g[1:] for g in v} - {"y"}) == 1 for v in groups.values() if v != {"x", "y"})
     assert communities.modularity(df, got) > 0.5
+
+
+def test_cluster_number_equals_a_plain_loop_and_spectrum_a_full_solution():
+    import numpy as np
+
+    from weftgraph.operators import signal_calls
+
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        v = np.sort(rng.choice([rng.random(int(rng.integers(2, 21))), np.round(rng.random(12), 1)][int(rng.integers(0, 2))], int(rng.integers(2, 12))))[::-1]
+        drops, z = v[:-1] - v[1:], []
+        for i, g in enumerate(drops):
+            rest = np.array([x for j, x in enumerate(drops) if j != i])
+            if len(rest):
+                m = np.median(rest)
+                z.append((g - m) / (1.4826 * max(np.median(np.abs(rest - m)), 1e-12)))
+        assert signal_calls.choose_k(v) == (int(np.argmax(z)) + 1 if len(drops) > 1 and max(z) > 0 else 1)
+    p = np.concatenate([rng.normal(c, 0.3, (90, 2)) for c in ((0, 0), (4, 0), (0, 4))])
+    p = np.concatenate([p, p[:5]])
+    w = signal_calls.affinity(p)
+    near = np.array([np.median(r[r > 0]) for r in np.sqrt(((p[:, None] - p[None]) ** 2).sum(axis=2))])
+    assert np.isclose(w[3, 100], np.exp(-((p[3] - p[100]) ** 2).sum() / (near[3] * near[100])))
+    values, vectors = signal_calls.spectrum(p)
+    root = w.sum(axis=1) ** -0.5
+    full = np.linalg.eigvalsh(root[:, None] * w * root)[::-1]
+    assert np.allclose(values, full[:20]) and np.allclose(root[:, None] * w * root @ vectors, vectors * values, atol=1e-8)

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from weftgraph.plans import catalogue, inventory  # noqa: F401
+from weftgraph.plans import catalogue, formats, inventory  # noqa: F401
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

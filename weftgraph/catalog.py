@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import validation
-from .operators import editing, extraction, networks
+from .operators import editing, extraction, networks, taxonomy
 from .sources import readers, writers
 
 EDGES = "node1 string, node2 string, weight double, source string"
@@ -16,10 +16,74 @@ MEMBERS = "id string, source string"
 
 
 class Catalog:
-    """Networks, nodes and members below one folder."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    """Networks, nodes and members below one folder.
+
+    A network's members are the ends of its edges, and isolated nodes that are stored beside them; so replacing a
+    network is one commit. Saved and extracted networks get a name of their own (`_1`, `_2`, ... after the stem).
+    With `files`, a folder of network files, they are written there too; without, they are marked as made here, so
+    that the absence of a file does not drop them."""
+
+    def __init__(self, spark: SparkSession, folder: str, files: str | None = None):
+        self.spark, self.folder, self.files = spark, folder.rstrip("/"), files and files.rstrip("/")
+        self.own_writes: list[str] = []  # names of files written by us, for whoever follows the folder
+
+    def _fs(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
+
+    def _touch(self, path: str) -> bool:
+        """Whether the empty file was not there and is now."""
+        fs, where = self._fs(path)
+        fs.mkdirs(where.getParent())
+        return fs.createNewFile(where)
+
+    def _delete(self, path: str) -> None:
+        fs, where = self._fs(path)
+        fs.delete(where, True)
+
+    def _names(self, path: str) -> list[str]:
+        fs, where = self._fs(path)
+        return readers.file_names(self.spark, path) if fs.exists(where) else []
+
+    def reserve(self, name: str, tries: int = 1000) -> str:
+        """A name that no stored network and no file has, cases alike, held until `release`."""
+        stem = name[:-4]
+        for k in range(tries):
+            got = f"{stem}_{k}.csv" if k else name
+            free = self.list_networks().filter(F.lower("source") == got.lower()).limit(1).isEmpty()
+            if free and got.lower() not in {n.lower() for n in (self._names(self.files) if self.files else [])} and self._touch(f"{self.folder}/reserved/{got.lower()}"):
+                return got
+        raise RuntimeError(f"no free name for {name}")
+
+    def release(self, name: str) -> None:
+        self._delete(f"{self.folder}/reserved/{name.lower()}")
+
+    def _store(self, name: str, edges: DataFrame, members: DataFrame | None = None) -> None:
+        """Store a network under a reserved name: all of it, or nothing."""
+        try:
+            if members is not None:
+                writers.replace_sources(members.select("id", F.lit(name).alias("source")), f"{self.folder}/members")
+            self._touch(f"{self.folder}/made/{name}")
+            self.ingest_edges(edges.select("node1", "node2", F.col("weight").cast("double").alias("weight"), F.lit(name).alias("source")), keep_members=True)
+            if self.files:
+                self.own_writes.append(name)
+                self._write_file(name)
+                self._delete(f"{self.folder}/made/{name}")
+        except Exception:
+            self.drop(name)
+            raise
+        finally:
+            self.release(name)
+
+    def _write_file(self, name: str) -> None:
+        """One file, as the format wants it: written aside, then renamed."""
+        aside = f"{self.folder}/aside/{name}"
+        writers.write_network(self.edges.filter(F.col("source") == name).coalesce(1), aside)
+        part = next(n for n in readers.file_names(self.spark, aside) if n.startswith("part-"))
+        fs, where = self._fs(f"{aside}/{part}")
+        if not fs.rename(where, self._fs(f"{self.files}/{name}")[1]):
+            raise OSError(f"{name} cannot be written to {self.files}")
+        self._delete(aside)
 
     def _table(self, name: str, schema: str) -> DataFrame:
         try:
@@ -39,23 +103,30 @@ class Catalog:
 
     @property
     def members(self) -> DataFrame:
-        return self._table("members", MEMBERS)
+        ends = self.edges.select(F.explode(F.array("node1", "node2")).alias("id"), "source")
+        return ends.union(self._table("members", MEMBERS)).distinct()
 
-    def ingest_edges(self, edges: DataFrame) -> None:
-        """Replace the networks that `edges` (source, node1, node2, weight) holds. A pair that occurs twice in a
-        network refuses all of them before anything is written."""
+    def ingest_edges(self, edges: DataFrame, sources: list[str] | None = None, keep_members: bool = False) -> None:
+        """Replace the networks that `edges` (source, node1, node2, weight) holds, and those of `sources`: one of
+        these without edges goes. A pair that occurs twice in a network refuses all before anything is written."""
         ordered = edges.select(F.least("node1", "node2").alias("node1"), F.greatest("node1", "node2").alias("node2"), "weight", "source")
         twice = networks.duplicate_edges(ordered, "node1", "node2").limit(1).collect()
         if twice:
             raise ValueError(f"{twice[0]['node1']}|{twice[0]['node2']} occurs {twice[0]['n']} times in {twice[0]['source']}")
         writers.replace_sources(ordered, f"{self.folder}/edges")
-        ends = ordered.select(F.explode(F.array("node1", "node2")).alias("id"), "source").distinct()
-        writers.replace_sources(ends, f"{self.folder}/members")
+        held = {r["source"] for r in ordered.select("source").distinct().collect()}  # one per network of the call
+        for name in held if not keep_members else ():
+            self._delete(f"{self.folder}/members/source={name}")  # isolated nodes of what was there before
+        for name in set(sources or ()) - held:
+            self.drop(name)
 
     def ingest_file(self, path: str) -> None:
-        self.ingest_edges(readers.network(self.spark, path))
+        """Replace the networks of a file or a folder of files; a file without a usable line leaves none."""
+        fs, where = self._fs(path)
+        names = [where.getName()] if fs.getFileStatus(where).isFile() else [n for n in readers.file_names(self.spark, path) if n.endswith(".csv")]
+        self.ingest_edges(readers.network(self.spark, path), names)
 
-    def ingest_attributes(self, path: str) -> None:
+    def ingest_attributes(self, path: str | list[str]) -> None:
         """Attributes of all files together: a node that occurs twice refuses all; others lose theirs."""
         rows = readers.node_attributes(self.spark, path)
         twice = networks.duplicate_nodes(rows.withColumn("at", F.concat_ws(":", "file", F.col("line").cast("string"))), "at").limit(20).collect()
@@ -67,13 +138,9 @@ class Catalog:
         fresh.write.mode("overwrite").parquet(f"{self.folder}/nodes")
 
     def drop(self, source: str) -> None:
-        """Remove a network: its partitions become empty."""
-        for name, schema in (("edges", EDGES), ("members", MEMBERS)):
-            have = self._table(name, schema).filter(F.col("source") == source).limit(1)
-            if not have.isEmpty():
-                jvm = self.spark._jvm
-                path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/source={source}")
-                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        """Remove a network."""
+        for path in (f"edges/source={source}", f"members/source={source}", f"made/{source}"):
+            self._delete(f"{self.folder}/{path}")
 
     def list_networks(self) -> DataFrame:
         return networks.list_networks(self.edges, self.members)
@@ -101,31 +168,52 @@ class Catalog:
 
     def save_edit(self, source: str, name: str, edit: editing.Edit) -> dict:
         """Store the edited copy of a network under a new name, isolated nodes as members."""
-        name = validation.csv_name(name)
-        nodes, edges = self.load(source)
-        members, kept = editing.edited_network(nodes, edges, edit)
-        counts = {"nodes": members.count(), "edges": kept.count()}
-        writers.replace_sources(kept.select("node1", "node2", "weight", F.lit(name).alias("source")), f"{self.folder}/edges")
-        writers.replace_sources(members.select("id", F.lit(name).alias("source")), f"{self.folder}/members")
+        name = self.reserve(validation.csv_name(name))
+        try:
+            nodes, edges = self.load(source)
+            members, kept = editing.edited_network(nodes, edges, edit)
+            counts = {"nodes": members.count(), "edges": kept.count()}
+        except Exception:
+            self.release(name)
+            raise
+        self._store(name, kept, members)
         return counts | {"source": name}
 
+    @staticmethod
+    def limits() -> dict:
+        """What an extraction may ask for."""
+        return {"default_nodes": 500, "max_nodes": 2500, "max_seeds": 10}
+
     def extract(self, source: str, seeds: str | list[str], name: str, max_nodes: int | None = None) -> dict:
-        """Extract a subnetwork around seeds and store it."""
+        """Extract a subnetwork around seeds and store it under a new name."""
         name, limit = validation.csv_name(name), validation.max_nodes(max_nodes)
         adj = networks.adjacency(self.edges.filter(F.col("source") == source))
         edges, got = extraction.extract(adj, validation.seeds(seeds), limit)
         if edges.isEmpty():
             raise ValueError("the subnetwork has no edges")
-        self.ingest_edges(edges.select("node1", "node2", F.col("weight").cast("double").alias("weight"), F.lit(name).alias("source")))
+        name = self.reserve(name)
+        self._store(name, edges)
         return {"source": name, "nodes": len(got.nodes), "missing": got.missing}
 
+    def taxonomy_names(self, path: str) -> DataFrame:
+        """ncbi_txid, species_name of the names file."""
+        return readers.species(self.spark, path)
+
+    def taxonomy_tree(self, tree_path: str, names_path: str) -> DataFrame:
+        """The tree of a line file, with taxids and whether the stored nodes have them. A line without a parent,
+        other than the first, is left out with a warning."""
+        tree = taxonomy.build(taxonomy.without_orphans(taxonomy.parse_lines(readers.tree_lines(self.spark, tree_path))))
+        known = self.nodes.select("taxid").filter("taxid IS NOT NULL").distinct()
+        return taxonomy.annotate(tree, readers.taxon_names(self.spark, names_path), known)
+
     def export_groups(self, groups: list[dict]) -> DataFrame:
         rows = [(name, i, x) for name, own in validation.groups(groups) for i, x in enumerate(own)]
         return writers.group_texts(self.spark.createDataFrame(rows, "name string, place int, accession string"))
 
     def orphans(self, files: DataFrame) -> DataFrame:
-        """source of stored networks whose file is gone. files: source."""
-        return networks.missing(self.list_networks(), files, "source")
+        """source of stored networks whose file is gone; those made here never had one. files: source."""
+        made = self.spark.createDataFrame([(n,) for n in self._names(f"{self.folder}/made")], "source string")
+        return networks.missing(networks.missing(self.list_networks(), files, "source"), made, "source")
 
     def unknown(self, files: DataFrame) -> DataFrame:
         """source of files that are not stored."""

@@ -107,16 +107,41 @@ def markdown_cell(text: Column) -> Column:
     return F.replace(F.coalesce(text, F.lit("")), F.lit("|"), F.lit("\\|"))
 
 
+def html_text(text: Column) -> Column:
+    """Text with the five characters of markup as references."""
+    out = F.coalesce(text, F.lit(""))
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        out = F.replace(out, F.lit(char), F.lit(name))
+    return out
+
+
 def json_first(document: Column, *paths: str) -> Column:
     """The first path of a JSON text that has a value."""
     return F.coalesce(*[F.get_json_object(document, p) for p in paths])
 
 
 def fixed(value: Column, digits: int) -> Column:
-    """Decimal text with exact binary rounding, ties to even: the shortest exact decimal expansion of the
-    double is rounded, so 0.03125 gives 0.0312 at four digits."""
-    exact = value.cast("decimal(38,20)")
-    return F.bround(exact, digits).cast(f"decimal(38,{digits})").cast("string")
+    """Decimal text of a double, rounded from its exact binary value, ties to even: 0.03125 gives 0.0312 at four
+    digits, and 0.26875, which lies below that decimal, 0.2687. Numbers of more than 15 digits, those after the
+    point that are kept counted, are rounded from their shortest decimal; below 1e-6, bits beyond the 73rd are cut."""
+    v = value.cast("double")
+    few = F.abs(v) < 1e15 / 10**digits
+    whole, rest = F.lit(0).cast("decimal(38,0)"), F.when(few, F.abs(v)).otherwise(0.0)
+    for bits in (26, 27, 20):  # scaling by powers of two and splitting off whole parts is exact
+        scaled = rest * float(1 << bits)
+        part = F.floor(scaled)
+        whole = (whole * F.lit(1 << bits).cast("decimal(10,0)") + part.cast("decimal(19,0)")).cast("decimal(38,0)")
+        rest = scaled - part
+    units = (whole * F.lit(10**digits).cast(f"decimal({digits + 1},0)")).cast("decimal(38,0)")
+    one, half = (F.lit(str(1 << k)).cast("decimal(23,0)") for k in (73, 72))
+    q, r = F.call_function("div", units, one), units % one
+    q = q + ((r > half) | ((r == half) & (q % 2 == 1))).cast("long")
+    text = q.cast("string")
+    if digits:
+        text = F.concat(F.call_function("div", q, F.lit(10**digits)).cast("string"), F.lit("."), F.lpad((q % 10**digits).cast("string"), digits, "0"))
+    exact = F.concat(F.when((v < 0) & (q > 0), "-").otherwise(""), text)
+    shortest = F.bround(v.cast("decimal(38,18)"), digits).cast(f"decimal(38,{digits})").cast("string")
+    return F.when(few, exact).when(F.abs(v) < 1e18, shortest)
 
 
 def edited_name(name: Column) -> Column:

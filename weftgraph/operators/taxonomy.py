@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +32,18 @@ def build(parsed: DataFrame) -> DataFrame:
     return both.withColumn("parent", F.last("over", ignorenulls=True).over(w)).filter("own").select("line", "depth", "name", "parent")
 
 
+def without_orphans(parsed: DataFrame) -> DataFrame:
+    """The lines that have a parent, or need none; the others are named in a warning. What hangs on a line that
+    is left out goes too, so there are at most as many rounds as depths."""
+    while True:
+        orphans = stage(build(parsed).filter("depth > 0 AND parent IS NULL").select("line", "name"), "orphans")
+        some = orphans.orderBy("line").limit(20).collect()
+        if not some:
+            return parsed
+        warnings.warn("lines without a parent are left out: " + ", ".join(f"{r['line']} {r['name']}" for r in some), stacklevel=2)
+        parsed = parsed.join(orphans.select("line"), "line", "left_anti")
+
+
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
     """The rows with `line` from 1, in order. Rows are numbered within ranges of the order and added to the
     sizes of the ranges before, so no task holds all rows; the ranges are staged, so both see the same."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -90,3 +90,8 @@ def export_rows(nodes: DataFrame, per_line: int = 5) -> DataFrame:
     x = nodes.filter("nh_id IS NOT NULL").select("nh_id", "id", k.alias("k"))
     lines = x.groupBy("nh_id", F.floor(F.col("k") / per_line).cast("long").alias("line")).agg(F.sort_array(F.collect_list(F.struct("k", "id"))).alias("s"))
     return lines.select("nh_id", "line", F.array_join(F.transform("s", lambda s: s["id"]), ", ").alias("ids"))
+
+
+def by_centrality(members: DataFrame) -> DataFrame:
+    """Members of clusters (id, nh_id, centrality) with their place: the most central first, then by id."""
+    return members.withColumn("place", F.row_number().over(Window.partitionBy("nh_id").orderBy(F.desc("centrality"), "id")))

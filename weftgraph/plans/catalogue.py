@@ -50,17 +50,6 @@ def graph15_sji_with_self(spark, d):
     return sji.network(b.signals(spark, d, with_self=True)).select("a", "b", "inter", "uni", "sji")
 
 
-@query(f"""
-WITH s AS ({S}), q AS (SELECT * FROM s WHERE protein % 10 = 0), n AS (SELECT protein, count(*) AS k FROM s GROUP BY 1),
-i AS (SELECT e.protein AS a, e.signal AS b, count(*) AS inter FROM q e JOIN q f ON f.protein = e.protein
-  JOIN s g ON g.protein = e.signal AND g.signal = f.signal GROUP BY 1, 2)
-SELECT a, b, inter, n1.k + n2.k - inter AS uni, inter / (n1.k + n2.k - inter) AS sji
-FROM i JOIN n n1 ON n1.protein = a JOIN n n2 ON n2.protein = b""")
-def graph16_sji_oneway(spark, d):
-    s = b.signals(spark, d)
-    return sji.network_oneway(s.filter("protein % 10 = 0"), s).select("a", "b", "inter", "uni", "sji")
-
-
 @query(f"""
 WITH s AS ({S}), n AS (SELECT protein, count(*) AS k FROM s GROUP BY 1),
 i AS (SELECT e.protein AS a, e.signal AS b, count(*) AS inter FROM s e JOIN s f ON f.protein = e.protein
@@ -235,11 +224,11 @@ def val6_conflicts(spark, d):
 
 
 @query("""
-SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)
-UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0""")
+SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 4000)
+UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 4000""")
 def set4_override(spark, d):
     old = b.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
-    new = b.table(spark, d, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    new = b.table(spark, d, "customer").filter("c_acctbal > 4000").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
     return networks.override(old, new, "id")
 
 
@@ -574,14 +563,17 @@ def alg4_top_targets(spark, d):
 
 
 @query("""
-WITH s AS (SELECT p_partkey AS id, regexp_replace(upper(p_name), '[^A-Z]', '', 'g') AS s FROM part WHERE p_partkey <= 60),
-g AS (SELECT id, length(s) AS n, substr(s, i, 2) AS g, i FROM (SELECT id, s, unnest(range(1, length(s))) AS i FROM s)),
-v AS (SELECT a.id AS query, b.id AS target, b.i - a.i AS diagonal, count(*) AS votes FROM g a JOIN g b ON a.g = b.g
-  WHERE greatest(a.n, b.n) <= least(a.n, b.n) * 1.5::DOUBLE GROUP BY 1, 2, 3)
-SELECT query, target, diagonal, votes FROM (SELECT *, row_number() OVER (PARTITION BY query, target ORDER BY votes DESC, abs(diagonal), diagonal DESC) AS k FROM v) WHERE k = 1""")
+WITH p AS (SELECT regexp_replace(upper(p_name), '[^A-Z]', '', 'g') AS s, min(p_partkey) AS id, count(*) AS n_rows FROM part GROUP BY 1),
+g AS (SELECT id, n, n_rows, substr(s, i, 2) AS g, i FROM (SELECT id, n_rows, s, length(s) AS n, unnest(range(1, length(s))) AS i FROM p)),
+v AS (SELECT a.id AS query, b.id AS target, a.n_rows AS queries, b.n_rows AS targets, b.i - a.i AS diagonal, count(*) AS votes FROM g a JOIN g b ON a.g = b.g
+  WHERE greatest(a.n, b.n) <= least(a.n, b.n) * 1.5::DOUBLE GROUP BY 1, 2, 3, 4, 5)
+SELECT query, target, queries, targets, diagonal, votes FROM (SELECT *, row_number() OVER (PARTITION BY query, target ORDER BY votes DESC, abs(diagonal), diagonal DESC) AS k FROM v) WHERE k = 1""")
 def alg1_diagonals(spark, d):
-    seqs = b.table(spark, d, "part").filter("p_partkey <= 60").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("seq"))
-    return alignment.diagonals(seqs, seqs).withColumn("diagonal", F.col("diagonal").cast("long"))
+    """Pairs of the distinct sequences of the whole table, with the number of rows that have each."""
+    one = _sequences(spark, d).groupBy("seq").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"))
+    x = alignment.diagonals(one, one).withColumn("diagonal", F.col("diagonal").cast("long"))
+    x = x.join(one.select(F.col("id").alias("query"), F.col("rows").alias("queries")), "query").join(one.select(F.col("id").alias("target"), F.col("rows").alias("targets")), "target")
+    return x.select("query", "target", "queries", "targets", "diagonal", "votes")
 
 
 @query()

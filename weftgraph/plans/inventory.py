@@ -21,15 +21,6 @@ def flt10_min_jaccard(spark, d):
     return sji.network(b.signals(spark, d), min_jaccard=0.05).select("a", "b", "inter", "uni", "sji")
 
 
-@query(f"""
-WITH s AS (SELECT protein AS a, signal AS b FROM ({S}) WHERE protein % 2 = 0), n AS (SELECT a, list(b) AS l, count(*) AS k FROM s GROUP BY 1),
-p AS (SELECT s.a, s.b FROM s WHERE s.a <> s.b AND NOT EXISTS (SELECT 1 FROM s t WHERE t.a = s.b AND t.b = s.a AND s.b < s.a)),
-x AS (SELECT p.a, p.b, CASE WHEN m.k IS NULL THEN 1 ELSE len(list_intersect(n.l, m.l)) END AS inter, n.k + coalesce(m.k, 1) AS total FROM p JOIN n ON n.a = p.a LEFT JOIN n m ON m.a = p.b)
-SELECT a, b, inter, total - inter AS uni, inter / (total - inter) AS sji FROM x WHERE inter > 0""")
-def join5_missing_neighbours(spark, d):
-    return sji.network(b.signals(spark, d).filter("protein % 2 = 0")).select("a", "b", "inter", "uni", "sji")
-
-
 @query(f"""
 WITH s AS (SELECT protein AS a, signal AS b FROM ({S}) WHERE protein NOT IN (SELECT p_partkey FROM part WHERE p_brand = 'Brand#23')), n AS (SELECT a, list(b) AS l, count(*) AS k FROM s GROUP BY 1),
 p AS (SELECT s.a, s.b FROM s WHERE s.a <> s.b AND NOT EXISTS (SELECT 1 FROM s t WHERE t.a = s.b AND t.b = s.a AND s.b < s.a)),
@@ -159,16 +150,6 @@ def win3_top_alignments(spark, d):
     return ranking.top_alignments(x, 4).withColumn("rank", F.col("rank").cast("long"))
 
 
-TREE_LINES = "SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS line, least(l_linenumber - 1, 4) AS depth, 'n' || l_partkey AS name FROM lineitem WHERE l_orderkey <= 2000"
-
-
-@query(f"WITH x AS ({TREE_LINES}) SELECT line, depth::INT AS depth, name, (SELECT max(line) FROM x p WHERE p.depth = x.depth - 1 AND p.line < x.line) AS parent FROM x")
-def win8_tree_parents(spark, d):
-    x = b.table(spark, d, "lineitem").filter("l_orderkey <= 2000")
-    line = F.row_number().over(Window.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")).cast("long")
-    return taxonomy.build(x.select(line.alias("line"), F.least(F.col("l_linenumber") - 1, F.lit(4)).cast("int").alias("depth"), F.concat(F.lit("n"), F.col("l_partkey").cast("string")).alias("name")))
-
-
 @query("""
 WITH x AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS line, least(l_linenumber - 1, 4) AS depth, 'n' || l_partkey AS name FROM lineitem),
 y AS (SELECT *, max(line) FILTER (depth = 0) OVER w AS d0, max(line) FILTER (depth = 1) OVER w AS d1, max(line) FILTER (depth = 2) OVER w AS d2, max(line) FILTER (depth = 3) OVER w AS d3
@@ -266,11 +247,6 @@ def fn15_csv_cells(spark, d):
     return b.table(spark, d, "part").select(F.col("p_partkey").alias("id"), fn.csv_cell(text).alias("cell"))
 
 
-@query("SELECT l_partkey AS a, l_suppkey AS b, printf('%.2f', l_quantity) AS q FROM lineitem WHERE l_orderkey <= 500")
-def fn3_fixed_decimals(spark, d):
-    return b.table(spark, d, "lineitem").filter("l_orderkey <= 500").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), fn.fixed(F.col("l_quantity"), 2).alias("q"))
-
-
 @query("SELECT l_partkey AS a, l_suppkey AS b, printf('%.2f', l_quantity) AS q FROM lineitem")
 def fn3_fixed_decimals_whole(spark, d):
     return b.table(spark, d, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), fn.fixed(F.col("l_quantity"), 2).alias("q"))
@@ -320,12 +296,6 @@ def snk19_group_texts(spark, d):
     return writers.group_texts(b.table(spark, d, "part").select(F.col("p_brand").alias("name"), F.col("p_partkey").alias("place"), F.col("p_partkey").cast("string").alias("accession")))
 
 
-@query("SELECT l_partkey AS id, coalesce(nullif(split_part(l_linestatus || '_' || l_returnflag, '_', 1), ''), '') AS q, l_returnflag AS t FROM lineitem WHERE l_orderkey <= 300")
-def src13_file_keys(spark, d):
-    name = F.concat_ws("_", "l_linestatus", "l_returnflag")
-    return b.table(spark, d, "lineitem").filter("l_orderkey <= 300").select(F.col("l_partkey").alias("id"), readers.file_key(name, 1).alias("q"), readers.file_key(name, 2).alias("t"))
-
-
 @query("SELECT l_partkey AS id, l_linestatus AS q, l_returnflag AS t FROM lineitem")
 def src13_file_keys_whole(spark, d):
     name = F.concat_ws("_", "l_linestatus", "l_returnflag")

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder all executors share; a temporary one only where the session names none."""
+    """A fresh path in the folder all executors share. Where the session names none, a temporary one serves a
+    local session; on a cluster that is an error, since executors could not see each other's files."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("weftgraph.shared.dir", "")
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='weftgraph-')}"
         spark.conf.set("weftgraph.shared.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

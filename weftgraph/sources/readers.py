@@ -50,6 +50,11 @@ def file_names(spark: SparkSession, folder: str) -> list[str]:
     return sorted(f.getPath().getName() for f in found if f.isFile())
 
 
+def first_files(spark: SparkSession, folder: str, most: int | None = None) -> list[str]:
+    """Names of a folder's files without regard to case, the first `most` of them (a limit the caller asks for)."""
+    return sorted(file_names(spark, folder), key=lambda n: (n.lower(), n))[:most]
+
+
 def network(spark: SparkSession, path: str) -> DataFrame:
     """source, node1, node2, weight: lines of three cells or more, a finite weight and two ends."""
     c = fields(F.col("text"))

@@ -93,6 +93,12 @@ def write_adjacency(adjacency: DataFrame, table: str, buckets: int = 64) -> None
     adjacency.write.mode("overwrite").bucketBy(buckets, "src").sortBy("src").saveAsTable(table)
 
 
+def write_sorted_adjacency(adjacency: DataFrame, path: str) -> None:
+    """Adjacency by ranges of the source node, a node's neighbours together and by falling weight."""
+    dealt = adjacency.repartitionByRange("src").sortWithinPartitions("src", F.desc("weight"), "dst")
+    dealt.select("src", "dst", "weight").write.mode("overwrite").parquet(path)
+
+
 def group_texts(groups: DataFrame) -> DataFrame:
     """name, text: the accessions of each group, one a line, in order. groups: name, place, accession."""
     got = groups.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("place", "accession"))).alias("a"))

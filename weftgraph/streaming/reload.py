@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,23 +49,73 @@ def listed(catalog: Catalog, folder: str) -> DataFrame:
     return catalog.spark.createDataFrame(names, "source string")
 
 
-def follow(catalog: Catalog, folder: str, checkpoint: str, suppression: Suppression | None = None, once: bool = False, every: str = "1 second") -> StreamingQuery:
+def _stamps(catalog: Catalog, folder: str) -> dict[str, tuple[int, int]]:
+    """Time and size of every file of a folder."""
+    path = catalog.spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(catalog.spark._jsc.hadoopConfiguration()).listStatus(path)
+    return {f.getPath().getName(): (f.getModificationTime(), f.getLen()) for f in found if f.isFile()}
+
+
+def kind_of(name: str) -> str | None:
+    """What a file of the folder is: a network, attributes, taxonomy, or nothing of ours."""
+    low = name.lower()
+    return "network" if low.endswith(".csv") and "taxonom" not in low else "attributes" if low.endswith(".nodes.attr") else "taxonomy" if "taxonom" in low else None
+
+
+class Folder:
+    """What was seen of a folder, and what its changes do: attribute files are read anew, emptied and deleted
+    network files drop their network, and `changed(kind, name)` is told of everything, so that caches can go."""
+
+    def __init__(self, catalog: Catalog, folder: str, changed: Callable[[str, str], None] = lambda kind, name: None):
+        self.catalog, self.folder, self.changed, self.seen = catalog, folder, changed, {}
+
+    def look(self) -> None:
+        now = _stamps(self.catalog, self.folder)
+        moved = {n for n in now.keys() | self.seen.keys() if now.get(n) != self.seen.get(n)}
+        if any(kind_of(n) == "attributes" for n in moved):
+            files = sorted(n for n in now if kind_of(n) == "attributes")
+            try:
+                if files:
+                    self.catalog.ingest_attributes([f"{self.folder}/{n}" for n in files])
+            except ValueError as e:
+                print(f"the attributes were not stored: {e}")
+        for n in sorted(moved):
+            if kind_of(n) == "network" and n in now and now[n][1] == 0:
+                self.catalog.drop(n)
+            if kind_of(n):
+                self.changed(kind_of(n), n)
+        for r in self.catalog.orphans(listed(self.catalog, self.folder)).collect():
+            self.catalog.drop(r["source"])
+        self.seen = now
+
+
+def follow(
+    catalog: Catalog, folder: str, checkpoint: str, suppression: Suppression | None = None, once: bool = False, every: str = "1 second",
+    changed: Callable[[str, str], None] = lambda kind, name: None,
+) -> StreamingQuery:
     """Start following. Micro-batches are serial; a batch that is retried replaces the same networks again, so
-    it can be repeated. A batch that cannot be stored is reported and does not stop the stream."""
+    it can be repeated. A batch that cannot be stored is reported and does not stop the stream. Unless it runs
+    once, a clock makes a batch when no file arrives, so that deletions and attribute files are seen too."""
     suppression = suppression or Suppression()
+    state = Folder(catalog, folder, changed)
 
     def store(batch: DataFrame, number: int) -> None:
-        names = [r["source"] for r in batch.select("source").distinct().collect()]  # one per arrived file
+        while catalog.own_writes:
+            suppression.add(catalog.own_writes.pop())
+        names = [r["source"] for r in batch.select("source").filter("source IS NOT NULL").distinct().collect()]  # one per arrived file
         kept = [n for n in names if not suppression.takes(n)]
         for n in kept:
             try:
                 catalog.ingest_edges(batch.filter(F.col("source") == n))
             except ValueError as e:
                 print(f"{n} was not stored: {e}")
-        for r in catalog.orphans(listed(catalog, folder)).collect():
-            catalog.drop(r["source"])
+        state.look()
 
-    writer = network_stream(catalog, folder).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    stream = network_stream(catalog, folder)
+    if not once:
+        clock = catalog.spark.readStream.format("rate").option("rowsPerSecond", 1).option("numPartitions", 1).load()
+        stream = stream.union(clock.select(*(F.lit(None).cast(t).alias(c) for c, t in stream.dtypes)))
+    writer = stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
