@@ -453,6 +453,25 @@ def test_alignment_equals_plain_distance():
             assert near_dup.at_most(np.array(a, np.uint32), np.array(b, np.uint32), most) == (d <= most)
 
 
+def test_near_duplicates_repeated_rows_without_broadcast(spark):
+    """Texts are found by a shuffled join where the wanted ones are too many for a broadcast: same classes, and
+    rows that repeat an id (or none) and a text are coded once."""
+    words = np.random.default_rng(5).integers(0, 500, (6, 120))
+    texts = [" ".join(f"w{x}" for x in row) for row in words]
+    near = [t.replace(" ", " also ", 3) for t in texts]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(i, t) for i, t in enumerate(texts[:3])] + [(10 + i, t) for i, t in enumerate(near)] + [(None, near[0]), (None, near[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = sorted([(i, i, 2 if i < 3 else 1) for i in range(6)] + [(10 + i, i, 1) for i in range(6)] + [(-1, 0, 2)])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for most in (before, "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+            got = near_dup.near_duplicates(docs).collect()
+            assert sorted((-1 if r.doc_id is None else r.doc_id, r.class_id, r.copies) for r in got) == expected
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_near_duplicates_odd_rows(spark):
     got = near_dup.near_duplicates(odd_docs(spark)).collect()
     rows = Counter()
