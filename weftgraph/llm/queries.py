@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, context_tree, decontaminate, filter_audit, host_rules, language, main_text, near_dup, packing, perplexity, warc
+from . import chat, context_tree, decontaminate, filter_audit, host_rules, language, main_text, near_dup, packing, perplexity, toxicity, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,3 +186,8 @@ r AS (SELECT part, filter_order, step,
 s AS (SELECT part, substr(filter_order, step, 1) AS f, sum(removed)::BIGINT AS shapley FROM r GROUP BY 1, 2)
 SELECT r.*, shapley FROM r JOIN s ON r.part = s.part AND s.f = substr(filter_order, step, 1)
 """
+
+
+@query
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
