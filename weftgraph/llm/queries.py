@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, context_tree, decontaminate, filter_audit, host_rules, language, main_text, near_dup, packing, perplexity, toxicity, warc
+from . import align, chat, context_tree, decontaminate, filter_audit, host_rules, language, main_text, near_dup, packing, perplexity, toxicity, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,3 +191,8 @@ SELECT r.*, shapley FROM r JOIN s ON r.part = s.part AND s.f = substr(filter_ord
 @query
 def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"))
