@@ -33,7 +33,7 @@ ODD = [
 def odd_docs(spark):
     """The odd rows, with extra columns whose names the operators use inside."""
     df = spark.createDataFrame(ODD, DOCS)
-    return df.withColumns({"words": F.lit(1), "n_words": F.lit("x"), "keys": F.lit(None).cast("int"), "node": F.lit(0), "kept": F.lit(False), "class_id": F.lit(0), "block": F.lit(0), "shard": F.lit(0), "c": F.lit(0), "failed": F.lit(1), "host": F.lit(1), "train": F.lit(1)})
+    return df.withColumns({"words": F.lit(1), "n_words": F.lit("x"), "keys": F.lit(None).cast("int"), "node": F.lit(0), "kept": F.lit(False), "class_id": F.lit(0), "block": F.lit(0), "shard": F.lit(0), "c": F.lit(0), "failed": F.lit(1), "host": F.lit(1), "train": F.lit(1), **{x: F.lit(2) for x in ("__host", "__id", "__doc", "__text", "__lang", "__digest", "__n", "refused_host", "at", "cell", "bits", "mask", "part", "label", "fold")}})
 
 
 def docs_of(spark):

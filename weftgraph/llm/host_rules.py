@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, let, stage, words_of
+from .common import SPACES, let, private, stage, words_of
 
 #: The characters that count as symbols (fixed values).
 SYMBOLS = "#*$%&|<>"
@@ -151,5 +151,6 @@ def keep_good(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", h
     each = lambda rows, f: rows.select(F.col(host_col).alias("host"), F.lit(f).alias("one"))
     both = each(docs, 1).union(each(good, -1)).groupBy("host")
     counts = both.agg(F.count_if(F.col("one") > 0).alias("n"), F.sum("one").alias("f"))
-    refused = host_rates(counts, rules.host_limit).filter("refused").select(F.col("host").alias("__host"))
-    return good.join(refused, F.col(host_col).eqNullSafe(F.col("__host")), "left_anti")
+    (name,) = private(docs, "refused_host")
+    refused = host_rates(counts, rules.host_limit).filter("refused").select(F.col("host").alias(name))
+    return good.join(refused, F.col(host_col).eqNullSafe(F.col(name)), "left_anti")
