@@ -14,7 +14,10 @@ empty result; extra columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import functools
 import re
+import string
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -55,6 +58,7 @@ class Lexicon:
     second: frozenset[str] = frozenset(SECOND)
 
     def __post_init__(self):
+        self.heads = {w[:4] for w in (*self.words, *self.stems, *self.given)}
         self.starred = {w[:i] + "*" + w[i + 1 :] for w in {*self.words, *self.given} if len(w) > 3 for i in range(1, len(w))}
 
     def weight(self, word: str) -> float:
@@ -64,13 +68,14 @@ class Lexicon:
         return word in self.words or word in self.given
 
 
-_EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+#: What is cut off the ends of a token.
+EDGES = string.punctuation + "“”„‘’‚«»‹›¡¿…–—·•、。，！？"
 _STRETCH = re.compile(r"(\w)\1{2,}")
 
 
 def core(token: str) -> str:
     """A token in lower case, without what stands before and after its letters and digits."""
-    return _EDGES.sub("", token.lower())
+    return token.lower().strip(EDGES)
 
 
 def unmask(word: str, lexicon: Lexicon) -> bool:
@@ -85,58 +90,80 @@ def unmask(word: str, lexicon: Lexicon) -> bool:
 
 
 class Tokens(dict):
-    """What is known of each token met so far, as a row of `table`: worked out once for each distinct token."""
+    """What is known of each token met so far, as a row of `table`: worked out once for each distinct token. Tokens
+    with nothing to them share the first row, or the second if they are shouted."""
 
-    COLUMNS = ("weight", "given", "second", "shouted", "obfuscated", "unmasked", "stretched", "letter", "kind")
+    COLUMNS = ("weight", "given", "second", "shouted", "obfuscated", "unmasked", "stretched", "letter")
 
     def __init__(self, lexicon: Lexicon):
         super().__init__()
-        self.lexicon, self.rows = lexicon, []
+        self.lexicon = lexicon
+        self.rows = [[0.0] * len(self.COLUMNS), [0.0] * 3 + [1.0] + [0.0] * 4]
 
     def __missing__(self, token: str) -> int:
         word, lex = core(token), self.lexicon
-        inner = bool(word) and not word.isalpha() and any(c.isalpha() for c in word) and bool(re.search(r"[^\W\d_][\W\d_]+[^\W\d_]", word)) and not re.fullmatch(r"[^\W\d_]+(?:['’-][^\W\d_]+)+", word)
+        alpha = word.isalpha()
+        shouted = len(word) > 2 and token.isupper()
+        plain = len(word) < 2 and not alpha
+        stretched = len(word) - len(set(word)) > 1 and bool(_STRETCH.search(word))
+        if plain or (alpha and not stretched and len(word) > 1 and word[:4] not in lex.heads and word not in lex.second):
+            self[token] = int(shouted)
+            return int(shouted)
+        inner = not alpha and bool(re.search(r"[^\W\d_][\W\d_]+[^\W\d_]", word)) and not re.fullmatch(r"[^\W\d_]+(?:['’-][^\W\d_]+)+", word)
         weight = lex.weight(word)
-        stretched = bool(_STRETCH.search(word))
-        masked = (not weight and word not in lex.given and bool(word) and (inner or stretched or not word.isalpha()) and unmask(word, lex))
-        self.rows.append((weight, word in lex.given, word in lex.second, len(word) > 2 and token.isupper(), inner, masked, stretched, len(word) == 1 and word.isalpha(), len(self.rows)))
+        masked = not weight and word not in lex.given and (stretched or not alpha) and unmask(word, lex)
+        self.rows.append([weight, word in lex.given, word in lex.second, shouted, inner, masked, stretched, len(word) == 1 and alpha])
         self[token] = len(self.rows) - 1
         return len(self.rows) - 1
 
 
+@functools.lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """Of every character: 1 a capital, 2 a mark, 3 an exclamation mark, 0 anything else."""
+    kind = np.zeros(0x110000, np.uint8)
+    for c in range(0x110000):
+        of = unicodedata.category(chr(c))
+        kind[c] = 1 if of == "Lu" else 2 if of[0] in "PS" and c != 0x5F else 0
+    kind[ord("!")] = 3
+    return kind
+
+
 def features(text: str, known: Tokens) -> list[float]:
     """The features of one whole text, in the order of FEATURES."""
     tokens = text.split()
     n = len(tokens)
     if not n:
         return [0.0] * len(FEATURES)
-    ids = np.fromiter((known[t] for t in tokens), np.int64, n)
-    kinds, times = np.unique(ids, return_counts=True)
+    ids = np.array(list(map(known.__getitem__, tokens)))
+    times = np.bincount(ids)
+    kinds = np.flatnonzero(times)
+    times = times[kinds]
     t = np.array([known.rows[i] for i in kinds.tolist()], float)
-    total = lambda k: float(t[:, k] @ times)
+    weight, given, second, shouted, obfuscated, unmasked, stretched, letter = (times @ t).tolist()
     insult = (t[:, 0] > 0) | (t[:, 1] > 0) | (t[:, 5] > 0)
-    near = 0.0
-    spelt = 0
-    if insult.any() and t[:, 2].any():
+    near, spelt = 0.0, 0
+    if second and insult.any():
         you = np.flatnonzero(np.isin(ids, kinds[t[:, 2] > 0]))
         at = np.flatnonzero(np.isin(ids, kinds[insult]))
         after = np.searchsorted(you, at)
         gap = np.minimum(np.abs(at - you[np.minimum(after, len(you) - 1)]), np.abs(at - you[np.maximum(after - 1, 0)]))
         near = float((gap <= NEAR).sum())
-    if total(7) > 3:  # letters with spaces between them
+    if letter > 3:  # letters with spaces between them
         single = np.isin(ids, kinds[t[:, 7] > 0])
         edges = np.flatnonzero(np.diff(np.concatenate([[0], single.view(np.int8), [0]])))
         for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
             spelt += 4 <= b - a <= 40 and known.lexicon.listed("".join(core(x) for x in tokens[a:b]))
     letters = sum(map(len, tokens))
-    capitals = len(re.findall(r"[A-ZÀ-ÖØ-Þ]", text))
-    marks = len(re.findall(r"[^\w\s]", text))
-    runs = len(re.findall(r"[!?*#$%&]{2,}", text))
-    hits, given = float((t[:, 0] > 0) @ times), total(1)
-    unmasked = total(5) + spelt
+    kind = _kinds()[np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")]
+    capitals, marks, calls = np.bincount(kind, minlength=4)[1:].tolist()
+    mark = kind > 1
+    runs = int((mark[1:] & mark[:-1] & ~np.concatenate([[False], mark[:-2]])[: max(len(mark) - 1, 0)]).sum())
+    hit = t[:, 0] > 0
+    hits = float(hit @ times)
+    unmasked += spelt
     return [
-        hits / n, np.log1p(hits), np.log1p(total(0)), float(t[:, 0].max()), np.log1p(float((t[:, 0] > 0).sum())), given / n, np.log1p(given), total(2) / n, near / n, np.log1p(near),
-        capitals / letters, total(3) / n, marks / letters, text.count("!") / n, runs / n, (total(4) + spelt) / n, unmasked / n, np.log1p(unmasked), total(6) / n, np.log1p(n), letters / n,
+        hits / n, np.log1p(hits), np.log1p(weight), float(t[:, 0].max()), np.log1p(float(hit.sum())), given / n, np.log1p(given), second / n, near / n, np.log1p(near),
+        capitals / letters, shouted / n, (marks + calls) / letters, calls / n, runs / n, (obfuscated + spelt) / n, unmasked / n, np.log1p(unmasked), stretched / n, np.log1p(n), letters / n,
     ]
 
 
@@ -165,19 +192,20 @@ def learn_lexicons(texts: DataFrame, most_entries: int = 4000, least_docs: int =
     most `most_entries`, the surest first, reach the driver."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
+        seen: dict[tuple, Counter] = defaultdict(Counter)  # by kind of entry, label and fold
 
         def rows() -> pd.DataFrame:
-            out = pd.DataFrame([(*key, n) for key, n in seen.items()], columns=["entry", "label", "fold", "n"])
+            out = pd.DataFrame([(kind + e, label, part, n) for (kind, label, part), c in seen.items() for e, n in c.items()], columns=["entry", "label", "fold", "n"])
             seen.clear()
             return out
 
         for b in batches:
             for text, label, part in zip(b["text"], b["label"], b["fold"], strict=True):
-                words = {core(w) for w in set(text.split())} - {""}
-                entries = {f"w{w}" for w in words if len(w) <= 60} | {f"s{w[:k]}" for w in words for k in STEMS if len(w) >= k}
-                seen.update((e, label, part) for e in entries)
-                if len(seen) > 1_000_000:
+                words = {core(w) for w in set(text.split())}
+                seen["w", label, part].update(w for w in words if 0 < len(w) <= 60)
+                for k in STEMS:
+                    seen["s", label, part].update({w[:k] for w in words if len(w) >= k})
+                if sum(map(len, seen.values())) > 1_000_000:
                     yield rows()
         yield rows()
 
