@@ -1,13 +1,19 @@
 """Readers, writers, the catalog and the stream, over small files."""
 
+import os
+import subprocess
+import sys
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from weftgraph import catalog
 from weftgraph.catalog import Catalog
 from weftgraph.operators import editing
 from weftgraph.sources import readers, writers
-from weftgraph.streaming import reload
+from weftgraph.streaming import folder_events, reload
 
 
 def put(folder, name, text):
@@ -127,19 +133,101 @@ def test_catalog_replaces_refuses_edits_and_drops(spark, tmp_path):
     assert [r["text"] for r in c.export_groups([{"name": "g", "accessions": "b,a"}]).collect()] == ["b\na"]
 
 
+def following(c, tmp_path, **how):
+    reload.follow(c, str(tmp_path / "in"), str(tmp_path / "cp"), once=True, **({"settle": 0} | how)).awaitTermination(120)
+
+
+def sources(c):
+    return [r["source"] for r in c.list_networks().orderBy("source").collect()]
+
+
 def test_stream_follows_a_folder(spark, tmp_path):
-    c = Catalog(spark, str(tmp_path / "store"))
+    c, told = Catalog(spark, str(tmp_path / "store")), []
     put(tmp_path / "in", "net.csv", NETWORK)
-    put(tmp_path / "in", "own.csv", "a,b,0.5\n")
-    s = reload.Suppression()
-    s.add("own.csv")
-    go = lambda: reload.follow(c, str(tmp_path / "in"), str(tmp_path / "cp"), s, once=True).awaitTermination(120)
-    go()
-    assert [r["source"] for r in c.list_networks().collect()] == ["net.csv"]
+    put(tmp_path / "in", "a.csv", "x,y,0.5\n")
+    following(c, tmp_path)
+    assert sources(c) == ["a.csv", "net.csv"]
     (tmp_path / "in" / "net.csv").unlink()
+    put(tmp_path / "in", "a.csv", "x,y,0.9\nx,z,0.4\n")  # the file changes, the stream restarts from its offset
+    put(tmp_path / "in", "bad.csv", "p,q,0.5\nq,p,0.5\n")
     put(tmp_path / "in", "new.csv", "x,y,0.5\n")
-    go()
-    assert [r["source"] for r in c.list_networks().collect()] == ["new.csv"]
+    following(c, tmp_path, changed=lambda kind, name: told.append((kind, name)))
+    assert sources(c) == ["a.csv", "new.csv"]  # one that is refused does not stop the others
+    assert sorted(map(tuple, c.edges.filter("source = 'a.csv'").select("node1", "node2", "weight").collect())) == [("x", "y", 0.9), ("x", "z", 0.4)]
+    assert told == [("network", n) for n in ("a.csv", "bad.csv", "net.csv", "new.csv")]  # and nothing else came again
+    put(tmp_path / "in", "a.csv", "")
+    put(tmp_path / "in", "n.nodes.attr", "node_id,NCBI_txID,NH_ID,NH_Size,,,,,\nx,9606,,,,,,,\n")
+    put(tmp_path / "in", "taxonomy.txt", "root\n")
+    told.clear()
+    following(c, tmp_path, changed=lambda kind, name: told.append((kind, name)))
+    assert sources(c) == ["new.csv"] and c.nodes.filter("id = 'x'").collect()[0]["taxid"] == "9606"
+    assert told == [("network", "a.csv"), ("attributes", "n.nodes.attr"), ("taxonomy", "taxonomy.txt")]
+
+
+def test_a_running_stream_sees_changes_once_they_settle(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path / "store"))
+    put(tmp_path / "in", "a.csv", "x,y,0.5\n")
+    q = reload.follow(c, str(tmp_path / "in"), str(tmp_path / "cp"), every="200 milliseconds", settle=1)
+
+    def until(true):
+        for _ in range(300):
+            if true():
+                return True
+            time.sleep(0.2)
+        return False
+
+    edges = lambda: sorted(map(tuple, c.edges.select("node1", "node2", "weight").collect()))
+    try:
+        assert until(lambda: edges() == [("x", "y", 0.5)])
+        for text, want in (("x,y,0.9\nx,z,0.4\n", [("x", "y", 0.9), ("x", "z", 0.4)]), ("x,z,0.1\n", [("x", "z", 0.1)])):
+            put(tmp_path / "in", "a.csv", text)
+            assert until(lambda: edges() == want)  # noqa: B023
+        (tmp_path / "in" / "a.csv").unlink()
+        assert until(lambda: not edges())
+    finally:
+        q.stop()
+
+
+def test_offsets_of_a_folder(tmp_path):
+    r = folder_events.FolderReader({"path": str(tmp_path), "settle": "5", "most": "2"})
+    start = r.initialOffset()
+    for n in "abc":
+        put(tmp_path, n, n)
+        os.utime(tmp_path / n, (0, 0))
+    one = r.latestOffset()
+    assert [e[:2] for e in folder_events.difference(start, one)] == [("a", "added"), ("b", "added")]  # `most` a batch
+    two = r.latestOffset()
+    put(tmp_path, "a", "more")
+    put(tmp_path, "d", "new")
+    (tmp_path / "b").unlink()
+    three = r.latestOffset()
+    assert [e[:2] for e in folder_events.difference(one, two)] == [("c", "added")]
+    assert [e[:2] for e in folder_events.difference(two, three)] == [("b", "deleted")]  # a and d have not settled
+    again = folder_events.FolderReader({"path": str(tmp_path), "settle": "5"})  # after a restart, told of nothing yet
+    four = again.latestOffset()
+    assert folder_events.difference(three, four) == []
+    again.settle = 0
+    assert [e[:2] for e in folder_events.difference(four, again.latestOffset())] == [("a", "changed"), ("d", "changed")]
+
+
+def test_own_writes_are_left_out_by_number_and_time_and_across_restarts(spark, tmp_path):
+    c, told = Catalog(spark, str(tmp_path / "store"), str(tmp_path / "in")), []
+    go = lambda **how: (told.clear(), following(c, tmp_path, changed=lambda kind, name: told.append(name), **how))
+    c.ingest_file(put(tmp_path / "in", "a.csv", NETWORK))
+    c.save_edit("a.csv", "own", editing.Edit.none(spark))
+    go(own_events=2)
+    assert told == ["a.csv"] and c.own_writes == ["own.csv"]
+    put(tmp_path / "in", "own.csv", "x,y,0.5\n")
+    go(own_events=2)  # the second event, after a restart
+    assert told == [] and c.status("own.csv")["edges"] == 5
+    put(tmp_path / "in", "own.csv", "x,y,0.25\n")
+    go(own_events=2)
+    assert told == ["own.csv"] and c.status("own.csv")["edges"] == 1
+    c.save_edit("a.csv", "late", editing.Edit.none(spark))
+    time.sleep(1.1)
+    (tmp_path / "cp").rename(tmp_path / "cp-before")
+    go(own_seconds=1)
+    assert "late.csv" in told
 
 
 def test_saved_networks_get_names_of_their_own_and_survive_the_stream(spark, tmp_path):
@@ -151,7 +239,7 @@ def test_saved_networks_get_names_of_their_own_and_survive_the_stream(spark, tmp
     assert c.status("b.csv")["edges"] == 1 and c.status("mine.csv")["edges"] == 5
     assert c.extract("a.csv", "node1", "mine")["source"] == "mine_3.csv"
     put(tmp_path / "in", "late.csv", "p,q,0.25\n")
-    reload.follow(c, str(tmp_path / "in"), str(tmp_path / "cp"), once=True).awaitTermination(120)
+    following(c, tmp_path)
     assert [r["source"] for r in c.list_networks().orderBy("source").collect()] == ["B_1.csv", "Mine_2.csv", "a.csv", "b.csv", "late.csv", "mine.csv", "mine_1.csv", "mine_3.csv"]
 
 
@@ -161,12 +249,12 @@ def test_saved_networks_are_files_of_the_folder(spark, tmp_path):
     c.ingest_file(path)
     assert c.save_edit("a.csv", "A.csv", editing.Edit.none(spark))["source"] == "A_1.csv" and c.own_writes == ["A_1.csv"]
     assert len((tmp_path / "in" / "A_1.csv").read_text().splitlines()) == 5
-    reload.follow(c, str(tmp_path / "in"), str(tmp_path / "cp"), once=True).awaitTermination(120)
+    following(c, tmp_path)
     assert [r["source"] for r in c.list_networks().orderBy("source").collect()] == ["A_1.csv", "a.csv"]
 
 
 def test_a_save_that_fails_leaves_nothing(spark, tmp_path, monkeypatch):
-    def no(self, name):
+    def no(self, name, rows):
         raise OSError("disk full")
 
     monkeypatch.setattr(Catalog, "_write_file", no)
@@ -186,25 +274,6 @@ def test_a_file_that_became_empty_leaves_no_network(spark, tmp_path):
     assert [r["source"] for r in c.list_networks().collect()] == ["b.csv"]
 
 
-def test_folder_changes_without_a_network_file(spark, tmp_path):
-    c, told = Catalog(spark, str(tmp_path / "store")), []
-    put(tmp_path / "in", "a.csv", NETWORK)
-    put(tmp_path / "in", "b.csv", "x,y,0.5\n")
-    c.ingest_file(str(tmp_path / "in"))
-    f = reload.Folder(c, str(tmp_path / "in"), lambda kind, name: told.append((kind, name)))
-    f.look()
-    put(tmp_path / "in", "n.nodes.attr", "node_id,NCBI_txID,NH_ID,NH_Size,,,,,\nx,9606,,,,,,,\n")
-    put(tmp_path / "in", "taxonomy.txt", "root\n")
-    (tmp_path / "in" / "a.csv").write_text("")
-    told.clear()
-    f.look()
-    assert told == [("network", "a.csv"), ("attributes", "n.nodes.attr"), ("taxonomy", "taxonomy.txt")]
-    assert [r["source"] for r in c.list_networks().collect()] == ["b.csv"] and c.nodes.filter("id = 'x'").collect()[0]["taxid"] == "9606"
-    (tmp_path / "in" / "b.csv").unlink()
-    f.look()
-    assert c.list_networks().isEmpty()
-
-
 def test_taxonomy_tree_leaves_orphans_out(spark, tmp_path):
     from weftgraph.operators import taxonomy
 
@@ -215,11 +284,62 @@ def test_taxonomy_tree_leaves_orphans_out(spark, tmp_path):
     assert sorted(r["name"] for r in got.collect()) == ["kept", "leaf", "root"]
 
 
-def test_suppression_ends_by_time_and_number():
-    now = [0.0]
-    s = reload.Suppression(10, 2, lambda: now[0])
-    s.add("a")
-    assert s.takes("a") and s.takes("a") and not s.takes("a")
-    s.add("a")
-    now[0] = 11
-    assert not s.takes("a")
+CRASH = """
+import os, signal, sys
+sys.path.insert(0, {repo!r})
+from weftgraph import catalog
+from weftgraph.catalog import Catalog
+from weftgraph.session import local_session
+from weftgraph.snapshots import Snapshots
+s = local_session(cpus="2", memory="1g")
+c = Catalog(s, {store!r})
+write, publish = Snapshots.write, Snapshots._publish
+die = lambda *a, **k: os.kill(os.getpid(), signal.SIGKILL)
+count = [0]
+def dying(self, table, *a, **k):
+    count[0] += 1
+    return die() if {between} and table == "members" else write(self, table, *a, **k)
+Snapshots.write = dying
+if not {between}:
+    Snapshots._publish = die
+e = s.createDataFrame([("p", "q", 0.5, "a.csv"), ("p", "r", 0.5, "b.csv")], "node1 string, node2 string, weight double, source string")
+c.ingest_edges(e, members=s.createDataFrame([("lone", "a.csv")], "id string, source string"))
+"""
+
+
+@pytest.mark.parametrize("between", [True, False])
+def test_a_killed_driver_leaves_the_old_snapshot(spark, tmp_path, between):
+    store = str(tmp_path / "store")
+    c = Catalog(spark, store)
+    c.ingest_edges(spark.createDataFrame([("x", "y", 0.5, "a.csv")], catalog.EDGES), members=spark.createDataFrame([("z", "a.csv")], catalog.MEMBERS))
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", CRASH.format(repo=repo, store=store, between=between)], capture_output=True, timeout=300)
+    assert done.returncode == -9, done.stderr[-2000:]
+    assert len(os.listdir(f"{store}/data")) > 2  # something was written, and nobody sees it
+    assert [tuple(r) for r in c.edges.collect()] == [("x", "y", 0.5, "a.csv")] and sorted(r["id"] for r in c.members.collect()) == ["x", "y", "z"]
+    c.ingest_edges(spark.createDataFrame([("x", "w", 0.5, "a.csv")], catalog.EDGES))
+    assert sorted(r["id"] for r in c.members.collect()) == ["w", "x"]
+    assert c.snapshots.vacuum(keep=1, seconds=0) > 0 and [r["node1"] for r in c.edges.collect()] == ["w"]
+
+
+def test_two_writers_and_old_snapshots(spark, tmp_path):
+    c, other = Catalog(spark, str(tmp_path / "store")), Catalog(spark, str(tmp_path / "store"))
+    edges = lambda *rows: spark.createDataFrame(rows, catalog.EDGES)
+    c.ingest_edges(edges(("a", "b", 0.5, "x.csv"), ("a", "b", 0.5, "o d=d/%.csv")))
+    before = c.snapshots.manifest()
+    change = c._replacement(edges(("c", "d", 0.5, "x.csv")))
+    other.ingest_edges(edges(("e", "f", 0.5, "y.csv")))  # a commit between the write and the commit of the first
+    published, first = c.snapshots._publish, [True]
+
+    def late(manifest):  # and one between reading the manifest and publishing it
+        if first.pop() if first else False:
+            other.ingest_edges(edges(("g", "h", 0.5, "z.csv")))
+        return published(manifest)
+
+    c.snapshots._publish = late
+    c.snapshots.commit(change)
+    assert sources(c) == ["o d=d/%.csv", "x.csv", "y.csv", "z.csv"] and c.status("x.csv")["nodes"] == 2
+    assert [r["node1"] for r in c.snapshots.read("edges", catalog.EDGES, ["x.csv"], before).collect()] == ["a"]  # a reader keeps its snapshot
+    assert c.snapshots.versions() == [1, 2, 3, 4]
+    c.drop("x.csv", "y.csv")
+    assert sources(c) == ["o d=d/%.csv", "z.csv"]

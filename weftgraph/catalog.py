@@ -3,11 +3,15 @@ service's routes; the store is a folder of parquet tables that every executor ca
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import validation
 from .operators import editing, extraction, networks, taxonomy
+from .snapshots import Snapshots
 from .sources import readers, writers
 
 EDGES = "node1 string, node2 string, weight double, source string"
@@ -16,16 +20,15 @@ MEMBERS = "id string, source string"
 
 
 class Catalog:
-    """Networks, nodes and members below one folder.
+    """Networks, nodes and members below one folder, as snapshots: whatever a call changes becomes visible in one commit.
 
-    A network's members are the ends of its edges, and isolated nodes that are stored beside them; so replacing a
-    network is one commit. Saved and extracted networks get a name of their own (`_1`, `_2`, ... after the stem).
-    With `files`, a folder of network files, they are written there too; without, they are marked as made here, so
-    that the absence of a file does not drop them."""
+    A network's members are the ends of its edges, and isolated nodes that are stored beside them. Saved and extracted
+    networks get a name of their own (`_1`, `_2`, ... after the stem). With `files`, a folder of network files, they
+    are written there too; without, they are marked as made here, so that the absence of a file does not drop them."""
 
     def __init__(self, spark: SparkSession, folder: str, files: str | None = None):
         self.spark, self.folder, self.files = spark, folder.rstrip("/"), files and files.rstrip("/")
-        self.own_writes: list[str] = []  # names of files written by us, for whoever follows the folder
+        self.snapshots = Snapshots(spark, self.folder)
 
     def _fs(self, path: str):
         where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -47,78 +50,112 @@ class Catalog:
 
     def reserve(self, name: str, tries: int = 1000) -> str:
         """A name that no stored network and no file has, cases alike, held until `release`."""
-        stem = name[:-4]
+        stem, manifest = name[:-4], self.snapshots.manifest()
+        taken = {s.lower() for t in ("edges", "members") for s in manifest["tables"].get(t, {})} | {n.lower() for n in (self._names(self.files) if self.files else [])}
         for k in range(tries):
             got = f"{stem}_{k}.csv" if k else name
-            free = self.list_networks().filter(F.lower("source") == got.lower()).limit(1).isEmpty()
-            if free and got.lower() not in {n.lower() for n in (self._names(self.files) if self.files else [])} and self._touch(f"{self.folder}/reserved/{got.lower()}"):
+            if got.lower() not in taken and self._touch(f"{self.folder}/reserved/{got.lower()}"):
                 return got
         raise RuntimeError(f"no free name for {name}")
 
     def release(self, name: str) -> None:
         self._delete(f"{self.folder}/reserved/{name.lower()}")
 
+    def notes_folder(self) -> str:
+        """Where a note lies for every file that is written by us: `<id>~<name>`, for whoever follows the folder."""
+        path = f"{self.folder}/own"
+        fs, where = self._fs(path)
+        fs.mkdirs(where)
+        return path
+
+    @property
+    def own_writes(self) -> list[str]:
+        """Names of the files written by us."""
+        return sorted({n.split("~", 1)[1] for n in self._names(self.notes_folder()) if "~" in n})
+
     def _store(self, name: str, edges: DataFrame, members: DataFrame | None = None) -> None:
-        """Store a network under a reserved name: all of it, or nothing."""
+        """Store a network under a reserved name: its edges, its members and its file, or nothing."""
+        wrote = False
         try:
-            if members is not None:
-                writers.replace_sources(members.select("id", F.lit(name).alias("source")), f"{self.folder}/members")
-            self._touch(f"{self.folder}/made/{name}")
-            self.ingest_edges(edges.select("node1", "node2", F.col("weight").cast("double").alias("weight"), F.lit(name).alias("source")), keep_members=True)
+            rows = edges.select("node1", "node2", F.col("weight").cast("double").alias("weight"), F.lit(name).alias("source"))
+            change = self._replacement(rows, [name], None if members is None else members.select("id", F.lit(name).alias("source")))
             if self.files:
-                self.own_writes.append(name)
-                self._write_file(name)
-                self._delete(f"{self.folder}/made/{name}")
+                wrote = True
+                self._touch(f"{self.notes_folder()}/{uuid.uuid4().hex}~{name}")
+                self._write_file(name, rows)
+            else:
+                inner = change
+
+                def change(manifest: dict) -> None:
+                    inner(manifest)
+                    manifest["marks"][name] = "made"
+
+            self.snapshots.commit(change)
         except Exception:
-            self.drop(name)
+            if wrote:
+                self._delete(f"{self.files}/{name}")
             raise
         finally:
             self.release(name)
 
-    def _write_file(self, name: str) -> None:
+    def _write_file(self, name: str, rows: DataFrame) -> None:
         """One file, as the format wants it: written aside, then renamed."""
         aside = f"{self.folder}/aside/{name}"
-        writers.write_network(self.edges.filter(F.col("source") == name).coalesce(1), aside)
+        writers.write_network(rows.coalesce(1), aside)
         part = next(n for n in readers.file_names(self.spark, aside) if n.startswith("part-"))
         fs, where = self._fs(f"{aside}/{part}")
         if not fs.rename(where, self._fs(f"{self.files}/{name}")[1]):
             raise OSError(f"{name} cannot be written to {self.files}")
+        if fs.getScheme() == "file":  # a checksum beside it would speak against whoever edits the file
+            fs.getRaw().delete(self._fs(f"{self.files}/.{name}.crc")[1], False)
         self._delete(aside)
 
-    def _table(self, name: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return self.spark.createDataFrame([], schema)
-            raise
+    def _edges_of(self, source: str) -> DataFrame:
+        """The files of one network, and no others."""
+        return self.snapshots.read("edges", EDGES, [source])
+
+    def _members_of(self, manifest: dict, sources: list[str] | None = None) -> DataFrame:
+        ends = self.snapshots.read("edges", EDGES, sources, manifest).select(F.explode(F.array("node1", "node2")).alias("id"), "source")
+        return ends.union(self.snapshots.read("members", MEMBERS, sources, manifest)).distinct()
 
     @property
     def edges(self) -> DataFrame:
-        return self._table("edges", EDGES)
+        return self.snapshots.read("edges", EDGES)
 
     @property
     def nodes(self) -> DataFrame:
-        return self._table("nodes", NODES)
+        return self.snapshots.read("nodes", NODES)
 
     @property
     def members(self) -> DataFrame:
-        ends = self.edges.select(F.explode(F.array("node1", "node2")).alias("id"), "source")
-        return ends.union(self._table("members", MEMBERS)).distinct()
+        """Of one snapshot, edges and isolated nodes alike."""
+        return self._members_of(self.snapshots.manifest())
 
-    def ingest_edges(self, edges: DataFrame, sources: list[str] | None = None, keep_members: bool = False) -> None:
-        """Replace the networks that `edges` (source, node1, node2, weight) holds, and those of `sources`: one of
-        these without edges goes. A pair that occurs twice in a network refuses all before anything is written."""
+    def _replacement(self, edges: DataFrame, sources: list[str] | None = None, members: DataFrame | None = None) -> Callable[[dict], None]:
+        """Write the networks of `edges` aside, and give the change that replaces them and drops those of `sources`
+        that have neither edges nor members. A pair that occurs twice in a network refuses all."""
         ordered = edges.select(F.least("node1", "node2").alias("node1"), F.greatest("node1", "node2").alias("node2"), "weight", "source")
         twice = networks.duplicate_edges(ordered, "node1", "node2").limit(1).collect()
         if twice:
             raise ValueError(f"{twice[0]['node1']}|{twice[0]['node2']} occurs {twice[0]['n']} times in {twice[0]['source']}")
-        writers.replace_sources(ordered, f"{self.folder}/edges")
-        held = {r["source"] for r in ordered.select("source").distinct().collect()}  # one per network of the call
-        for name in held if not keep_members else ():
-            self._delete(f"{self.folder}/members/source={name}")  # isolated nodes of what was there before
-        for name in set(sources or ()) - held:
-            self.drop(name)
+        fresh = {"edges": self.snapshots.write("edges", ordered), "members": self.snapshots.write("members", members) if members is not None else {}}
+        replaced = {*fresh["edges"], *fresh["members"], *(sources or ())}
+
+        def change(manifest: dict) -> None:
+            for table, held in fresh.items():
+                kept = {s: p for s, p in manifest["tables"].get(table, {}).items() if s not in replaced}
+                manifest["tables"][table] = kept | held
+
+        return change
+
+    def ingest_edges(self, edges: DataFrame, sources: list[str] | None = None, members: DataFrame | None = None) -> None:
+        """Replace the networks that `edges` (source, node1, node2, weight) holds, with isolated nodes `members` (source,
+        id), and those of `sources`: one of these without edges goes. One commit for edges and members."""
+        self.snapshots.commit(self._replacement(edges, sources, members))
+
+    def ingest_files(self, paths: list[str]) -> None:
+        """Replace the networks of these files, all in one commit; a file without a usable line leaves none."""
+        self.ingest_edges(readers.network(self.spark, paths), [p.rsplit("/", 1)[-1] for p in paths])
 
     def ingest_file(self, path: str) -> None:
         """Replace the networks of a file or a folder of files; a file without a usable line leaves none."""
@@ -133,27 +170,32 @@ class Catalog:
         if twice:
             raise ValueError("; ".join(f"{r['id']}: {r['first_at']} and {r['again_at']}" for r in twice))
         ends = self.edges.select(F.explode(F.array("node1", "node2")).alias("id")).distinct()
-        fresh = ends.join(rows.select("id", "taxid", "nh_id", "nh_size"), "id", "full")
-        # the plan reads edges and files only, so the node table can be overwritten
-        fresh.write.mode("overwrite").parquet(f"{self.folder}/nodes")
+        held = self.snapshots.write("nodes", ends.join(rows.select("id", "taxid", "nh_id", "nh_size"), "id", "full"), by_source=False)
+        self.snapshots.commit(lambda manifest: manifest["tables"].update(nodes=held))
+
+    def drop(self, *sources: str) -> None:
+        """Remove networks, all in one commit."""
+
+        def change(manifest: dict) -> None:
+            for table in ("edges", "members"):
+                manifest["tables"][table] = {s: p for s, p in manifest["tables"].get(table, {}).items() if s not in sources}
+            manifest["marks"] = {s: m for s, m in manifest["marks"].items() if s not in sources}
 
-    def drop(self, source: str) -> None:
-        """Remove a network."""
-        for path in (f"edges/source={source}", f"members/source={source}", f"made/{source}"):
-            self._delete(f"{self.folder}/{path}")
+        self.snapshots.commit(change)
 
     def list_networks(self) -> DataFrame:
         return networks.list_networks(self.edges, self.members)
 
     def status(self, source: str) -> dict:
         """nodes, edges, ready; a network without both does not exist."""
-        own = networks.network_counts(self.edges.filter(F.col("source") == source), self.members.filter(F.col("source") == source)).collect()
+        own = networks.network_counts(self._edges_of(source), self._members_of(self.snapshots.manifest(), [source])).collect()
         if not own:
             raise KeyError(source)
         return own[0].asDict()
 
     def load(self, source: str) -> tuple[DataFrame, DataFrame]:
-        return networks.load(self.nodes, self.edges, source, self.members)
+        now = self.snapshots.manifest()
+        return networks.load(self.snapshots.read("nodes", NODES, None, now), self.snapshots.read("edges", EDGES, [source], now), source, self._members_of(now, [source]))
 
     def _scope(self) -> DataFrame:
         return networks.scoped_nodes(self.edges, self.members)
@@ -187,7 +229,7 @@ class Catalog:
     def extract(self, source: str, seeds: str | list[str], name: str, max_nodes: int | None = None) -> dict:
         """Extract a subnetwork around seeds and store it under a new name."""
         name, limit = validation.csv_name(name), validation.max_nodes(max_nodes)
-        adj = networks.adjacency(self.edges.filter(F.col("source") == source))
+        adj = networks.adjacency(self._edges_of(source))
         edges, got = extraction.extract(adj, validation.seeds(seeds), limit)
         if edges.isEmpty():
             raise ValueError("the subnetwork has no edges")
@@ -212,7 +254,7 @@ class Catalog:
 
     def orphans(self, files: DataFrame) -> DataFrame:
         """source of stored networks whose file is gone; those made here never had one. files: source."""
-        made = self.spark.createDataFrame([(n,) for n in self._names(f"{self.folder}/made")], "source string")
+        made = self.spark.createDataFrame([(n,) for n, mark in self.snapshots.manifest()["marks"].items() if mark == "made"], "source string")
         return networks.missing(networks.missing(self.list_networks(), files, "source"), made, "source")
 
     def unknown(self, files: DataFrame) -> DataFrame:

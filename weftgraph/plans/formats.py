@@ -491,5 +491,5 @@ def dml7_shown_edges(spark, d):
 def str2_followed_folder(spark, d):
     x = b.edges(spark, d).groupBy("node1", "node2").agg((F.max("weight") / 100).alias("weight"))
     folder, c = _csv(x, "watched"), Catalog(spark, shared_dir(spark, "followed"))
-    reload.follow(c, folder, shared_dir(spark, "progress"), once=True).awaitTermination()
+    reload.follow(c, folder, shared_dir(spark, "progress"), once=True, settle=0).awaitTermination()
     return c.edges.select("node1", "node2", "weight")

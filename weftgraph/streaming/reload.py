@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -10,37 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..catalog import Catalog
-from ..functions.columns import finite_number
-from ..sources.readers import fields, file_names
-
-
-def network_stream(catalog: Catalog, folder: str) -> DataFrame:
-    """source, node1, node2, weight of every file that arrives."""
-    raw = catalog.spark.readStream.schema("value string").option("pathGlobFilter", "*.csv").text(folder)
-    c = fields(F.col("value"))
-    x = raw.select(F.col("_metadata.file_name").alias("source"), c.alias("c")).filter(F.size("c") >= 3)
-    x = x.select("source", F.trim(F.get("c", F.lit(0))).alias("node1"), F.trim(F.get("c", F.lit(1))).alias("node2"), finite_number(F.get("c", F.lit(2))).alias("weight"))
-    return x.filter("node1 <> '' AND node2 <> '' AND weight IS NOT NULL")
-
-
-class Suppression:
-    """File names whose next events are our own writes: for a time, and for a number of events."""
-
-    def __init__(self, seconds: float = 300, events: int = 3, clock=time.monotonic):
-        self.seconds, self.events, self.clock, self.held = seconds, events, clock, {}
-
-    def add(self, name: str) -> None:
-        self.held[name] = [self.clock() + self.seconds, self.events]
-
-    def takes(self, name: str) -> bool:
-        held = self.held.get(name)
-        if not held or held[0] < self.clock():
-            self.held.pop(name, None)
-            return False
-        held[1] -= 1
-        if held[1] <= 0:
-            del self.held[name]
-        return True
+from ..sources.readers import file_names
+from .folder_events import folder_events
+from .suppression import without_own
 
 
 def listed(catalog: Catalog, folder: str) -> DataFrame:
@@ -49,13 +20,6 @@ def listed(catalog: Catalog, folder: str) -> DataFrame:
     return catalog.spark.createDataFrame(names, "source string")
 
 
-def _stamps(catalog: Catalog, folder: str) -> dict[str, tuple[int, int]]:
-    """Time and size of every file of a folder."""
-    path = catalog.spark._jvm.org.apache.hadoop.fs.Path(folder)
-    found = path.getFileSystem(catalog.spark._jsc.hadoopConfiguration()).listStatus(path)
-    return {f.getPath().getName(): (f.getModificationTime(), f.getLen()) for f in found if f.isFile()}
-
-
 def kind_of(name: str) -> str | None:
     """What a file of the folder is: a network, attributes, taxonomy, or nothing of ours."""
     low = name.lower()
@@ -63,59 +27,65 @@ def kind_of(name: str) -> str | None:
 
 
 class Folder:
-    """What was seen of a folder, and what its changes do: attribute files are read anew, emptied and deleted
-    network files drop their network, and `changed(kind, name)` is told of everything, so that caches can go."""
+    """What the events of a folder do: added and changed network files replace their network, deleted and emptied
+    ones drop it, any event of an attribute file reads all of them anew, and `changed(kind, name)` is told of
+    everything, so that caches can go. What cannot be stored is reported and stops nothing else."""
 
     def __init__(self, catalog: Catalog, folder: str, changed: Callable[[str, str], None] = lambda kind, name: None):
-        self.catalog, self.folder, self.changed, self.seen = catalog, folder, changed, {}
+        self.catalog, self.folder, self.changed = catalog, folder, changed
+
+    def start(self) -> None:
+        """Drop the networks whose file went while nobody looked."""
+        for r in self.catalog.orphans(listed(self.catalog, self.folder)).toLocalIterator():
+            self.catalog.drop(r["source"])
 
-    def look(self) -> None:
-        now = _stamps(self.catalog, self.folder)
-        moved = {n for n in now.keys() | self.seen.keys() if now.get(n) != self.seen.get(n)}
-        if any(kind_of(n) == "attributes" for n in moved):
-            files = sorted(n for n in now if kind_of(n) == "attributes")
+    def _store(self, names: list[str]) -> None:
+        """Replace the networks of these files in one commit; if one of them is refused, each by itself."""
+        try:
+            self.catalog.ingest_files([f"{self.folder}/{n}" for n in names])
+        except Exception as e:
+            if len(names) == 1:
+                print(f"{names[0]} was not stored: {e}")
+            for n in names if len(names) > 1 else ():
+                self._store([n])
+
+    def apply(self, events: dict[str, str]) -> None:
+        """Do what a batch of events, by file name, asks for."""
+        of = {kind: sorted(n for n in events if kind_of(n) == kind) for kind in ("network", "attributes", "taxonomy")}
+        there = set(file_names(self.catalog.spark, self.folder))  # a file may have gone since
+        stored = [n for n in of["network"] if events[n] != "deleted" and n in there]
+        if stored:
+            self._store(stored)
+        gone = [n for n in of["network"] if n not in there]
+        if gone:
+            self.catalog.drop(*gone)
+        if of["attributes"]:
+            files = sorted(n for n in there if kind_of(n) == "attributes")
             try:
                 if files:
                     self.catalog.ingest_attributes([f"{self.folder}/{n}" for n in files])
-            except ValueError as e:
+            except Exception as e:
                 print(f"the attributes were not stored: {e}")
-        for n in sorted(moved):
-            if kind_of(n) == "network" and n in now and now[n][1] == 0:
-                self.catalog.drop(n)
-            if kind_of(n):
-                self.changed(kind_of(n), n)
-        for r in self.catalog.orphans(listed(self.catalog, self.folder)).collect():
-            self.catalog.drop(r["source"])
-        self.seen = now
+        for kind, names in of.items():
+            for n in names:
+                self.changed(kind, n)
 
 
 def follow(
-    catalog: Catalog, folder: str, checkpoint: str, suppression: Suppression | None = None, once: bool = False, every: str = "1 second",
-    changed: Callable[[str, str], None] = lambda kind, name: None,
+    catalog: Catalog, folder: str, checkpoint: str, once: bool = False, every: str = "1 second", settle: float = 2.0, own_seconds: float = 300, own_events: int = 3,
+    changed: Callable[[str, str], None] = lambda kind, name: None, most: int = 10_000,
 ) -> StreamingQuery:
-    """Start following. Micro-batches are serial; a batch that is retried replaces the same networks again, so
-    it can be repeated. A batch that cannot be stored is reported and does not stop the stream. Unless it runs
-    once, a clock makes a batch when no file arrives, so that deletions and attribute files are seen too."""
-    suppression = suppression or Suppression()
+    """Start following. Micro-batches are serial; one that is repeated replaces the same networks again. A batch has
+    at most `most` events of each stream, and what the driver sees of them is their names."""
     state = Folder(catalog, folder, changed)
+    state.start()
+    events = folder_events(catalog.spark, folder, settle, most)
+    notes = folder_events(catalog.spark, catalog.notes_folder(), 0, most).filter("event = 'added'").select(F.substring_index("name", "~", -1).alias("name"), "modified")
 
     def store(batch: DataFrame, number: int) -> None:
-        while catalog.own_writes:
-            suppression.add(catalog.own_writes.pop())
-        names = [r["source"] for r in batch.select("source").filter("source IS NOT NULL").distinct().collect()]  # one per arrived file
-        kept = [n for n in names if not suppression.takes(n)]
-        for n in kept:
-            try:
-                catalog.ingest_edges(batch.filter(F.col("source") == n))
-            except ValueError as e:
-                print(f"{n} was not stored: {e}")
-        state.look()
-
-    stream = network_stream(catalog, folder)
-    if not once:
-        clock = catalog.spark.readStream.format("rate").option("rowsPerSecond", 1).option("numPartitions", 1).load()
-        stream = stream.union(clock.select(*(F.lit(None).cast(t).alias(c) for c, t in stream.dtypes)))
-    writer = stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+        state.apply({r["name"]: r["event"] for r in batch.select("name", "event").collect()})
+
+    writer = without_own(events, notes, own_seconds, own_events).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
