@@ -19,13 +19,22 @@ def key_bits(key: Column, cells: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit("bits")), F.lit(cells * CELL)) + 1
 
 
-def bit_table(keys: DataFrame, column: str, cells: int = 2048) -> DataFrame:
-    """cell, bits: at most `cells` rows of 4 kB, 8 MB for 2048, however many keys there are."""
+#: Cells of the largest table, 8 MB.
+MOST_CELLS = 2048
+
+
+def cells_for(keys: int) -> int:
+    """A power of two of cells, with 16 bits for each key as long as that is at most MOST_CELLS."""
+    return min(MOST_CELLS, 1 << max(0, (16 * keys // CELL).bit_length()))
+
+
+def bit_table(keys: DataFrame, column: str, cells: int) -> DataFrame:
+    """cell, bits: at most `cells` rows of 4 kB, however many keys there are."""
     at = keys.select(key_bits(F.col(column), cells).alias("at"))
     return at.groupBy(F.bitmap_bucket_number("at").alias("cell")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
 
 
-def may_hold(rows: DataFrame, key: Column, table: DataFrame, cells: int = 2048) -> DataFrame:
+def may_hold(rows: DataFrame, key: Column, table: DataFrame, cells: int) -> DataFrame:
     """The rows whose key may be in the set; null keys are not. The table goes to every executor: its size is
     bounded by `cells`."""
     at, cell, bits = private(rows, "at", "cell", "bits")

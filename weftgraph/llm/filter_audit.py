@@ -20,7 +20,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bits import bit_table, may_hold
+from .bits import bit_table, cells_for, may_hold
 from .common import let, stage, words_of
 from ..shared import discard
 
@@ -105,7 +105,7 @@ def duplicates(docs: DataFrame, hashed: DataFrame, judged: Column, part: Column,
     in full: with that of the least id of the class, dealt to as many tasks as the class is large. What differs
     from it, which only equal hashes can bring about, is compared once more among itself."""
     survivors = refine(hashed.filter("id IS NOT NULL"))
-    cells = 2048
+    cells = cells_for(survivors.count())
     wanted = bit_table(survivors, "id", cells)
     text, doc = F.coalesce(F.col(text_col), F.lit("")), F.col(id_col).cast("long")
     rows = may_hold(docs.select(doc.alias("id"), part.alias("part"), text.alias("text")), F.col("id"), stage(wanted, "wanted"), cells)
