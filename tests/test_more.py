@@ -1,13 +1,15 @@
 """Providers, derivations, alignment end to end, refinement, and properties that hold for any input."""
 
+import math
 import random
+from collections import Counter, defaultdict
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from weftgraph.functions import validation
-from weftgraph.operators import alignment, communities, extraction, graphs, networks, ranking
+from weftgraph.operators import alignment, communities, extraction, graphs, kmer_index, networks, ranking, sji
 from weftgraph.sources import providers
 
 
@@ -144,3 +146,107 @@ def test_network_queries_take_all_proteins(spark):
     assert {x[0] for x in one_way} == proteins
     ends = catalogue.QUERIES["join5_missing_neighbours_whole"](spark, d).select("a", "b").collect()
     assert {x for e in ends for x in e} == proteins and brand and not {e[0] for e in ends} & brand
+
+
+def plain_diagonal(q, t, k=2, ratio=1.5):
+    """Best diagonal and votes by the definition; None where lengths do not fit or no k-mer is shared."""
+    if min(len(q), len(t)) < k or max(len(q), len(t)) > ratio * min(len(q), len(t)):
+        return None
+    votes = Counter(j - i for i in range(len(q) - k + 1) for j in range(len(t) - k + 1) if q[i : i + k] == t[j : j + k])
+    return max(((n, -abs(d), d) for d, n in votes.items()), default=None)
+
+
+def proteins(seed, n, sets="abc"):
+    rng = random.Random(seed)
+    base = ["".join(rng.choices("ACDE", k=rng.choice([1, 2, 3, 9, 20, 31, 47]))) for _ in range(n)]
+    return [(rng.choice(sets), f"p{i:03}", s if rng.random() < 0.7 else s.lower() + "-") for i, s in enumerate(base)]
+
+
+def test_k_mer_index_equals_brute_force(spark):
+    rows = proteins(3, 90)
+    seqs = spark.createDataFrame(rows, "set string, id string, seq string")
+    whole = {i: s.upper().strip("-") for _, i, s in rows}
+    want = {(q, t): best for q, s in whole.items() for t, u in whole.items() if (best := plain_diagonal(s, u))}
+    for letters in (40, 10_000):  # many chunks, or one of each band
+        index = kmer_index.build_index(seqs, chunk_letters=letters)
+        got = {(r["query"], r["target"]): (r["votes"], -abs(r["diagonal"]), r["diagonal"]) for r in kmer_index.search(index, index).collect()}
+        assert got == want
+    assert index.filter("octet_length(letters) > 10000").isEmpty()
+    assert kmer_index.search(kmer_index.build_index(seqs.limit(0)), index).count() == 0
+
+
+def test_proteome_and_reference_drivers_equal_brute_force(spark, tmp_path):
+    rows, m = proteins(4, 60), alignment.simple_matrix()
+    seqs = spark.createDataFrame(rows, "set string, id string, seq string")
+    whole = {i: alignment.clean(s) for _, i, s in rows}
+    own = {i: s for s, i, _ in rows}
+    text = {i: "".join(chr(65 + x) for x in w) for i, w in whole.items()}
+
+    def targets(q, among, n):
+        """The n best of a query among some targets: prefilter by rank and cap, alignment, threshold, rank."""
+        found = []
+        for t in among:
+            best = plain_diagonal(text[q], text[t])
+            if best:
+                d = best[2]
+                same = sum(text[q][i] == text[t][i + d] for i in range(len(text[q])) if 0 <= i + d < len(text[t]))
+                score = same / min(len(text[q]), len(text[t]))
+                if score >= 0.05:
+                    found.append((-score, t))
+        found.sort()
+        edge = math.ceil(1.5 * n) + 1
+        kept = [t for i, (s, t) in enumerate(found) if 1 + sum(x[0] < s for x in found) <= edge and i < math.ceil(1.6 * n)]
+        aligned = sorted((-alignment.similarity(whole[q], whole[t], m), t) for t in kept)
+        return [(t, -s) for s, t in aligned if -s >= 27][:n]
+
+    def got(df):
+        out = defaultdict(list)
+        for r in df.orderBy("query", "target_set", "rank").collect():
+            out[r["query"], r["target_set"]].append((r["target"], r["similarity"]))
+        return dict(out)
+
+    def want(asked, sets_of):
+        each = {(q, s): targets(q, [t for t in whole if own[t] == s], 3) for q in asked for s in sets_of(q)}
+        return {k: v for k, v in each.items() if v}
+
+    assert got(alignment.proteome_targets(seqs, m, 3)) == want(whole, lambda q: "abc")
+    assert got(alignment.proteome_targets(seqs, m, 3, own_only=True)) == want(whole, lambda q: own[q])
+    kmer_index.store_index(kmer_index.build_index(seqs.filter("set <> 'a'"), chunk_letters=100), f"{tmp_path}/index")
+    asked = seqs.filter("set = 'a'")
+    found = alignment.reference_targets(asked, kmer_index.stored_index(spark, f"{tmp_path}/index"), seqs.filter("set <> 'a'"), m, 3)
+    assert got(found) == want([i for i in whole if own[i] == "a"], lambda q: "bc")
+
+
+@pytest.mark.parametrize("block", [1, 7, 8192])
+def test_sets_meet_block_by_block(spark, block):
+    rng = random.Random(5)
+    pairs = {(0, i) for i in range(1, 200)} | {(i, 0) for i in range(1, 200)} | {(1, i) for i in range(150)} | {(rng.randrange(60), rng.randrange(70)) for _ in range(500)}
+    sets = defaultdict(set)
+    for p, s in pairs:
+        sets[p].add(s)
+    df = spark.createDataFrame([*pairs, (300, None)], "protein long, signal long").union(spark.createDataFrame([(0, 1)], "protein long, signal long"))
+
+    def index(a, b, left, right):
+        x, y = left[a], right.get(b, {b})
+        return (len(x & y), len(x | y))
+
+    want = {}
+    for a, b in pairs:
+        if a != b and not ((b, a) in pairs and b < a and a in sets and b in sets):
+            want[a, b] = index(a, b, sets, sets)
+    got = {(r["a"], r["b"]): (r["inter"], r["uni"]) for r in sji.network(df, block=block).collect()}
+    assert got == {k: v for k, v in want.items() if v[0]}
+    less = {p: s - {p} for p, s in sets.items()}
+    one_way = {(r["a"], r["b"]): (r["inter"], r["uni"]) for r in sji.network_oneway(df, df, block=block).collect()}
+    assert one_way == {(a, b): v for a, b in pairs if a != b and (v := index(a, b, less, sets))[0]}
+
+
+def test_no_row_grows_with_a_hub(spark):
+    """A star of 5,000 leaves whose sets are the hub: the hub's set is on no row of a pair, and its blocks are bounded."""
+    n, block = 5000, 256
+    df = spark.range(1, n + 1).selectExpr("0L AS protein", "id AS signal").union(spark.range(1, n + 1).selectExpr("id AS protein", "0L AS signal"))
+    held = sji.set_blocks(df, -(-n // block))
+    assert held.selectExpr("max(size(part))").first()[0] < 1.5 * block and held.filter("protein = 0").count() == -(-n // block)
+    small = sji.set_sizes(df).filter("n = 1").select("protein")
+    assert held.join(small, "protein").selectExpr("sum(size(part))").first()[0] == n  # what the pairs take along: a signal each
+    assert sji.network(df, min_jaccard=-1, block=block).count() == n

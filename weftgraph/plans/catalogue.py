@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as fn
-from ..operators import alignment, communities, components, editing, extraction, intervals, networks, ranking, signal_calls, sji, taxonomy, views
+from ..operators import alignment, communities, components, editing, extraction, intervals, kmer_index, networks, ranking, signal_calls, sji, taxonomy, views
+from ..shared import shared_dir
 from . import bindings as b
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -576,6 +577,39 @@ def alg1_diagonals(spark, d):
     return x.select("query", "target", "queries", "targets", "diagonal", "votes")
 
 
+GRAMS = """s AS (SELECT p_partkey AS id, p_type AS set, regexp_replace(upper(p_name), '[^A-Z]', '', 'g') AS s FROM part),
+g AS (SELECT id, set, n, substr(s, i, 2) AS g, i FROM (SELECT id, set, s, length(s) AS n, unnest(range(1, length(s))) AS i FROM s)),
+v AS (SELECT a.id AS query, b.id AS target, b.set AS target_set, b.i - a.i AS diagonal, count(*) AS votes FROM g a JOIN g b ON a.g = b.g
+  WHERE a.id % 50 = 0 AND greatest(a.n, b.n) <= least(a.n, b.n) * 1.5::DOUBLE GROUP BY 1, 2, 3, 4),
+d AS (SELECT query, target, target_set, diagonal, votes FROM (SELECT *, row_number() OVER (PARTITION BY query, target ORDER BY votes DESC, abs(diagonal), diagonal DESC) AS k FROM v) WHERE k = 1)"""
+
+
+def _sets(spark, d):
+    """set, id, seq: parts by type."""
+    return b.table(spark, d, "part").select(F.col("p_type").alias("set"), F.col("p_partkey").alias("id"), F.col("p_name").alias("seq"))
+
+
+@query(f"WITH {GRAMS} SELECT query, target, diagonal, votes FROM d")
+def alg1_searched_diagonals(spark, d):
+    """Every fiftieth part against all rows."""
+    seqs = _sets(spark, d)
+    return alignment.diagonals(seqs.filter("id % 50 = 0"), seqs)
+
+
+@query(f"""WITH {GRAMS},
+e AS (SELECT query, target, target_set, diagonal, unnest(range(1, length(q.s) + 1)) AS i, q.s AS q, t.s AS t FROM d JOIN s q ON q.id = query JOIN s t ON t.id = target),
+m AS (SELECT query, target, target_set, count(*) FILTER (i + diagonal BETWEEN 1 AND length(t) AND substr(q, i, 1) = substr(t, i + diagonal, 1)) / least(length(any_value(q)), length(any_value(t))) AS score
+  FROM e GROUP BY ALL),
+r AS (SELECT *, rank() OVER (PARTITION BY query, target_set ORDER BY score DESC) AS r, row_number() OVER (PARTITION BY query, target_set ORDER BY score DESC, target) AS k FROM m WHERE score >= 0.05)
+SELECT query, target, target_set, score FROM r WHERE r <= 9 AND k <= 8""")
+def alg5_reference_candidates(spark, d):
+    """Every fiftieth part against the parts of each type by a stored index: the candidates of the best five."""
+    seqs, path = _sets(spark, d), shared_dir(spark, "reference")
+    kmer_index.store_index(kmer_index.build_index(seqs), path)
+    asked = kmer_index.build_index(seqs.filter("id % 50 = 0"))
+    return alignment.prefilter_sets(asked, kmer_index.stored_index(spark, path), alignment.simple_matrix(), 5, 2, 1.5, 0.05).select("query", "target", "target_set", "score")
+
+
 @query()
 def alg1_diagonals_whole(spark, d):
     """All pairs of the whole table; no SQL, which takes too long. Each pair of sequences is worked out once."""
