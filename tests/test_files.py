@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from weftgraph import catalog
 from weftgraph.catalog import Catalog
 from weftgraph.operators import editing
-from weftgraph.sources import readers, writers
+from weftgraph.sources import adjacency, readers, writers
 from weftgraph.streaming import folder_events, reload
 
 
@@ -343,3 +343,53 @@ def test_two_writers_and_old_snapshots(spark, tmp_path):
     assert c.snapshots.versions() == [1, 2, 3, 4]
     c.drop("x.csv", "y.csv")
     assert sources(c) == ["o d=d/%.csv", "z.csv"]
+
+
+def test_binary_adjacency_round_trip_by_parts(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    edges = {(int(a), int(b)) for a, b in rng.integers(0, 500, (4000, 2)) if a % 7}
+    rows = [(a, b, float(np.float32(rng.random()))) for a, b in sorted(edges)]
+    folder = str(tmp_path / "adjacency")
+    adjacency.write_adjacency_files(spark.createDataFrame(rows, adjacency.COLUMNS).repartition(3), folder, parts=5)
+    files = adjacency.Files(folder)
+    assert len(files.parts()) > 1
+    for step in (adjacency.NODES_AT_ONCE, 13):
+        assert sorted(map(tuple, adjacency.read_adjacency_files(spark, folder, nodes_at_once=step).collect())) == rows
+    asked = [0, 7, 8, 9, 30, 31, 250, 251, 499, 600]
+    df = adjacency.read_adjacency_files(spark, folder, asked)
+    assert sorted(map(tuple, df.collect())) == [r for r in rows if r[0] in asked]
+    reader = adjacency.AdjacencyReader({"path": folder})  # what a query for ten nodes reads: their entries and their edges
+    assert list(reader.pushFilters([adjacency.In(("src",), tuple(asked)), adjacency.EqualTo(("dst",), 1)])) == [adjacency.EqualTo(("dst",), 1)]
+    planned = reader.partitions()
+    reader.files.bytes_read = 0
+    got = sum(b.num_rows for p in planned for b in reader.read(p))
+    there = [n for n in asked if any(p["first"] <= n < p["first"] + p["nodes"] for p in files.parts())]
+    assert got == sum(r[0] in asked for r in rows) and reader.files.bytes_read == 8 * got + 12 * len(there)
+    again = [(1, 2, 0.5)]  # the new parts take the place of the old in one step
+    adjacency.write_adjacency_files(spark.createDataFrame(again, adjacency.COLUMNS), folder)
+    assert list(map(tuple, adjacency.read_adjacency_files(spark, folder).collect())) == again
+
+
+def test_a_failed_adjacency_write_leaves_nothing(spark, tmp_path):
+    folder = tmp_path / "adjacency"
+    bad = spark.range(1000).selectExpr("id AS src", "id AS dst", "CASE WHEN id = 990 THEN raise_error('no') ELSE 1.0 END AS weight")
+    with pytest.raises(Exception, match="no"):
+        adjacency.write_adjacency_files(bad, str(folder))
+    assert not folder.exists() or not os.listdir(folder)
+    twice = spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.5)], adjacency.COLUMNS).repartition(2, "dst")
+    adjacency.register(spark)
+    folder.mkdir(exist_ok=True)
+    with pytest.raises(Exception, match="two parts"):
+        twice.write.format(adjacency.FORMAT).mode("append").option("path", str(folder)).save()
+    assert not os.listdir(folder)
+    with pytest.raises(Exception, match="no finished"):
+        adjacency.Files(str(folder)).parts()
+
+
+def test_binary_adjacency_of_one_file_pair(spark, tmp_path):
+    degree = np.array([2, 0, 1])
+    head = np.array([(0, 2), (16, 0), (16, 1)], adjacency.ENTRY)
+    (tmp_path / "net.adj.index.bin").write_bytes(np.array([3], "<u4").tobytes() + head.tobytes())
+    (tmp_path / "net.adj.bin").write_bytes(np.array([(1, 0.5), (2, 0.25), (0, 0.75)], adjacency.PAIR).tobytes())
+    got = adjacency.read_adjacency_files(spark, str(tmp_path)).collect()
+    assert list(map(tuple, got)) == [(0, 1, 0.5), (0, 2, 0.25), (2, 0, 0.75)] and degree.sum() == len(got)

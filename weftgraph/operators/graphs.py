@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import numbered
+
 
 def merge_nodes(nodes: DataFrame, order: str, key: str = "id") -> DataFrame:
     """One row per id: of every attribute the last value that is not null."""
@@ -20,14 +22,9 @@ def component_edges(edges: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def targets(signals: DataFrame, queries: DataFrame, size: int = 5000) -> DataFrame:
-    """id, chunk: signals that are no query protein, dealt in order into chunks. Places are counted within
-    ranges and the sizes of the ranges before are added, so no task holds all."""
+    """id, chunk: signals that are no query protein, dealt in order into chunks."""
     ids = signals.select(F.col("signal").alias("id")).distinct().join(queries.select("id"), "id", "left_anti")
-    ranged = ids.repartitionByRange("id").withColumn("part", F.spark_partition_id())
-    ranged = ranged.withColumn("inside", F.row_number().over(Window.partitionBy("part").orderBy("id")))
-    n = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # as many rows as partitions
-    before = n.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return ranged.join(F.broadcast(before), "part").select("id", F.floor((F.col("before") + F.col("inside") - 1) / size).cast("long").alias("chunk"))
+    return numbered(ids, "id").select("id", F.floor((F.col("line") - 1) / size).cast("long").alias("chunk"))
 
 
 def presence(wanted: DataFrame, old: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import edge_id
+from ..shared import numbered
 
 
 def canonicalize(edges: DataFrame, how: str = "max", keys: tuple[str, ...] = (), u: str = "u", v: str = "v", w: str = "w", order: str = "row") -> DataFrame:
@@ -91,14 +92,9 @@ def degrees(adj: DataFrame) -> DataFrame:
 
 
 def dense_ids(names: DataFrame, name: str = "name", order: str = "position") -> DataFrame:
-    """name, id from 0 in order of first appearance. Ranks are taken within ranges of the order and added to
-    the sizes of the ranges before, so no task holds all names."""
+    """name, id from 0 in order of first appearance, names that appear together in their own order."""
     first = names.groupBy(name).agg(F.min(order).alias("position"))
-    ranged = first.repartitionByRange("position").withColumn("part", F.spark_partition_id())
-    ranged = ranged.withColumn("inside", F.row_number().over(Window.partitionBy("part").orderBy("position", name)))
-    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # as many rows as partitions
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
-    return ranged.join(F.broadcast(before), "part").select(name, (F.col("before") + F.col("inside") - 1).cast("long").alias("id"))
+    return numbered(first, "position", name).select(name, (F.col("line") - 1).cast("long").alias("id"))
 
 
 def encode(edges: DataFrame, ids: DataFrame, u: str = "node1", v: str = "node2", w: str = "weight") -> DataFrame:

@@ -7,7 +7,7 @@ import warnings
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import stage
+from ..shared import in_ranges, numbered, stage  # noqa: F401
 
 NODE = "node string, parent string, name string, taxid string"
 
@@ -22,14 +22,29 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     return x.select("line", depth.cast("int").alias("depth"), F.trim(F.substr("text", F.col("at"))).alias("name"))
 
 
+def _latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The last `over` above each row that asks (`own`), among the rows of its keys."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("found", F.last("over", ignorenulls=True).over(w)).filter("own").drop("own", "over")
+
+
 def build(parsed: DataFrame) -> DataFrame:
     """line, depth, name, parent (line): the parent is the latest line above of one depth less, wherever that
-    is; depth 0 has none."""
-    child = parsed.select("line", "depth", "name", F.col("depth").alias("level"), F.lit(None).cast(dict(parsed.dtypes)["line"]).alias("over"))
-    above = parsed.select("line", "depth", "name", (F.col("depth") + 1).alias("level"), F.col("line").alias("over"))
-    w = Window.partitionBy("level").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    both = child.withColumn("own", F.lit(True)).union(above.withColumn("own", F.lit(False)))
-    return both.withColumn("parent", F.last("over", ignorenulls=True).over(w)).filter("own").select("line", "depth", "name", "parent")
+    is; depth 0 has none.
+
+    A scan in three steps: lines lie in ranges; of each range the last line of each depth is all that later ranges
+    need to know of it; a line takes its parent from its own range, or else from the last range that has one."""
+    none = F.lit(None).cast(dict(parsed.dtypes)["line"])
+    ranged = in_ranges(parsed.select("line", "depth", "name"), "line")
+    child = ranged.select("part", "line", "depth", "name", F.col("depth").alias("level"), none.alias("over"), F.lit(True).alias("own"))
+    above = ranged.select("part", "line", "depth", "name", (F.col("depth") + 1).alias("level"), F.col("line").alias("over"), F.lit(False).alias("own"))
+    local = _latest(child.union(above), ["part", "level"], ["line"])
+    # as many rows as ranges have depths, whatever the number of lines
+    last = ranged.groupBy("part", (F.col("depth") + 1).alias("level")).agg(F.max("line").alias("over")).withColumn("own", F.lit(False))
+    asked = ranged.select("part", F.col("depth").alias("level")).distinct().select("part", "level", none.alias("over"), F.lit(True).alias("own"))
+    carried = _latest(last.union(asked), ["level"], ["part", F.desc("own")]).withColumnRenamed("found", "carried")
+    out = local.join(carried, ["part", "level"], "left")
+    return out.select("line", "depth", "name", F.coalesce("found", "carried").alias("parent"))
 
 
 def without_orphans(parsed: DataFrame) -> DataFrame:
@@ -44,16 +59,6 @@ def without_orphans(parsed: DataFrame) -> DataFrame:
         parsed = parsed.join(orphans.select("line"), "line", "left_anti")
 
 
-def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """The rows with `line` from 1, in order. Rows are numbered within ranges of the order and added to the
-    sizes of the ranges before, so no task holds all rows; the ranges are staged, so both see the same."""
-    ranged = stage(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
-    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # as many rows as partitions
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
-    inside = F.row_number().over(Window.partitionBy("part").orderBy(*order))
-    return ranged.withColumn("inside", inside).join(F.broadcast(before), "part").withColumn("line", F.col("before") + F.col("inside")).drop("part", "before", "inside")
-
-
 def paths(tree: DataFrame, node: str = "node", parent: str = "parent") -> DataFrame:
     """node, ancestor, steps: each node with itself (0) and all above it, for nodes under a root (no parent).
     Levels are joined from the roots down, as many joins as the tree is deep."""

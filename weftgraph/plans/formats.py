@@ -12,8 +12,8 @@ from ..catalog import Catalog
 from ..functions import columns as fn
 from ..functions import validation
 from ..operators import alignment, communities, editing, networks, signal_calls, sji, views
-from ..shared import shared_dir
-from ..sources import readers, writers
+from ..shared import shared_dir, stage
+from ..sources import adjacency, readers, writers
 from ..streaming import reload
 from . import bindings as b
 from .catalogue import SJI, E, H, N, P, PE, query
@@ -441,6 +441,59 @@ def win7_eigengap_clusters(spark, d):
     return b.points(spark, d).groupBy("query_id").applyInPandas(run, "query_id string, k long")
 
 
+@query(f"""WITH e AS (SELECT node1, node2, max(weight) AS w FROM ({E}) GROUP BY ALL), a AS (SELECT node1 AS src, node2 AS dst, w FROM e UNION ALL SELECT node2, node1, w FROM e),
+i AS (SELECT src, row_number() OVER (ORDER BY src) - 1 AS id FROM (SELECT DISTINCT src FROM a))
+SELECT i.id AS src, j.id AS dst, w AS weight FROM a JOIN i USING (src) JOIN i j ON j.src = a.dst""")
+def snk11_binary_adjacency(spark, d):
+    """All edges written as binary adjacency and read back."""
+    e = b.edges(spark, d).groupBy("node1", "node2").agg(F.max("weight").alias("weight"))
+    names = e.select(F.explode(F.array("node1", "node2")).alias("name"))
+    x = networks.encode(e, stage(networks.dense_ids(names, order="name"), "ids"))
+    folder = shared_dir(spark, "adjacency")
+    adjacency.write_adjacency_files(x.union(x.select("dst", "src", "weight")), folder, parts=8)
+    return adjacency.read_adjacency_files(spark, folder).withColumn("weight", F.col("weight").cast("long"))
+
+
+@query(f"""WITH e AS (SELECT node1, node2, max(weight) AS w FROM ({E}) GROUP BY ALL), a AS (SELECT node1 AS src, node2 AS dst, w FROM e UNION ALL SELECT node2, node1, w FROM e),
+i AS (SELECT src, row_number() OVER (ORDER BY src) - 1 AS id FROM (SELECT DISTINCT src FROM a))
+SELECT i.id AS src, sum(w)::BIGINT AS weight, count(*) AS n FROM a JOIN i USING (src) WHERE src IN (SELECT DISTINCT 'S' || s_suppkey FROM supplier WHERE s_nationkey = 7) GROUP BY 1""")
+def src22_adjacency_of_nodes(spark, d):
+    """The neighbours of one nation's suppliers, by offset."""
+    e = b.edges(spark, d).groupBy("node1", "node2").agg(F.max("weight").alias("weight"))
+    ids = stage(networks.dense_ids(e.select(F.explode(F.array("node1", "node2")).alias("name")), order="name"), "ids")
+    x, folder = networks.encode(e, ids), shared_dir(spark, "adjacency")
+    adjacency.write_adjacency_files(x.union(x.select("dst", "src", "weight")), folder, parts=8)
+    own = b.table(spark, d, "supplier").filter("s_nationkey = 7").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("name"))
+    asked = [r["id"] for r in ids.join(own, "name", "left_semi").collect()]
+    return adjacency.read_adjacency_files(spark, folder, asked).groupBy("src").agg(F.sum("weight").cast("long").alias("weight"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT least('S' || l_suppkey, 'P' || l_partkey) AS node1, greatest('S' || l_suppkey, 'P' || l_partkey) AS node2, max(l_linenumber) / 8 AS weight FROM lineitem WHERE l_returnflag <> 'N' AND (l_returnflag <> 'R' OR l_linenumber > 3) GROUP BY ALL")
+def str3_changed_folder(spark, d):
+    """A folder followed twice: between, one file changes, one goes and one stays."""
+    x = b.raw_edges(spark, d).withColumn("line", F.col("row") % 10)
+    folder, progress, c = shared_dir(spark, "changing"), shared_dir(spark, "progress"), Catalog(spark, shared_dir(spark, "followed"))
+
+    def put(flag: str, rows: DataFrame) -> None:
+        best = rows.groupBy(F.least("u", "v").alias("node1"), F.greatest("u", "v").alias("node2")).agg((F.max("line") / 8).alias("weight"))
+        best.coalesce(1).write.mode("overwrite").csv(f"{folder}/{flag}")
+        fs, where = c._fs(f"{folder}/{flag}")
+        part = next(f.getPath() for f in fs.listStatus(where) if f.getPath().getName().startswith("part-"))
+        fs.mkdirs(c._fs(f"{folder}/in")[1])
+        fs.delete(c._fs(f"{folder}/in/{flag}.csv")[1], False)
+        fs.rename(part, c._fs(f"{folder}/in/{flag}.csv")[1])
+
+    go = lambda: reload.follow(c, f"{folder}/in", progress, once=True, settle=0).awaitTermination()
+    for flag in "ANR":
+        put(flag, x.filter(F.col("source") == f"{flag}.csv"))
+    go()
+    put("R", x.filter("source = 'R.csv' AND line > 3"))
+    fs, gone = c._fs(f"{folder}/in/N.csv")
+    fs.delete(gone, False)
+    go()
+    return c.edges.groupBy("node1", "node2").agg(F.max("weight").alias("weight"))
+
+
 # -- the catalog --------------------------------------------------------------------------------------------
 
 

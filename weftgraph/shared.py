@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -38,3 +39,19 @@ def discard(*staged: DataFrame | None) -> None:
             spark = df.sparkSession
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def in_ranges(rows: DataFrame, *order: str) -> DataFrame:
+    """The rows dealt into ranges of an order, with `part`, the number of the range. Staged: whatever reads them sees
+    the same ranges, also after an executor is lost."""
+    return stage(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
+
+
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """The rows with `line` from 1, in order. Rows are numbered within ranges of the order and added to the
+    sizes of the ranges before, so no task holds all rows."""
+    ranged = in_ranges(rows, *order)
+    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # as many rows as partitions
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return ranged.withColumn("inside", inside).join(F.broadcast(before), "part").withColumn("line", F.col("before") + F.col("inside")).drop("part", "before", "inside")

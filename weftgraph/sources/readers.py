@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite_number
+from .adjacency import read_adjacency_files
 
 #: Header cells (fixed values).
 ATTRIBUTE_HEADER = ["node_id", "NCBI_txID", "NH_ID", "NH_Size"]
@@ -248,26 +249,12 @@ def complete_indexes(spark: SparkSession, folder: str) -> DataFrame:
     return y.groupBy("prefix").agg(F.countDistinct("kind").alias("n")).filter("n = 3").select("prefix").orderBy("prefix")
 
 
-def binary_adjacency(spark: SparkSession, prefix: str) -> DataFrame:
-    """src, dst, weight of a binary index: u4 count, then (u8 offset, u4 degree) for each node; (u4, f4) pairs.
-    The index is one row on its way: this imports files of one machine, and parquet is for larger ones."""
-    import numpy as np
-    import pandas as pd
-
-    def run(batches):
-        for b in batches:
-            for index, pairs in zip(b["index"], b["pairs"], strict=True):
-                n = int(np.frombuffer(index[:4], "<u4")[0])
-                head = np.frombuffer(index[4:], np.dtype([("offset", "<u8"), ("degree", "<u4")]))[:n]
-                body = np.frombuffer(pairs, np.dtype([("dst", "<u4"), ("weight", "<f4")]))
-                src = np.repeat(np.arange(n), head["degree"])
-                at = np.repeat(head["offset"].astype(np.int64) // 8 - np.concatenate([[0], np.cumsum(head["degree"])[:-1]]).astype(np.int64), head["degree"]) + np.arange(len(src))
-                yield pd.DataFrame({"src": src, "dst": body["dst"][at].astype(np.int64), "weight": body["weight"][at]})
-
-    read = lambda suffix: spark.read.format("binaryFile").load(prefix + suffix).select("content")
-    both = read(".adj.index.bin").select(F.col("content").alias("index"), read(".adj.bin").scalar().alias("pairs"))
+def binary_adjacency(spark: SparkSession, prefix: str, names: list[str] | None = None) -> DataFrame:
+    """src, dst, weight of a binary index and its node_ids.tsv, by name; of some nodes only, if given."""
+    folder, _, pair = prefix.rpartition("/")
     ids = spark.read.schema("id bigint, name string").csv(prefix + ".node_ids.tsv", sep="\t")
-    x = both.mapInPandas(run, "src bigint, dst bigint, weight float")
+    asked = None if names is None else [r["id"] for r in ids.filter(F.col("name").isin(names)).collect()]
+    x = read_adjacency_files(spark, folder or ".", asked, pair=pair)
     a, b = ids.select(F.col("id").alias("src"), F.col("name").alias("s")), ids.select(F.col("id").alias("dst"), F.col("name").alias("d"))
     return x.join(a, "src").join(b, "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"), "weight")
 

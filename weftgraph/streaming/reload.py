@@ -14,6 +14,10 @@ from .folder_events import folder_events
 from .suppression import without_own
 
 
+#: The state is one row for each file that we have written of late.
+STATE_PARTITIONS = 4
+
+
 def listed(catalog: Catalog, folder: str) -> DataFrame:
     """source of the files in a folder."""
     names = [(n,) for n in file_names(catalog.spark, folder) if n.endswith(".csv")]
@@ -86,7 +90,13 @@ def follow(
         state.apply({r["name"]: r["event"] for r in batch.select("name", "event").collect()})
 
     writer = without_own(events, notes, own_seconds, own_events).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+    conf, partitions = catalog.spark.conf, "spark.sql.shuffle.partitions"
+    usual = conf.get(partitions)
+    conf.set(partitions, str(STATE_PARTITIONS))  # of the state, which the query keeps; networks are stored with the usual number
+    try:
+        return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+    finally:
+        conf.set(partitions, usual)
 
 
 def latest_by_key(events: DataFrame, key: str, at: str, late: str = "1 hour") -> DataFrame:
