@@ -6,6 +6,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -343,6 +344,42 @@ def test_decontamination_in_blocks_matches_and_odd_rows(spark):
     assert decontaminate.contamination(odd_docs(spark), bench).count() == len(ODD)
 
 
+def test_decontamination_of_repeated_words_is_near_linear():
+    words = [b"again"]
+    block = decontaminate.make_block([("i", words * 2000), ("j", words * 12)], 10)
+    began, docs = time.time(), [words * 300_000, [b"once"] * 5]
+    shard = decontaminate.Shard([" ".join(["again"] * 300_000), "once"])
+    shard.take(block)
+    assert shard.report()[["n_hit", "n_items"]].values.tolist() == [[300_000, 2], [0, 0]]
+    d, item, start, place, n = decontaminate.longest(block, docs)
+    # one match for each diagonal of ten words or more, of the text with either item
+    assert len(d) == sum(300_000 + size - 19 for size in (2000, 12)) and n.max() == 2000 and (item[n == 2000] == 0).sum() == 300_000 - 2000 + 1
+    assert time.time() - began < 60
+
+
+def test_longest_matches_equal_brute_force():
+    rng = random.Random(9)
+    for round_ in range(60):
+        texts = [[rng.choice([b"a", b"b", b"c"][: 1 + round_ % 3]) for _ in range(rng.randrange(1, 30))] for _ in range(3)]
+        items = [(rng.choice("xy"), [rng.choice([b"a", b"b"]) for _ in range(rng.randrange(1, 14))]) for _ in range(3)]
+        items = list({(n, tuple(w)): (n, w) for n, w in items}.values())
+        block = decontaminate.make_block(items, 4)
+        want = set()
+        for d, t in enumerate(texts):
+            for k, (name, w) in enumerate(items):
+                size = min(4, len(w))
+                for s in range(len(t)):
+                    for p in range(len(w) if len(w) >= 4 else 1):
+                        n = 0
+                        while s + n < len(t) and p + n < len(w) and t[s + n] == w[p + n]:
+                            n += 1
+                        if n >= size and (len(w) < 4 or not (s and p and t[s - 1] == w[p - 1])):
+                            want.add((d, name, s, p, n if len(w) >= 4 else len(w), k))
+        d, item, start, place, n = decontaminate.longest(block, texts)
+        got = sorted((int(a), block.items[i], int(s), int(p), int(m)) for a, i, s, p, m in zip(d, item, start, place, n))
+        assert got == sorted(x[:5] for x in want)
+
+
 # -- near-duplicates ----------------------------------------------------------------------------------------
 
 

@@ -4,8 +4,8 @@ Documents are taken in shards (slices of a partition's record batches). A shard'
 suffixes at which a match can begin: positions whose next words are benchmark words in benchmark order, pair
 by pair, for at least the shortest window, each read to the end of that run. Every benchmark suffix is looked up in it
 by binary search, which gives all places where its first `window` words stand; neighbouring places on one diagonal are
-one longest verbatim match, with its locations. The verdicts come from these matches: their words are hit, their items
-are found, their documents removed. No document word is left out and no match is lost: a match of a window has only
+one longest verbatim match, with its locations (`matches`). The words of these places, which are those of the longest
+matches, are hit, their items are found, their documents removed. No document word is left out and no match is lost: a match of a window has only
 benchmark pairs, so its position is in the array.
 
 The benchmark goes to the executors in blocks of at most `block_words` words, one broadcast each; every shard
@@ -53,8 +53,11 @@ class Block:
     pairs: np.ndarray  # sorted numbers of neighbouring words, first * base + second
     windows: np.ndarray  # sorted distinct windows, as padded bytes
     lengths: np.ndarray  # words of each window
-    shown: np.ndarray  # window, item, place; sorted by window
+    shown: np.ndarray  # item, place, text (items may have several) of each place of a window, sorted by window
     first: np.ndarray  # where a window's rows in `shown` begin
+    before: np.ndarray  # of each row of `shown`, the window that begins one word earlier in the text, or -1
+    after: np.ndarray  # and one word later
+    found: np.ndarray  # window, item: each pair once, sorted
     items: list[str]
     window: int
 
@@ -69,50 +72,73 @@ def _keys(rows: np.ndarray) -> np.ndarray:
 
 
 def make_block(items: list[tuple[str, list[bytes]]], window: int) -> Block:
+    """About 60 bytes for each word and distinct window of the items, besides the vocabulary."""
     vocabulary: dict[bytes, int] = {}
     names: dict[str, int] = {}
-    rows, shown, pairs = [], [], set()
-    for name, words in items:
-        ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words]
-        pairs.update(zip(ids, ids[1:]))
-        item = names.setdefault(name, len(names))
-        for p in range(max(1, len(ids) - window + 1)):
-            own = ids[p : p + window]
-            rows.append(own + [0] * (window - len(own)))
-            shown.append((item, p))
+    rows, shown, pairs = [np.empty((0, window), ">u4")], [np.empty((0, 3), np.int64)], [np.empty((0, 2), np.int64)]
+    for text, (name, words) in enumerate(items):
+        ids = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words], np.int64)
+        pairs.append(np.unique(np.stack([ids[:-1], ids[1:]], axis=1), axis=0))
+        item, n = names.setdefault(name, len(names)), max(1, len(ids) - window + 1)
+        own = np.zeros((n, window), ">u4")
+        if len(ids) >= window:
+            own[:] = np.lib.stride_tricks.sliding_window_view(ids, window)
+        else:
+            own[0, : len(ids)] = ids
+        rows.append(own)
+        shown.append(np.stack([np.full(n, item), np.arange(n), np.full(n, text)], axis=1))
     base = len(vocabulary) + 1
-    keys, back = np.unique(_keys(np.array(rows, np.int64).reshape(-1, window)), return_inverse=True)
+    matrix, places, two = np.concatenate(rows).astype(">u4"), np.concatenate(shown), np.concatenate(pairs)
+    keys, back = np.unique(matrix.view(f"S{4 * window}").ravel(), return_inverse=True)
     order = np.argsort(back, kind="stable")
-    matrix = np.array(rows, np.int64).reshape(-1, window)
     lengths = np.zeros(len(keys), np.int64)
     lengths[back] = (matrix > 0).sum(axis=1)
+    same = np.zeros(len(places) + 1, bool)  # whether a row and the one before it are neighbours in a text
+    same[1:-1] = places[1:, 2] == places[:-1, 2]
+    before = np.where(same[:-1], np.append(-1, back[:-1]), -1)
+    after = np.where(same[1:], np.append(back[1:], -1), -1)
+    found = np.unique(np.stack([back, places[:, 0]], axis=1), axis=0) if len(back) else np.empty((0, 2), np.int64)
     return Block(
-        vocabulary, np.array(sorted(a * base + b for a, b in pairs), np.int64), keys, lengths,
-        np.array(shown, np.int64).reshape(-1, 2)[order], np.searchsorted(back[order], np.arange(len(keys) + 1)), list(names), window,
+        vocabulary, np.unique(two[:, 0] * base + two[:, 1]), keys, lengths,
+        places[order], np.searchsorted(back[order], np.arange(len(keys) + 1)), before[order], after[order], found, list(names), window,
     )
 
 
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... count times, for each of them."""
+    return np.repeat(start - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+
+
 def sorted_suffixes(keys: np.ndarray, suffix: np.ndarray, run: np.ndarray, read) -> np.ndarray:
-    """The order of suffixes whose first words are `keys`: those that tie are read on, a window at a time, until
-    they differ or end. read(positions, lengths) gives the keys of the words that follow."""
-    order = np.argsort(keys, kind="stable")
-    rank = np.empty(len(keys), np.int64)
-    _, rank[order] = np.unique(keys[order], return_inverse=True)
-    done = 0
+    """The order of suffixes whose first words are `keys`, each read to the end of its run, by doubling: suffixes in
+    order of their first n words are put in order of 2 n by the order of those that begin n words later. The rounds
+    grow with the logarithm of the longest run. read(positions, lengths) gives the keys of the words that follow."""
+    if not len(suffix):
+        return np.empty(0, np.int64)
+    n = int((suffix + run).max())
+    edge, end = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+    np.add.at(edge, suffix, 1)
+    np.add.at(edge, suffix + run, -1)
+    np.maximum.at(end, suffix, suffix + run)
+    at = np.flatnonzero(np.cumsum(edge)[:n] > 0)  # every position of a run, since a suffix goes on at any of them
+    left = np.maximum.accumulate(end)[at] - at
+    where = np.zeros(n + 1, np.int64)
+    where[at] = np.arange(len(at))
+    if len(at) == len(suffix):
+        first = np.empty(len(at), keys.dtype)
+        first[where[suffix]] = keys
+    else:
+        first = read(at, left)
+    _, rank = np.unique(first, return_inverse=True)
+    width = read.window
     while True:
-        done += 1
-        _, at, size = np.unique(rank, return_inverse=True, return_counts=True)
-        tied = np.flatnonzero((size[at] > 1) & (np.maximum.reduceat(run[np.argsort(at, kind="stable")], np.cumsum(size) - size)[at] > done * read.window))
-        if not len(tied):
-            return np.argsort(rank, kind="stable")
-        more = read(suffix[tied] + done * read.window, np.maximum(run[tied] - done * read.window, 0))
-        _, more = np.unique(more, return_inverse=True)
-        place = np.lexsort((more, rank[tied]))
-        fresh = np.ones(len(tied), bool)
-        fresh[1:] = (rank[tied][place][1:] != rank[tied][place][:-1]) | (more[place][1:] != more[place][:-1])
-        finer = rank * (len(tied) + 1)
-        finer[tied[place]] += np.cumsum(fresh)
-        _, rank = np.unique(finer, return_inverse=True)
+        open_ = (np.bincount(rank)[rank] > 1) & (left > width)
+        if not open_.any():
+            return np.argsort(rank[where[suffix]], kind="stable")
+        then = np.zeros(len(at), np.int64)
+        then[open_] = rank[where[at[open_] + width]] + 1
+        _, rank = np.unique(rank * (len(at) + 1) + then, return_inverse=True)
+        width *= 2
 
 
 class Reader:
@@ -167,20 +193,45 @@ def search(block: Block, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarra
     return doc[start], start - offsets[doc[start]], which
 
 
+def _unlike(which: np.ndarray, own: np.ndarray, first: np.ndarray, beside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of an occurrence of window `which` and a place of it (a row of `shown`) that are not both beside one and
+    the same window: `own` beside the occurrence, `beside` beside the place. Nothing else is listed, so that a word
+    repeated m times in a text and n times in an item gives m + n pairs and not their product."""
+    order = np.lexsort((beside, np.repeat(np.arange(len(first) - 1), np.diff(first))))
+    key = np.repeat(np.arange(len(first) - 1), np.diff(first)) * (len(first) + 1) + beside[order] + 1
+    ask = which * (len(first) + 1) + own + 1
+    low, high = np.searchsorted(key, ask, "left"), np.searchsorted(key, ask, "right")
+    low, high = (np.where(own < 0, first[which], x) for x in (low, high))
+    head, tail = low - first[which], first[which + 1] - high
+    at = np.concatenate([_ranges(first[which], head), _ranges(high, tail)])
+    return np.concatenate([np.repeat(np.arange(len(which)), head), np.repeat(np.arange(len(which)), tail)]), order[at]
+
+
 def longest(block: Block, docs: list[list[bytes]]) -> tuple[np.ndarray, ...]:
-    """Longest verbatim matches in a shard: document, item, first word in either, words."""
+    """Longest verbatim matches in a shard: document, item, first word in either, words. On each diagonal of a text and
+    an item's text, matches begin where no window lies before both, and end where none follows both."""
     doc, start, which = search(block, docs)
-    count = block.first[which + 1] - block.first[which]
-    at = np.repeat(block.first[which] - np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64), count) + np.arange(int(count.sum())) if len(doc) else np.empty(0, np.int64)
-    d, s, n = np.repeat(doc, count), np.repeat(start, count), np.repeat(block.lengths[which], count)
-    item, place = block.shown[at, 0], block.shown[at, 1]
-    order = np.lexsort((s, s - place, item, d))
-    d, s, n, item, place = d[order], s[order], n[order], item[order], place[order]
-    new = np.ones(len(d), bool)
-    new[1:] = (np.diff(d) != 0) | (np.diff(item) != 0) | (np.diff(s) != 1) | (np.diff(place) != 1)
-    heads = np.flatnonzero(new)
-    tails = np.append(heads[1:], len(d))[: len(heads)] - 1
-    return d[heads], item[heads], s[heads], place[heads], s[tails] + n[tails] - s[heads]
+    if not len(doc):
+        return tuple(np.empty(0, np.int64) for _ in range(5))
+    whole = block.lengths[which] == block.window
+    width = max(map(len, docs)) + 2
+    place = np.sort(doc[whole] * width + start[whole])
+    window_at = which[whole][np.argsort(doc[whole] * width + start[whole], kind="stable")]
+
+    def beside(step: int) -> np.ndarray:
+        ask = doc * width + start + step
+        at = np.minimum(np.searchsorted(place, ask), max(len(place) - 1, 0))
+        there = whole & (place[at] == ask) if len(place) else np.zeros(len(doc), bool)
+        return np.where(there & (start + step >= 0), window_at[at] if len(place) else -1, -1)
+
+    def ends(step: int, shown_beside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        occurrence, row = _unlike(which, beside(step), block.first, shown_beside)
+        text, at = block.shown[row, 2], block.shown[row, 1]
+        order = np.lexsort((start[occurrence], start[occurrence] - at, text, doc[occurrence]))
+        return occurrence[order], row[order]
+
+    (head, row), (tail, _) = ends(-1, block.before), ends(1, block.after)
+    return doc[head], block.shown[row, 0], start[head], block.shown[row, 1], start[tail] + block.lengths[which[tail]] - start[head]
 
 
 class Shard:
@@ -193,11 +244,18 @@ class Shard:
         self.items: dict[int, set[str]] = {}
 
     def take(self, block: Block) -> None:
-        doc, item, start, _, n = longest(block, self.words)
-        at = self.offsets[doc] + start
+        """The words of every window's places are hit, which are those of the longest matches; their items are found."""
+        doc, start, which = search(block, self.words)
+        at, n = self.offsets[doc] + start, block.lengths[which] if len(which) else which
         np.add.at(self.edge, at, 1)
         np.add.at(self.edge, at + n, -1)
-        for d, i in np.unique(np.stack([doc, item]), axis=1).T.tolist():
+        if not len(doc):
+            return
+        pair = np.unique(doc * len(block.lengths) + which)
+        own, window = pair // len(block.lengths), pair % len(block.lengths)
+        low, high = (np.searchsorted(block.found[:, 0], window, side) for side in ("left", "right"))
+        items = block.found[_ranges(low, high - low), 1]
+        for d, i in np.unique(np.stack([np.repeat(own, high - low), items]), axis=1).T.tolist():
             self.items.setdefault(d, set()).add(block.items[i])
 
     def report(self) -> pd.DataFrame:
@@ -243,7 +301,7 @@ def _reports(texts: list[str | None], blocks: list) -> pd.DataFrame:
     return pd.concat([s.report() for s in shards], ignore_index=True)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """One row per document: words, hit words, items found, digest of their ids, contaminated."""
     blocks = blocks_of(benchmark, window, block_words, item_col, "text")
 
@@ -257,7 +315,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(trimmed(run), REPORT)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """The longest verbatim matches: document, item, first word in either, words. A short item's match is
     the whole item. Nested shorter matches on other diagonals stand for themselves."""
     blocks = blocks_of(benchmark, window, block_words, item_col, "text")
@@ -275,7 +333,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(trimmed(run), MATCHES)
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 4_000_000, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 1_000_000, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """The input rows, all columns, without those that hold a window of the benchmark."""
     blocks = blocks_of(benchmark, window, block_words, item_col, "text")
     at = docs.columns.index(text_col)
