@@ -32,6 +32,7 @@ from .common import slices, trimmed
 BITS = 16  # of a window's bucket
 CELLS = 2 << BITS  # three-letter windows, then four-letter ones
 BLOCKS = 32  # parts of a table that are added up separately
+SHARES = 1024  # tasks that add up a part, before one does
 SCORE_CHARS, PATH_CHARS = 1_000_000, 10_000_000
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
 SPANS = "doc_id long, span int, lang string, first_word int, n_words int, letters int"
@@ -198,7 +199,10 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_l
 
     ship(docs.sparkSession)
     kept = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
-    parts = kept.mapInPandas(trimmed(count), "lang string, block int, counts binary").groupBy("lang", "block").applyInPandas(total, "lang string, block int, counts binary")
+    # added up in two steps: of however many partitions, a task adds up a share first
+    kind = "lang string, block int, counts binary"
+    shares = kept.mapInPandas(trimmed(count), kind).groupBy("lang", "block", F.pmod(F.spark_partition_id(), F.lit(SHARES)).alias("share")).applyInPandas(lambda p: total(p), kind)
+    parts = shares.groupBy("lang", "block").applyInPandas(total, kind)
     tables: dict[str, dict[int, np.ndarray]] = {}
     for row in parts.toLocalIterator():
         tables.setdefault(row["lang"], {})[row["block"]] = np.frombuffer(row["counts"], np.int64)

@@ -84,6 +84,7 @@ class Element:
     word_against: bool = False
     tag_for: bool = False
     word_for: bool = False
+    doubtful: bool = False  # a paragraph whose name says boilerplate, but only beside words that say something else
     chars: int = 0  # of running text inside
     against: float = 0.0  # the strongest voice among the element and those around it
     speaks_for: float = 0.0
@@ -101,6 +102,11 @@ class Block:
         return max(1, len(self.text) - self.text.count(" "))
 
 
+def is_prose(b: Block) -> bool:
+    """A sentence of several words without links."""
+    return b.text.count(" ") >= 5 and b.text[-1] in ".!?…»”\"'" and not b.link_chars
+
+
 class Page(HTMLParser):
     """Blocks of a page, in order."""
 
@@ -145,6 +151,8 @@ class Page(HTMLParser):
         for name in (a.get("class", "") + " " + a.get("id", "")).split():
             words = {w.lower() for w in _WORD.findall(name)}
             if not words & STATE_WORDS:
+                if words & BOILER_WORDS:
+                    e.doubtful = tag == "p" and bool(words - BOILER_WORDS - CONTENT_WORDS) and (e.doubtful or not e.word_against)
                 e.word_against |= bool(words & BOILER_WORDS)
                 e.word_for |= bool(words & CONTENT_WORDS) and not words & BOILER_WORDS
         e.tag_for = tag in CONTENT_TAGS or role > 0
@@ -187,6 +195,8 @@ class Page(HTMLParser):
         """Count the running text of every element, and pass the voices for and against down the tree."""
         for b in self.blocks:
             b.parent.chars += max(0, b.chars - b.link_chars)
+            if b.parent.doubtful and is_prose(b):
+                b.parent.word_against = False  # what it says counts for more than what it is called
         for e in reversed(self.elements[1:]):
             e.parent.chars += e.chars
         whole = max(1, self.root.chars)

@@ -152,7 +152,8 @@ def features(text: str, known: Tokens) -> list[float]:
         single = np.isin(ids, kinds[t[:, 7] > 0])
         edges = np.flatnonzero(np.diff(np.concatenate([[0], single.view(np.int8), [0]])))
         for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-            spelt += 4 <= b - a <= 40 and known.lexicon.listed("".join(core(x) for x in tokens[a:b]))
+            run = "".join(core(x) for x in tokens[a:b]) if 4 <= b - a <= 40 else ""
+            spelt += any(known.lexicon.listed(x) for x in (run, run[1:], run[:-1]))  # an article may stand beside it
     letters = sum(map(len, tokens))
     kind = _kinds()[np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")]
     capitals, marks, calls = np.bincount(kind, minlength=4)[1:].tolist()
