@@ -12,6 +12,7 @@ from ..catalog import Catalog
 from ..functions import columns as fn
 from ..functions import validation
 from ..operators import alignment, communities, editing, networks, signal_calls, sji, views
+from ..session import ship
 from ..shared import shared_dir, stage
 from ..sources import adjacency, readers, writers
 from ..streaming import reload
@@ -111,19 +112,29 @@ def src10_fasta_names(spark, d):
     return x.select(F.col("p_partkey").alias("id"), readers.fasta_name(_line(F.repeat(F.lit("n"), F.col("p_size").cast("int")), F.col("p_partkey"), "x" * 40, "\tmore text")).alias("name"))
 
 
-@query("SELECT * FROM (VALUES ('A','A',4),('A','R',-1),('A','N',-2),('R','A',-1),('R','R',5),('R','N',0),('N','A',-2),('N','R',0),('N','N',6)) t(a, b, score)")
+FLAGS = """s AS (SELECT l_returnflag AS a, ['A', 'N', 'R'][l_linenumber % 3 + 1] AS b, (count(*) % 20 - 5)::INTEGER AS score FROM lineitem GROUP BY ALL)"""
+
+
+def _flag_matrix(spark, d) -> str:
+    """A matrix text of three symbols: how often return flags meet places of a line, folded to small scores."""
+    x = b.table(spark, d, "lineitem").withColumn("b", F.element_at(F.array(*map(F.lit, "ANR")), (F.col("l_linenumber") % 3 + 1).cast("int")))
+    n = {(r["l_returnflag"], r["b"]): r["count"] % 20 - 5 for r in x.groupBy("l_returnflag", "b").count().collect()}  # nine rows
+    return "# of lineitem\n\n  A N R\n" + "\n".join(" ".join([p, *(str(n.get((p, q), -5)) for q in "ANR")]) for p in "ANR")
+
+
+@query(f"WITH {FLAGS} SELECT a, b, score FROM s")
 def src11_matrix(spark, d):
-    symbols, scores = alignment.parse_matrix("# a comment\n\n  A R N\nA 4 -1 -2\nR -1 5 0\n-2 0 6\n")
+    symbols, scores = alignment.parse_matrix(_flag_matrix(spark, d))
     return spark.createDataFrame([(x, y, int(scores[i, j])) for i, x in enumerate(symbols) for j, y in enumerate(symbols)], "a string, b string, score int")
 
 
-@query("""
-WITH s AS (SELECT * FROM (VALUES ('A','A',4),('A','R',-1),('A','N',-2),('R','A',-1),('R','R',5),('R','N',0),('N','A',-2),('N','R',0),('N','N',6)) t(a, b, s))
-SELECT a, b, CASE WHEN a = b THEN 1.0::DOUBLE ELSE (s + 2) / 8::DOUBLE END AS similar, 100 - floor((CASE WHEN a = b THEN 1.0 ELSE (s + 2) / 8::DOUBLE END) * 100 + 0.5)::BIGINT AS cost FROM s""")
+@query(f"""
+WITH {FLAGS}, m AS (SELECT min(score) AS low, greatest(1, max(score) - min(score)) AS wide FROM s), n AS (SELECT a, b, CASE WHEN a = b THEN 1.0::DOUBLE ELSE (score - low) / wide::DOUBLE END AS v FROM s, m)
+SELECT a, b, v AS similar, 100 - floor(v * 100 + 0.5)::BIGINT AS cost FROM n""")
 def alg2_similarity_table(spark, d):
-    m = alignment.make_matrix(["A", "R", "N"], np.array([[4, -1, -2], [-1, 5, 0], [-2, 0, 6]]))
+    m = alignment.make_matrix(*alignment.parse_matrix(_flag_matrix(spark, d)))
     at = lambda x: ord(x) - 65
-    return spark.createDataFrame([(x, y, float(m.similar[at(x), at(y)]), int(m.cost[at(x), at(y)])) for x in "ARN" for y in "ARN"], "a string, b string, similar double, cost long")
+    return spark.createDataFrame([(x, y, float(m.similar[at(x), at(y)]), int(m.cost[at(x), at(y)])) for x in "ANR" for y in "ANR"], "a string, b string, similar double, cost long")
 
 
 @query(f"SELECT query_id::VARCHAR AS query_id, query_len::INTEGER AS query_len, hit_id::VARCHAR AS hit_id, score, hit_len::INTEGER AS hit_len FROM ({H})")
@@ -190,27 +201,29 @@ def src26_id_list(spark, d):
     return readers.id_list(spark, _text(x, "ids")).select("id").distinct()
 
 
-@query("SELECT 'a' AS prefix UNION ALL SELECT 'c.d'")
-def src23_complete_indexes(spark, d):
-    path = shared_dir(spark, "indexes")
-    names = ["a.adj.bin", "a.adj.index.bin", "a.node_ids.tsv", "b.adj.bin", "b.node_ids.tsv", "c.d.adj.bin", "c.d.adj.index.bin", "c.d.node_ids.tsv", "node_ids.tsv"]
+def _empty_files(spark, name: str, files: list[str]) -> str:
+    path = shared_dir(spark, name)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(folder)
-    for n in names:
+    for n in files:
         fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}")).close()
-    return readers.complete_indexes(spark, path)
+    return path
+
+
+@query("SELECT 'net.' || s_suppkey AS prefix FROM supplier WHERE s_nationkey % 3 = 0 AND s_acctbal > 0")
+def src23_complete_indexes(spark, d):
+    """A supplier's files: the offsets are missing for most nations, the names for those in debt."""
+    rows = b.table(spark, d, "supplier").select("s_suppkey", (F.col("s_nationkey") % 3 == 0).alias("offsets"), (F.col("s_acctbal") > 0).alias("names")).collect()
+    kinds = lambda r: [".adj.bin"] + [".adj.index.bin"] * r["offsets"] + [".node_ids.tsv"] * r["names"]
+    return readers.complete_indexes(spark, _empty_files(spark, "indexes", [f"net.{r['s_suppkey']}{k}" for r in rows for k in kinds(r)]))
 
 
-@query("SELECT 'b.csv' AS name UNION ALL SELECT 'B1.csv' UNION ALL SELECT 'a.csv'")
+@query("SELECT name FROM (SELECT CASE WHEN n_nationkey % 2 = 0 THEN upper(n_name) ELSE lower(n_name) END || '.csv' AS name, n_name FROM nation) ORDER BY lower(name), name LIMIT 7")
 def srt8_first_files(spark, d):
-    path = shared_dir(spark, "some")
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(folder)
-    for n in ("c.csv", "b.csv", "a.csv", "B1.csv", "d.csv"):
-        fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}")).close()
-    return spark.createDataFrame([(n,) for n in readers.first_files(spark, path, 3)], "name string")
+    rows = b.table(spark, d, "nation").select(F.when(F.col("n_nationkey") % 2 == 0, F.upper("n_name")).otherwise(F.lower("n_name")).alias("n")).collect()
+    path = _empty_files(spark, "some", [f"{r['n']}.csv" for r in rows])
+    return spark.createDataFrame([(n,) for n in readers.first_files(spark, path, 7)], "name string")
 
 
 # -- writers ------------------------------------------------------------------------------------------------
@@ -305,27 +318,34 @@ def val7_missing_taxids(spark, d):
         return communities.attributes(b.partition(spark, d), t, "net")
 
 
-_CHECKS = [
-    ("seeds", "A B;A,C", lambda: "|".join(validation.seeds("A B;A,C")), "A|B|C"), ("seeds", "", lambda: validation.seeds(""), None), ("seeds", "x y z (11)", lambda: validation.seeds([str(i) for i in range(11)]), None),
-    ("seeds", "a/b", lambda: validation.seeds("a/b"), None), ("nodes", "default", lambda: str(validation.max_nodes(None)), "500"), ("nodes", "2501", lambda: validation.max_nodes(2501), None),
-    ("name", " mine ", lambda: validation.csv_name(" mine "), "mine.csv"), ("name", "../x", lambda: validation.csv_name("../x"), None),
-    ("edges", "b|a", lambda: "|".join(validation.edge_ids(["b|a", " a| b"])), "a|b"), ("edges", "a|b|c", lambda: validation.edge_ids(["a|b|c"]), None),
-    ("ranges", "0-0.5", lambda: str(validation.ranges([(0, 0.5)])), "[(0.0, 0.5)]"), ("ranges", "0.5-0.5", lambda: validation.ranges([(0.5, 0.5)]), None),
-    ("groups", "g", lambda: str(validation.groups([{"name": "g", "accessions": "a-1 b;a1"}])), "[('g', ['a1', 'b'])]"), ("groups", "G twice", lambda: validation.groups([{"name": "g", "accessions": "a"}, {"name": "G", "accessions": "b"}]), None),
-    ("texts", "two", lambda: "|".join(validation.strings(["a", "b"], 2)), "a|b"), ("texts", "blank", lambda: validation.strings(["a", " "], 2), None), ("texts", "too many", lambda: validation.strings(["a", "b"], 1), None),
-]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join("('{}', '{}', {})".format(k, what, "'refused'" if want is None else "'" + want.replace("'", "''") + "'") for k, what, _, want in _CHECKS) + ") t(kind, input, result)")
+@query("""
+WITH p AS (SELECT p_partkey AS id, p_size, trim(p_name) AS n, p_brand AS b FROM part)
+SELECT id, 'edge' AS kind, CASE WHEN p_size % 5 = 0 THEN 'refused' ELSE least(n, b) || '|' || greatest(n, b) END AS result FROM p
+UNION ALL SELECT id, 'nodes', CASE WHEN p_size * 100 > 2500 THEN 'refused' ELSE (p_size * 100)::VARCHAR END FROM p
+UNION ALL SELECT id, 'range', CASE WHEN p_size >= 25 THEN 'refused' ELSE printf('%.2f', p_size / 100) || '-0.25' END FROM p
+UNION ALL SELECT id, 'texts', CASE WHEN p_size % 2 = 1 THEN 'refused' ELSE n || ',' || b END FROM p""")
 def val9_request_checks(spark, d):
-    """VAL-9 to VAL-12: what the checks of requests give, or that they refuse."""
-    out = []
-    for kind, what, check, _ in _CHECKS:
-        try:
-            out.append((kind, what, check()))
-        except ValueError:
-            out.append((kind, what, "refused"))
-    return spark.createDataFrame(out, "kind string, input string, result string")
+    """VAL-9 to VAL-12: what the checks of requests give, or that they refuse; requests are made of all parts."""
+
+    def run(batches):
+        for p in batches:
+            out = []
+            for i, size, name, brand in zip(p["p_partkey"], p["p_size"], p["p_name"], p["p_brand"], strict=True):
+                checks = {
+                    "edge": lambda: validation.edge_ids([f" {name}|{brand} " + "|x" * (size % 5 == 0)])[0],  # noqa: B023
+                    "nodes": lambda: str(validation.max_nodes(int(size) * 100)),  # noqa: B023
+                    "range": lambda: "-".join(f"{x:.2f}" for x in validation.ranges([(size / 100, 0.25)])[0]),  # noqa: B023
+                    "texts": lambda: ",".join(validation.strings([name, brand], 1 if size % 2 else 2)),  # noqa: B023
+                }
+                for kind, check in checks.items():
+                    try:
+                        out.append((i, kind, check()))
+                    except ValueError:
+                        out.append((i, kind, "refused"))
+            yield pd.DataFrame(out, columns=["id", "kind", "result"])
+
+    ship(spark)
+    return b.table(spark, d, "part").select("p_partkey", "p_size", "p_name", "p_brand").mapInPandas(run, "id long, kind string, result string")
 
 
 @query(SJI.replace("SELECT i.a,", "SELECT seed, neighbour, printf('%.4f', sji) AS sji, row_number() OVER (PARTITION BY seed ORDER BY sji DESC, neighbour) AS place FROM (SELECT i.a AS seed, i.b AS neighbour, i.inter / (n1.k + n2.k - i.inter) AS sji FROM (SELECT i.a,", 1).replace("SELECT i.a, i.b, i.inter, n1.k + n2.k - i.inter AS uni, i.inter / (n1.k + n2.k - i.inter) AS sji\nFROM i", "SELECT * FROM i) i") + ")")
@@ -371,9 +391,12 @@ def fn9_hash_buckets(spark, d):
     return b.table(spark, d, "part").select(F.col("p_partkey").alias("id"), h.alias("h"), (h % 64).alias("bucket"))
 
 
-@query("SELECT * FROM (VALUES ('1', 202409655::BIGINT), ('1.2', 1686467501::BIGINT)) t(cluster, seed)")
+@query()
 def fn12_cluster_seeds(spark, d):
-    return spark.createDataFrame([(c, communities.cluster_seed(42, c)) for c in ("1", "1.2")], "cluster string, seed long")
+    """The seed of every brand's cluster; the digest has no SQL, tests hold it against hashlib."""
+    seed = F.udf(lambda c: communities.cluster_seed(42, c), "long")
+    ship(spark)
+    return b.table(spark, d, "part").select(F.col("p_brand").alias("cluster")).distinct().select("cluster", seed("cluster").alias("seed"))
 
 
 @query("""
