@@ -92,6 +92,20 @@ def test_shortest_link_budget_and_ties(spark):
     assert extraction.parts_of(near, set("abqr")) == [{"a", "b"}, {"q", "r"}]
 
 
+def test_shortest_path_by_joins_equals_the_search(spark):
+    rng = random.Random(8)
+    ids = lambda x: spark.createDataFrame([(i,) for i in x], "id long")
+    for n, m in ((30, 35), (40, 90)):
+        e = list({tuple(sorted(rng.sample(range(n), 2))) for _ in range(m)})
+        adj = networks.adjacency(spark.createDataFrame([(*x, 1.0) for x in e], "node1 long, node2 long, weight double"))
+        near = extraction.Neighbours(adj)
+        for budget in (10, 1):
+            a, b = set(rng.sample(range(n), 2)), set(rng.sample(range(n), 3))
+            got = [r["id"] for r in extraction.shortest_path(adj, ids(a), ids(b), budget).orderBy("step").collect()]
+            assert got == (extraction.shortest_link(near, a, b, budget) or [])
+    assert extraction.shortest_path(adj, ids([1]), ids([1, 2]), 5).count() == 0 and extraction.shortest_path(adj, ids([]), ids([2]), 5).count() == 0
+
+
 def test_prefilter_ties_at_the_cut(spark):
     rows = [("q", f"t{i}", 10 - min(i, 3)) for i in range(9)]
     got = ranking.prefilter_keep(spark.createDataFrame(rows, "query string, target string, score int"), 2)

@@ -105,6 +105,44 @@ def shortest_link(near: Neighbours, a: set, b: set, budget: int) -> list | None:
     return None
 
 
+def shortest_path(adj: DataFrame, a: DataFrame, b: DataFrame, budget: int, most: int | None = None) -> DataFrame:
+    """step, id: the nodes between two sets (`id`) on a path of fewest steps, as `shortest_link` gives them, with labels and
+    frontiers as tables: the smaller frontier grows by a join, a node's parent is the least of those that reach it.
+    What the driver sees are counts, the node where the sides meet, and the path. Empty if the sets share a node, or if
+    there is no path within the budget, or none before `most` (max(10000, 1000 * budget)) nodes were seen."""
+    spark, kind = adj.sparkSession, dict(adj.dtypes)["src"]
+    most = max(10_000, 1000 * budget) if most is None else most
+    near = stage(adj.select("src", "dst").distinct(), "neighbours")
+    start = [x.select(F.col("id").cast(kind).alias("id")).distinct() for x in (a, b)]
+    labels = [stage(x.withColumn("parent", F.lit(None).cast(kind)), "labels") for x in start]
+    edge, size = list(labels), [x.count() for x in labels]
+    seen, steps, path = list(size), 0, []
+    if not labels[0].join(labels[1], "id", "left_semi").isEmpty():
+        size = [0, 0]
+    while all(size) and sum(seen) <= most and steps <= budget:
+        k = 0 if size[0] <= size[1] else 1
+        reached = edge[k].select(F.col("id").alias("src")).join(near, "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
+        edge[k] = stage(reached.join(labels[k].select("id"), "id", "left_anti"), "frontier")
+        labels[k] = stage(labels[k].unionByName(edge[k]), "labels")
+        size[k] = edge[k].count()
+        seen[k] += size[k]
+        meet = edge[k].join(labels[1 - k].select("id"), "id", "left_semi").agg(F.min("id").alias("id")).first()["id"]
+        if meet is not None:
+            sides = []
+            for side in labels:
+                own = [meet]
+                while (up := side.filter(F.col("id") == own[-1]).first()["parent"]) is not None:
+                    own.append(up)  # one lookup for each step, which the budget bounds
+                sides.append(own)
+            inner = [*sides[0][::-1], *sides[1][1:]]
+            ends = {r["id"] for x in start for r in x.filter(F.col("id").isin(inner)).collect()}
+            inner = [x for x in inner if x not in ends]
+            path = inner if len(inner) <= budget else []
+            break
+        steps += 1
+    return spark.createDataFrame(list(enumerate(path)), f"step int, id {kind}")
+
+
 def parts_of(near: Neighbours, nodes: set) -> list[set]:
     """Connected parts of the graph between the nodes, the largest first, ties by smallest id."""
     left, out = set(nodes), []

@@ -278,9 +278,21 @@ def graph9_adjacency(spark, d):
 
 @query()
 def graph5_shortest_link(spark, d):
-    near = extraction.Neighbours(networks.adjacency(b.part_edges(spark, d)))
-    path = extraction.shortest_link(near, {"P1"}, {"P2"}, 10) or []
-    return spark.createDataFrame([(i, x) for i, x in enumerate(path)], "step int, id string")
+    one = lambda x: spark.createDataFrame([(x,)], "id string")
+    return extraction.shortest_path(networks.adjacency(b.part_edges(spark, d)), one("P1"), one("P2"), 10)
+
+
+@query(f"""
+WITH RECURSIVE e AS (SELECT DISTINCT u, v FROM (SELECT node1 AS u, node2 AS v FROM ({E}) UNION ALL SELECT node2, node1 FROM ({E}))),
+r AS (SELECT DISTINCT 'P' || p_partkey AS id, 0 AS hop FROM part WHERE p_size = 7 UNION SELECT v, hop + 1 FROM r JOIN e ON u = id WHERE hop < 3),
+n AS (SELECT id, min(hop) AS hop FROM r GROUP BY 1)
+SELECT min(hop) AS steps FROM n WHERE id IN (SELECT 'P' || p_partkey FROM part WHERE p_size = 9)""")
+def graph5_link_length(spark, d):
+    """Steps between the parts of one size and those of another."""
+    own = lambda n: b.table(spark, d, "part").filter(f"p_size = {n}").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("id"))
+    e = b.edges(spark, d).groupBy("node1", "node2").agg(F.max("weight").alias("weight"))
+    path = extraction.shortest_path(networks.adjacency(e), own(7), own(9), 10)
+    return path.agg((F.count(F.lit(1)) + 1).cast("int").alias("steps"))
 
 
 @query(f"SELECT q, query_id, hit_id, round(x, 3) AS x, y FROM (SELECT q, query_id, hit_id, greatest(query_len, hit_len) / least(query_len, hit_len) AS x, score AS y FROM ({H})) WHERE query_id % 20 = 0 UNION ALL SELECT 'q', p_partkey, 0, 1, 100 FROM part WHERE p_partkey % 20 = 0")
