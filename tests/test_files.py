@@ -13,7 +13,7 @@ from weftgraph import catalog
 from weftgraph.catalog import Catalog
 from weftgraph.operators import editing
 from weftgraph.sources import adjacency, readers, writers
-from weftgraph.streaming import folder_events, reload
+from weftgraph.streaming import folder_events, mapping_jobs, reload
 
 
 def put(folder, name, text):
@@ -393,3 +393,79 @@ def test_binary_adjacency_of_one_file_pair(spark, tmp_path):
     (tmp_path / "net.adj.bin").write_bytes(np.array([(1, 0.5), (2, 0.25), (0, 0.75)], adjacency.PAIR).tobytes())
     got = adjacency.read_adjacency_files(spark, str(tmp_path)).collect()
     assert list(map(tuple, got)) == [(0, 1, 0.5), (0, 2, 0.25), (2, 0, 0.75)] and degree.sum() == len(got)
+
+
+def fake_service(folder):
+    class FakeService:
+        """Jobs as files: finished at the third poll, `bad` ids fail their job, `slow` ones never end."""
+
+        def __init__(self, folder):
+            self.folder = str(folder)
+
+        def _note(self, name, text):
+            with open(f"{self.folder}/{name}", "a") as f:
+                f.write(text + "\n")
+
+        def submit(self, ids):
+            name = f"job-{ids[0]}"
+            self._note("submitted", f"{name} {len(ids)}")
+            self._note(name, ",".join(ids))
+            return name
+
+        def poll(self, job):
+            self._note(f"{job}.polls", "poll")
+            if "slow" in job or "bad" in job:
+                return "running" if "slow" in job else "failed"
+            if sum(1 for _ in open(f"{self.folder}/{job}.polls")) == 2:
+                raise OSError("try again")
+            return "finished" if sum(1 for _ in open(f"{self.folder}/{job}.polls")) >= 3 else "running"
+
+        def page(self, job, cursor, size):
+            ids = [i for i in open(f"{self.folder}/{job}").readline().strip().split(",") if i != "none"]
+            at = int(cursor or 0)
+            self._note("pages", f"{job} {at}")
+            return [(i, i.upper()) for i in ids[at : at + size]], str(at + size) if at + size < len(ids) else None
+
+    return FakeService(folder)  # a class of its own, which goes to the workers by value
+
+
+def test_mapping_jobs_submit_poll_page_and_survive_a_restart(spark, tmp_path):
+    folder = tmp_path / "service"
+    folder.mkdir()
+    ids = [f"a{i}" for i in range(7)] + ["bad1", "bad2", "none", "slow"]
+    chunks = mapping_jobs.job_chunks(spark.createDataFrame([(i,) for i in [*ids, "a0", None]], "id string"), 4)
+    assert [len(r["ids"]) for r in chunks.orderBy("chunk").collect()] == [4, 4, 3]
+    rows = [(0, ["a0", "a1", "a2", "a3"]), (1, ["a4", "a5", "none"]), (2, ["bad1"]), (3, ["slow"])]
+    spark.createDataFrame(rows, mapping_jobs.CHUNKS).write.parquet(str(tmp_path / "in"))
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+
+    def start():
+        stream = spark.readStream.schema(mapping_jobs.CHUNKS).parquet(str(tmp_path / "in"))
+        out = mapping_jobs.mapping_jobs(stream, fake_service(folder), every=0.2, polls=6, page=3)
+        return out.writeStream.option("checkpointLocation", str(tmp_path / "cp")).format("parquet").option("path", str(tmp_path / "out")).start()
+
+    lines = lambda name: (folder / name).read_text().splitlines() if (folder / name).exists() else []
+    try:
+        q = start()
+        for _ in range(300):
+            if len(lines("submitted")) == 4 and lines("job-slow.polls"):
+                break
+            time.sleep(0.2)
+        q.stop()
+        q = start()  # from the state
+        got = []
+        for _ in range(300):
+            if (tmp_path / "out" / "_spark_metadata").exists():
+                got = sorted(map(tuple, spark.read.schema(mapping_jobs.ANSWERS).parquet(str(tmp_path / "out")).collect()), key=str)
+            if len(got) == 9:
+                break
+            time.sleep(0.3)
+        q.stop()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+    want = [(0, f"a{i}", f"A{i}", "ok") for i in range(4)] + [(1, "a4", "A4", "ok"), (1, "a5", "A5", "ok"), (1, "none", None, "not_found"), (2, "bad1", None, "error"), (3, "slow", None, "error")]
+    assert got == sorted(want, key=str)
+    assert sorted(lines("submitted")) == ["job-a0 4", "job-a4 3", "job-bad1 1", "job-slow 1"]  # none twice
+    assert [x for x in lines("pages") if "a0" in x] == ["job-a0 0", "job-a0 3"]
+    assert len(lines("job-slow.polls")) in (6, 7)  # the batch that was stopped midway may have asked once more

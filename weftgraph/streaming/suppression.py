@@ -27,7 +27,7 @@ class OwnWrites(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.held = handle.getValueState("held", "until double, left int", int(self.seconds * 1000))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         got = pd.concat(list(rows))  # a batch holds one event of a file and its few notes
         held = self.held.get() if self.held.exists() else None
         until, left = (held[0], held[1]) if held else (0.0, 0)
