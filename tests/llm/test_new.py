@@ -7,7 +7,7 @@ from itertools import permutations
 
 import pytest
 from pyspark.sql import functions as F
-from test_corpus import D, DOCS, ODD, data, odd_docs
+from test_corpus import D, ODD, data, odd_docs
 
 from weftgraph.llm import align, bits, filter_audit, main_text, toxicity
 

@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from ..shared import discard
 from .common import stage, trimmed
 from .packed import pack_counts, unpack_counts
 from .packing import LONG_SPACE, PATTERN, default_tokenizer
