@@ -3,7 +3,6 @@ the shared folder and read back; the SQL says what must come back."""
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
