@@ -264,3 +264,25 @@ def test_no_row_grows_with_a_hub(spark):
     small = sji.set_sizes(df).filter("n = 1").select("protein")
     assert held.join(small, "protein").selectExpr("sum(size(part))").first()[0] == n  # what the pairs take along: a signal each
     assert sji.network(df, min_jaccard=-1, block=block).count() == n
+
+
+def test_ordinary_sets_are_one_row_whatever_the_corpus(spark):
+    """Sets of two signals out of 30,000, beside one hub: only the hub's pairs are cut into blocks, and all are found."""
+    n = 30_000
+    ring = spark.range(n).selectExpr("id AS protein", "(id + 1) % 30000 AS signal").union(spark.range(n).selectExpr("id AS protein", "(id + 2) % 30000 AS signal"))
+    df = ring.union(spark.range(1, 200).selectExpr("-1L AS protein", "id * 7 AS signal"))
+    seen = []
+    before, sji.set_blocks = sji.set_blocks, lambda x, blocks: seen.append(blocks) or before(x, blocks)
+    try:
+        out = sji.network(df, block=64)
+        pairs = out.filter("a >= 0 AND b >= 0").count()
+        hub = out.filter("a = -1").count()
+    finally:
+        sji.set_blocks = before
+    assert sorted(seen) == [1, 4] and pairs == n and hub == 0
+
+
+def test_pair_statuses_of_missing_neighbours_and_empty_sets(spark):
+    rows = [("a", "b"), ("b", "a"), ("a", "a"), ("a", "z"), ("b", "c"), ("c", None), ("b", "c")]
+    got = sji.pair_statuses(spark.createDataFrame(rows, "protein string, signal string"))
+    assert {r["status"]: r["n"] for r in got.collect()} == {"scored": 2, "reciprocal_pruned": 1, "self": 1, "neighbor_missing": 2}
