@@ -286,3 +286,23 @@ def test_pair_statuses_of_missing_neighbours_and_empty_sets(spark):
     rows = [("a", "b"), ("b", "a"), ("a", "a"), ("a", "z"), ("b", "c"), ("c", None), ("b", "c")]
     got = sji.pair_statuses(spark.createDataFrame(rows, "protein string, signal string"))
     assert {r["status"]: r["n"] for r in got.collect()} == {"scored": 2, "reciprocal_pruned": 1, "self": 1, "neighbor_missing": 2}
+
+
+def test_shortest_path_from_many_nodes(spark):
+    """Twelve thousand ends, more than any count of seen nodes that would have ended the search before it began."""
+    n = 6000
+    star = lambda base: spark.range(n).selectExpr(f"id + {base} AS node1", "-1L AS node2", "1.0 AS weight")
+    adj = networks.adjacency(star(0).union(star(n)))
+    ends = [spark.range(k * n, (k + 1) * n).select("id") for k in (0, 1)]
+    assert [r["id"] for r in extraction.shortest_path(adj, *ends, 2).collect()] == [-1]
+    assert extraction.shortest_path(adj, *ends, 2, most=100).count() == 0
+
+
+def test_pairs_of_parts_are_counted_in_tasks_that_grow_with_the_lines(spark, monkeypatch):
+    from weftgraph import shared
+    from weftgraph.plans import bindings
+
+    monkeypatch.setattr(bindings, "tasks", lambda spark, rows: shared.tasks(spark, rows, 1000))
+    d = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").count()
+    assert bindings.part_edges(spark, d).rdd.getNumPartitions() == -(-4 * lines // 1000)

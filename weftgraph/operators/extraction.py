@@ -109,9 +109,8 @@ def shortest_path(adj: DataFrame, a: DataFrame, b: DataFrame, budget: int, most:
     """step, id: the nodes between two sets (`id`) on a path of fewest steps, as `shortest_link` gives them, with labels and
     frontiers as tables: the smaller frontier grows by a join, a node's parent is the least of those that reach it.
     What the driver sees are counts, the node where the sides meet, and the path. Empty if the sets share a node, or if
-    there is no path within the budget, or none before `most` (max(10000, 1000 * budget)) nodes were seen."""
+    there is no path within the budget, or, where `most` is given, none before so many nodes were seen."""
     spark, kind = adj.sparkSession, dict(adj.dtypes)["src"]
-    most = max(10_000, 1000 * budget) if most is None else most
     near = stage(adj.select("src", "dst").distinct(), "neighbours")
     start = [x.select(F.col("id").cast(kind).alias("id")).distinct() for x in (a, b)]
     labels = [stage(x.withColumn("parent", F.lit(None).cast(kind)), "labels") for x in start]
@@ -119,7 +118,7 @@ def shortest_path(adj: DataFrame, a: DataFrame, b: DataFrame, budget: int, most:
     seen, steps, path = list(size), 0, []
     if not labels[0].join(labels[1], "id", "left_semi").isEmpty():
         size = [0, 0]
-    while all(size) and sum(seen) <= most and steps <= budget:
+    while all(size) and (most is None or sum(seen) <= most) and steps <= budget:
         k = 0 if size[0] <= size[1] else 1
         reached = edge[k].select(F.col("id").alias("src")).join(near, "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
         edge[k] = stage(reached.join(labels[k].select("id"), "id", "left_anti"), "frontier")
