@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from weftgraph.functions import validation
 from weftgraph.operators import alignment, communities, extraction, graphs, kmer_index, networks, ranking, sji
@@ -306,3 +307,48 @@ def test_pairs_of_parts_are_counted_in_tasks_that_grow_with_the_lines(spark, mon
     d = "/root/testdata/sf0.001"
     lines = spark.read.parquet(f"{d}/lineitem.parquet").count()
     assert bindings.part_edges(spark, d).rdd.getNumPartitions() == -(-4 * lines // 1000)
+
+
+def test_fixed_decimals_by_whole_numbers_equal_those_by_decimals(spark):
+    from weftgraph.functions import columns as fn
+
+    rng = random.Random(3)
+    v = [0.0, -0.0, 0.5, 1.5, 2.5, 0.125, 0.375, 0.03125, 0.26875, 1e-7, 5e-8, 5e-324, 0.005, 0.015, 0.025, -0.005, 1e12, 99999.995, 123456.785, float("nan"), float("inf"), None, 1e17, 0.5 + 2**-53, 0.5 - 2**-54]
+    v += [rng.uniform(-1, 1) * 10 ** rng.randint(-9, 9) for _ in range(600)] + [rng.randint(0, 10**7) / 2 ** rng.randint(0, 40) for _ in range(300)]
+    df = spark.createDataFrame([(x,) for x in v], "v double")
+    near = F.when(F.abs("v") < 1e8, F.abs("v")).otherwise(0.0)
+    for digits in (0, 2, 4, 6):
+        bad = df.filter(fn._units(near, digits) != fn._units_wide(near, digits))
+        assert bad.count() == 0, bad.first()
+    large = [1e12, 999999999999.5, -6165117920094.01, 178753913351.54767, 0.005, -0.001]
+    got = [r["t"] for r in spark.createDataFrame(list(enumerate(large)), "i int, v double").orderBy("i").select(fn.fixed(F.col("v"), 2).alias("t")).collect()]
+    assert got == ["1000000000000.00", "999999999999.50", "-6165117920094.01", "178753913351.55", "0.01", "0.00"]
+    plan = df.select(fn.fixed(F.col("v"), 2).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "decimal(38,0)" not in plan  # the sums are done without decimals
+
+
+def test_cluster_number_of_a_long_row():
+    import tracemalloc
+
+    import numpy as np
+
+    from weftgraph.operators import signal_calls
+
+    v = np.sort(np.random.default_rng(1).random(20_000))[::-1].copy()
+    v[:7] += 5
+    tracemalloc.start()
+    assert signal_calls.choose_k(v) == 7
+    assert tracemalloc.get_traced_memory()[1] < 20e6  # a table of all pairs of drops would have 3.2 GB
+    tracemalloc.stop()
+
+
+def test_search_hands_on_pairs_in_bounded_batches(spark, monkeypatch):
+    monkeypatch.setattr(kmer_index, "BATCH_ROWS", 50)
+    df = spark.range(40).selectExpr("id", "'ABCABCAB' AS seq")
+    index = kmer_index.build_index(df)
+    index = spark.createDataFrame(index.collect(), index.schema)
+    held = {}
+    monkeypatch.setattr(type(index), "mapInPandas", lambda self, run, schema: (held.update(run=run, rows=self.toPandas()), self)[1])
+    kmer_index.search(index, index)
+    sizes = [len(x) for x in held["run"](iter([held["rows"]]))]
+    assert sum(sizes) == 1600 and max(sizes) <= 50 + 40

@@ -120,13 +120,23 @@ def json_first(document: Column, *paths: str) -> Column:
     return F.coalesce(*[F.get_json_object(document, p) for p in paths])
 
 
-def fixed(value: Column, digits: int) -> Column:
-    """Decimal text of a double, rounded from its exact binary value, ties to even: 0.03125 gives 0.0312 at four
-    digits, and 0.26875, which lies below that decimal, 0.2687. Numbers of more than 15 digits, those after the
-    point that are kept counted, are rounded from their shortest decimal; below 1e-6, bits beyond the 73rd are cut."""
-    v = value.cast("double")
-    few = F.abs(v) < 1e15 / 10**digits
-    whole, rest = F.lit(0).cast("decimal(38,0)"), F.when(few, F.abs(v)).otherwise(0.0)
+def _units(value: Column, digits: int) -> Column:
+    """value * 10**digits to the nearest whole number, ties to even, from 73 bits after the point; in whole numbers of 64
+    bits, for up to six digits."""
+    own = F.floor(value)
+    scaled = (value - own) * float(1 << 36)  # scaling by powers of two and splitting off whole parts is exact
+    top = F.floor(scaled)
+    low = F.floor((scaled - top) * float(1 << 37)) * F.lit(10**digits).cast("long")
+    high = top * F.lit(10**digits).cast("long") + F.shiftright(low, 37)
+    q = own * F.lit(10**digits).cast("long") + F.shiftright(high, 36)
+    r = high.bitwiseAND(F.lit((1 << 36) - 1))
+    more = low.bitwiseAND(F.lit((1 << 37) - 1)) > 0
+    return q + ((r > 1 << 35) | ((r == 1 << 35) & (more | (q % 2 == 1)))).cast("long")
+
+
+def _units_wide(value: Column, digits: int) -> Column:
+    """The same for more digits, in decimals."""
+    whole, rest = F.lit(0).cast("decimal(38,0)"), value
     for bits in (26, 27, 20):  # scaling by powers of two and splitting off whole parts is exact
         scaled = rest * float(1 << bits)
         part = F.floor(scaled)
@@ -135,11 +145,23 @@ def fixed(value: Column, digits: int) -> Column:
     units = (whole * F.lit(10**digits).cast(f"decimal({digits + 1},0)")).cast("decimal(38,0)")
     one, half = (F.lit(str(1 << k)).cast("decimal(23,0)") for k in (73, 72))
     q, r = F.call_function("div", units, one), units % one
-    q = q + ((r > half) | ((r == half) & (q % 2 == 1))).cast("long")
-    text = q.cast("string")
-    if digits:
+    return q + ((r > half) | ((r == half) & (q % 2 == 1))).cast("long")
+
+
+def fixed(value: Column, digits: int) -> Column:
+    """Decimal text of a double, rounded from its exact binary value, ties to even: 0.03125 gives 0.0312 at four
+    digits, and 0.26875, which lies below that decimal, 0.2687. Numbers of more than 15 digits, those after the
+    point that are kept counted, are rounded from their shortest decimal; below 1e-6, bits beyond the 73rd are cut."""
+    v = value.cast("double")
+    few = F.abs(v) < 1e15 / 10**digits
+    near = F.when(few, F.abs(v)).otherwise(0.0)
+    if digits <= 6:  # the number appears once, so that the compiled row function stays small
+        signed = (_units(near, digits) * F.when(v < 0, -1).otherwise(1)).cast("decimal(18,0)")
+        exact = (signed * F.lit(f"1E-{digits}").cast(f"decimal({digits + 1},{digits})")).cast(f"decimal(38,{digits})").cast("string")
+    else:
+        q = _units_wide(near, digits)
         text = F.concat(F.call_function("div", q, F.lit(10**digits)).cast("string"), F.lit("."), F.lpad((q % 10**digits).cast("string"), digits, "0"))
-    exact = F.concat(F.when((v < 0) & (q > 0), "-").otherwise(""), text)
+        exact = F.concat(F.when((v < 0) & (q > 0), "-").otherwise(""), text)
     shortest = F.bround(v.cast("decimal(38,18)"), digits).cast(f"decimal(38,{digits})").cast("string")
     return F.when(few, exact).when(F.abs(v) < 1e18, shortest)
 
