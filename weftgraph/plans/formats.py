@@ -3,6 +3,8 @@ the shared folder and read back; the SQL says what must come back."""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -205,8 +207,9 @@ def _empty_files(spark, name: str, files: list[str]) -> str:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(folder)
-    for n in files:
-        fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}")).close()
+    create = lambda n: fs.createNewFile(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}"))
+    with ThreadPoolExecutor(16) as pool:  # a store answers each file by itself
+        list(pool.map(create, files))
     return path
 
 

@@ -4,6 +4,7 @@ edges, partitions, metrics, mappings, matrices, binary adjacency. Schemas are ex
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from fnmatch import fnmatch
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,7 +49,9 @@ def file_names(spark: SparkSession, folder: str) -> list[str]:
     """Names of the files in a folder, empty ones too, from its store's listing."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
-    return sorted(f.getPath().getName() for f in found if f.isFile())
+    name = lambda f: f.getPath().getName() if f.isFile() else None
+    with ThreadPoolExecutor(16) as pool:  # a few calls for each file
+        return sorted(n for n in pool.map(name, found) if n is not None)
 
 
 def first_files(spark: SparkSession, folder: str, most: int | None = None) -> list[str]:
