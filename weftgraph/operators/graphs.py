@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import numbered
+from ..shared import looked_up, numbered
 
 
 def merge_nodes(nodes: DataFrame, order: str, key: str = "id") -> DataFrame:
@@ -18,7 +18,7 @@ def component_edges(edges: DataFrame, components: DataFrame) -> DataFrame:
     """edges with their component; both ends must lie in the same."""
     a = components.select(F.col("node").alias("node1"), "component")
     b = components.select(F.col("node").alias("node2"), F.col("component").alias("other"))
-    return edges.join(a, "node1").join(b, "node2").filter("component = other").drop("other")
+    return edges.join(looked_up(a), "node1").join(looked_up(b), "node2").filter("component = other").drop("other")
 
 
 def targets(signals: DataFrame, queries: DataFrame, size: int = 5000) -> DataFrame:

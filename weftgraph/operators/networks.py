@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import edge_id
-from ..shared import numbered
+from ..shared import looked_up, numbered
 
 
 def canonicalize(edges: DataFrame, how: str = "max", keys: tuple[str, ...] = (), u: str = "u", v: str = "v", w: str = "w", order: str = "row") -> DataFrame:
@@ -101,7 +101,7 @@ def encode(edges: DataFrame, ids: DataFrame, u: str = "node1", v: str = "node2",
     """src, dst, weight by dense ids."""
     a = ids.select(F.col("name").alias(u), F.col("id").alias("src"))
     b = ids.select(F.col("name").alias(v), F.col("id").alias("dst"))
-    return edges.join(a, u).join(b, v).select("src", "dst", w)
+    return edges.join(looked_up(a), u).join(looked_up(b), v).select("src", "dst", w)
 
 
 def check_dense(ids: DataFrame, column: str = "id") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import looked_up
+
 
 def view(nodes: DataFrame, edges: DataFrame, expanded: DataFrame | None = None, hidden_nodes: DataFrame | None = None, hidden_edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """View nodes (id, kind, size) and edges (a, b, total, pairs, weight).
@@ -52,7 +54,7 @@ def centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     n = nodes.select("id", "nh_id")
     a = n.select(F.col("id").alias("node1"), F.col("nh_id").alias("ca"))
     b = n.select(F.col("id").alias("node2"), F.col("nh_id").alias("cb"))
-    inner = edges.filter("node1 <> node2").join(a, "node1").join(b, "node2").filter("ca = cb")
+    inner = edges.filter("node1 <> node2").join(looked_up(a), "node1").join(looked_up(b), "node2").filter("ca = cb")
     both = inner.select(F.explode(F.array("node1", "node2")).alias("id"), "weight")
     total = both.groupBy("id").agg(F.sum("weight").alias("total"))
     out = nodes.join(total, "id", "left").withColumn("total", F.coalesce("total", F.lit(0)))
