@@ -9,12 +9,14 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import discard, stage
+from ..shared import TASK_ROWS, discard, stage, tasks
 
 
 def reach(adj: DataFrame, seeds: DataFrame, hops: int | None = None) -> DataFrame:
@@ -37,13 +39,27 @@ def component_of(adj: DataFrame, root) -> DataFrame:
     return reach(adj, adj.sparkSession.createDataFrame([(root,)], f"id {dict(adj.dtypes)['src']}")).select("id")
 
 
+#: Nodes of a batch up to which their ids are handed to the reader, ten to a list (longer ones it takes for a range).
+PUSHED = 300
+
+
+def _by_source(narrow: DataFrame) -> DataFrame:
+    """src, near: the adjacency staged as one list for each node, in tasks of a bounded number of edges, sorted by src:
+    a batch is joined with a row for each node and not for each edge."""
+    plain = stage(narrow, "edges-both-ways")
+    dealt = plain.repartition(tasks(narrow.sparkSession, plain.count()), "src")
+    out = stage(dealt.groupBy("src").agg(F.collect_list(F.struct("dst", "weight")).alias("near")).sortWithinPartitions("src"), "adjacency")
+    discard(plain)
+    return out
+
+
 class Neighbours:
     """Neighbour lists on demand, a batch per join, kept on the driver; heaviest first, then by id."""
 
     def __init__(self, adj: DataFrame, stored: bool = False):
         """stored: adj is a table (bucketed by src, at best) and need not be staged."""
         narrow = adj.select("src", "dst", F.col("weight").cast("float").alias("weight"))
-        self.adj = narrow if stored else stage(narrow, "adjacency")
+        self.adj, self.listed = (narrow, False) if stored else (_by_source(narrow), True)
         self.kind = dict(adj.dtypes)["src"]
         self.held: dict = {}
 
@@ -53,7 +69,13 @@ class Neighbours:
             return
         asked = self.adj.sparkSession.createDataFrame(want, f"src {self.kind}")
         lists: dict = defaultdict(dict)
-        for r in self.adj.join(F.broadcast(asked), "src").toLocalIterator():
+        rows = self.adj
+        if len(want) <= PUSHED:  # the reader skips what has none of them
+            ids = [i for (i,) in want]
+            rows = rows.filter(reduce(or_, (F.col("src").isin(ids[i : i + 10]) for i in range(0, len(ids), 10))))
+        met = rows.join(F.broadcast(asked), "src")
+        # one job for a batch, all parts at once: an iterator would start a job for each part of the table
+        for r in (met.select("src", F.inline("near")) if self.listed else met).collect():
             lists[r["src"]][r["dst"]] = max(r["weight"], lists[r["src"]].get(r["dst"], -np.inf))
         for (i,) in want:
             self.held[i] = sorted(lists.get(i, {}).items(), key=lambda x: (-x[1], x[0]))
