@@ -14,7 +14,7 @@ from ..functions import columns as fn
 from ..functions import validation
 from ..operators import alignment, communities, editing, networks, signal_calls, sji, views
 from ..session import ship
-from ..shared import shared_dir, stage
+from ..shared import TASK_ROWS, shared_dir, stage
 from ..sources import adjacency, readers, writers
 from ..streaming import reload
 from . import bindings as b
@@ -495,26 +495,33 @@ def src22_adjacency_of_nodes(spark, d):
 
 @query("SELECT least('S' || l_suppkey, 'P' || l_partkey) AS node1, greatest('S' || l_suppkey, 'P' || l_partkey) AS node2, max(l_linenumber) / 8 AS weight FROM lineitem WHERE l_returnflag <> 'N' AND (l_returnflag <> 'R' OR l_linenumber > 3) GROUP BY ALL")
 def str3_changed_folder(spark, d):
-    """A folder followed twice: between, one file changes, one goes and one stays."""
+    """A folder followed twice: between, one network's files change, one's go and one's stay; a file has a bounded
+    number of lines."""
     x = b.raw_edges(spark, d).withColumn("line", F.col("row") % 10)
     folder, progress, c = shared_dir(spark, "changing"), shared_dir(spark, "progress"), Catalog(spark, shared_dir(spark, "followed"))
+    files = max(1, -(-x.count() // TASK_ROWS))
+
+    def take(flag: str) -> None:
+        for k in range(files):
+            fs, where = c._fs(f"{folder}/in/{flag}-{k}.csv")
+            fs.delete(where, False)
 
     def put(flag: str, rows: DataFrame) -> None:
         best = rows.groupBy(F.least("u", "v").alias("node1"), F.greatest("u", "v").alias("node2")).agg((F.max("line") / 8).alias("weight"))
-        best.coalesce(1).write.mode("overwrite").csv(f"{folder}/{flag}")
+        best.repartition(files, "node1", "node2").write.mode("overwrite").csv(f"{folder}/{flag}")
         fs, where = c._fs(f"{folder}/{flag}")
-        part = next(f.getPath() for f in fs.listStatus(where) if f.getPath().getName().startswith("part-"))
+        parts = [f.getPath() for f in fs.listStatus(where) if f.getPath().getName().startswith("part-")]
         fs.mkdirs(c._fs(f"{folder}/in")[1])
-        fs.delete(c._fs(f"{folder}/in/{flag}.csv")[1], False)
-        fs.rename(part, c._fs(f"{folder}/in/{flag}.csv")[1])
+        take(flag)
+        for k, part in enumerate(parts):
+            fs.rename(part, c._fs(f"{folder}/in/{flag}-{k}.csv")[1])
 
     go = lambda: reload.follow(c, f"{folder}/in", progress, once=True, settle=0).awaitTermination()
     for flag in "ANR":
         put(flag, x.filter(F.col("source") == f"{flag}.csv"))
     go()
     put("R", x.filter("source = 'R.csv' AND line > 3"))
-    fs, gone = c._fs(f"{folder}/in/N.csv")
-    fs.delete(gone, False)
+    take("N")
     go()
     return c.edges.groupBy("node1", "node2").agg(F.max("weight").alias("weight"))
 
