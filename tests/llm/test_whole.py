@@ -46,3 +46,51 @@ def test_pairs_of_a_block_are_those_the_bags_allow():
         a, b = near_dup.allowed_pairs(component, block, size, bags, 0.8)
         got = [(max(x, y), min(x, y)) for x, y in zip(a.tolist(), b.tolist())]
         assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_near_duplicates_make_no_row_for_each_pair_of_a_bucket(spark, monkeypatch):
+    """Texts of the same words in other orders share a passage: bags allow every pair, and alignment refuses all but the
+    variants. Rows of what is left to decide grow with the texts, not with their pairs."""
+    rng = random.Random(22)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    passage, own = [word() for _ in range(20)], [word() for _ in range(60)]
+    texts = []
+    for _ in range(60):
+        rng.shuffle(own)
+        texts += [passage + own, passage + [w if i % 20 else word() for i, w in enumerate(own)]]
+    rows = [(i, " ".join(t), "en", "a", 1) for i, t in enumerate(texts)]
+    made, plain = {}, near_dup.stage
+
+    def counted(df, name):
+        out = plain(df, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(near_dup, "stage", counted)
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(got[i] == got[i + 1] == i for i in range(0, 120, 2))
+    assert made["undecided"] < len(texts) and made["again"] <= made["placed"]
+
+
+def test_joining_pairs_join_what_all_similar_pairs_join():
+    rng = random.Random(23)
+    texts = [[rng.randrange(50) for _ in range(30)] for _ in range(12)]
+    texts = [[w if rng.random() > 0.1 else rng.randrange(50) for w in t] for t in texts for _ in range(6)]
+    codes = [np.array(t, "<u4").tobytes() for t in texts]
+    n = len(codes)
+    component = np.array([rng.randrange(60) for _ in codes])
+    marks = [np.array(sorted(rng.sample(range(-9, 9), 4)) + [9]) for _ in codes]
+    i, j = np.array([(a, b) for a in range(n) for b in range(a)]).T
+    bits = near_dup.first_common(marks, 9)
+    first = [not (set(marks[a].tolist()) & set(marks[b].tolist()) - {9}) for a, b in zip(i, j)]
+    assert [not (bits[a] & bits[b]).any() for a, b in zip(i, j)] == first
+
+    def groups(pairs):
+        label = component.tolist()
+        for a, b in pairs:
+            label = [label[a] if x == label[b] else x for x in label]
+        return [[x == y for y in label] for x in label]
+
+    similar = [(a, b) for a, b, f in zip(i.tolist(), j.tolist(), first) if f and near_dup.alike(codes[a], codes[b], 0.8)]
+    got = near_dup.joining_pairs(component, codes, bits, i, j, 0.8)
+    assert set(got) <= set(similar) and groups(got) == groups(similar) and 0 < len(got) < len(similar)
