@@ -352,7 +352,7 @@ def val9_request_checks(spark, d):
 
 @query(SJI.replace("SELECT i.a,", "SELECT seed, neighbour, printf('%.4f', sji) AS sji, row_number() OVER (PARTITION BY seed ORDER BY sji DESC, neighbour) AS place FROM (SELECT i.a AS seed, i.b AS neighbour, i.inter / (n1.k + n2.k - i.inter) AS sji FROM (SELECT i.a,", 1).replace("SELECT i.a, i.b, i.inter, n1.k + n2.k - i.inter AS uni, i.inter / (n1.k + n2.k - i.inter) AS sji\nFROM i", "SELECT * FROM i) i") + ")")
 def srt4_seed_edge_order(spark, d):
-    x = sji.network(b.signals(spark, d)).select(F.col("a").alias("seed"), F.col("b").alias("neighbour"), "sji")
+    x = sji.network(b.signals(spark, d, repeats=True)).select(F.col("a").alias("seed"), F.col("b").alias("neighbour"), "sji")
     place = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("sji"), "neighbour"))
     return x.select("seed", "neighbour", fn.fixed(F.col("sji"), 4).alias("sji"), place.cast("long").alias("place"))
 
