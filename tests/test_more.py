@@ -352,3 +352,13 @@ def test_search_hands_on_pairs_in_bounded_batches(spark, monkeypatch):
     kmer_index.search(index, index)
     sizes = [len(x) for x in held["run"](iter([held["rows"]]))]
     assert sum(sizes) == 1600 and max(sizes) <= 50 + 40
+
+
+def test_communities_take_every_edge(spark, tmp_path):
+    """Parts that share one order only are linked too."""
+    from weftgraph.plans import catalogue
+
+    lines = [(1, 1), (1, 2), (1, 3), (2, 4), (2, 5), (3, 1), (3, 2)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r["node"]: r["cluster_id"] for r in catalogue.graph11_communities(spark, str(tmp_path)).collect()}
+    assert set(got) == {"P1", "P2", "P3", "P4", "P5"} and got["P4"] == got["P5"] and got["P1"] == got["P2"] and got["P1"] != got["P4"]
