@@ -362,3 +362,29 @@ def test_communities_take_every_edge(spark, tmp_path):
     spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {r["node"]: r["cluster_id"] for r in catalogue.graph11_communities(spark, str(tmp_path)).collect()}
     assert set(got) == {"P1", "P2", "P3", "P4", "P5"} and got["P4"] == got["P5"] and got["P1"] == got["P2"] and got["P1"] != got["P4"]
+
+
+def test_copies_of_sequences_are_compared_once(spark, monkeypatch):
+    seen, search = [], kmer_index.search
+    monkeypatch.setattr(alignment, "COPIES", 4)
+    monkeypatch.setattr(kmer_index, "search", lambda queries, index, *more: (seen.append([x.selectExpr("sum(size(ids))").first()[0] for x in (queries, index)]), search(queries, index, *more))[1])
+    texts = ["ABCABCAB", "abc-abc", "BCABCA", "ABC ABC", "B", None]
+    rows = [("xy"[i % 2], i, texts[i % 6]) for i in range(60)]
+    df = spark.createDataFrame(rows, "set string, id long, seq string")
+    clean = {i: "".join(c for c in (s or "").upper() if c.isalpha()) for _, i, s in rows}
+    want = sorted((q, t, d[2], d[0]) for q in clean for t in clean if (d := plain_diagonal(clean[q], clean[t])))
+    assert sorted(map(tuple, alignment.diagonals(df, df).collect())) == want
+    part = df.filter("id % 3 <> 1")
+    assert sorted(map(tuple, alignment.diagonals(part, df).collect())) == [r for r in want if r[0] % 3 != 1]
+    assert seen == [[3, 3], [3, 3]] and want
+
+
+def test_a_prefilter_needs_few_copies_of_a_set(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice("ab"), i, rng.choice(["ABCABC", "ABCABD", "ABDABD", "BBCABC"])) for i in range(200)]
+    df = spark.createDataFrame(rows, "set string, id long, seq string")
+    few = alignment.least_copies(df, 3)
+    assert few.count() == 8 * 5
+    asked = kmer_index.build_index(df.filter("id < 20"))
+    got = [sorted(map(tuple, alignment.prefilter_sets(asked, kmer_index.build_index(x), alignment.simple_matrix(), 3, 2, 1.5, 0.05).collect())) for x in (df, few)]
+    assert got[0] == got[1] and got[0]
