@@ -1,11 +1,12 @@
 """Nothing is sampled or left out: every pair of a bucket is decided."""
 
 import random
+import zlib
 
 import numpy as np
 from test_corpus import DOCS
 
-from weftgraph.llm import near_dup
+from weftgraph.llm import near_dup, perplexity
 
 
 def test_near_duplicates_decides_every_pair_of_a_bucket(spark):
@@ -94,3 +95,41 @@ def test_joining_pairs_join_what_all_similar_pairs_join():
     similar = [(a, b) for a, b, f in zip(i.tolist(), j.tolist(), first) if f and near_dup.alike(codes[a], codes[b], 0.8)]
     got = near_dup.joining_pairs(component, codes, bits, i, j, 0.8)
     assert set(got) <= set(similar) and groups(got) == groups(similar) and 0 < len(got) < len(similar)
+
+
+def test_quality_model_counts_every_trusted_text(spark, monkeypatch):
+    """12 MB of trusted text, and one text of 3 MB: more than any sample held."""
+    rng = random.Random(18)
+    words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(300)]
+    rows = [(i, " ".join(rng.choices(words, k=500_000 if i == 1 else 33_000)), "en", "a", 1) for i in range(60)]
+    docs = spark.createDataFrame(rows, DOCS).coalesce(2)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    counted, keep = [], perplexity.count_grams
+    monkeypatch.setattr(perplexity, "IDS", 20)
+    monkeypatch.setattr(perplexity, "count_grams", lambda texts: (counted.append(texts.count()), keep(texts))[1])
+    got = perplexity.quality_by_perplexity(docs, labels)
+    assert got.count() == 60 and counted == [sum(zlib.crc32(str(i).encode()) % 5 > 0 for i in range(60))]
+
+
+def test_quality_model_in_rows_and_blocks_is_the_whole_model(spark, monkeypatch):
+    rng = random.Random(19)
+    words = ["".join(rng.choices("abcdefghijklmno", k=rng.randint(1, 8))) for _ in range(200)]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(0, 200))), "en", "a", 1) for i in range(80)] + [(7, "again", "de", "a", 1), (7, "again", "de", "a", 1), (None, None, None, "a", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    keys, counts = np.unique(perplexity.grams([perplexity.plain(r[1]) for r in rows])[0], return_counts=True)
+    whole = perplexity.fit_tables(keys, counts)
+    monkeypatch.setattr(perplexity, "HELD_GRAMS", 500)
+    monkeypatch.setattr(perplexity, "ROW_GRAMS", 100)
+    perplexity.ship(spark)
+    lowest, model = perplexity.fit(perplexity.count_grams(docs))
+    asked = np.unique(np.concatenate([keys, np.random.default_rng(1).integers(0, 1 << 40, 500, dtype=np.uint64)]))
+    parts = sorted(model.collect(), key=lambda r: r["low"])
+    want, got, edges = perplexity.probability(whole, asked), np.zeros(len(asked)), [0, *(r["low"] for r in parts[1:]), 1 << 16]
+    for low, high, r in zip(edges, edges[1:], parts):
+        here = (asked >= np.uint64(low << 24)) & (asked < np.uint64(high << 24))
+        got[here] = perplexity.probability([lowest, *perplexity._unpacked(r["tables"])], asked[here])
+    assert len(parts) > 10 and np.allclose(got, want, rtol=1e-12)
+    score = lambda: sorted((r["doc_id"] or 0, r["lang"] or "", r["n_bytes"], round(r["perplexity"], 9)) for r in perplexity.perplexities(docs, lowest, model, ["lang"], "doc_id", "text").collect())
+    one = score()
+    monkeypatch.setattr(perplexity, "BLOCK_GRAMS", 600)
+    assert len(perplexity.model_blocks(model)) > 2 and score() == one and len(one) == len(rows)
