@@ -469,3 +469,25 @@ def test_mapping_jobs_submit_poll_page_and_survive_a_restart(spark, tmp_path):
     assert sorted(lines("submitted")) == ["job-a0 4", "job-a4 3", "job-bad1 1", "job-slow 1"]  # none twice
     assert [x for x in lines("pages") if "a0" in x] == ["job-a0 0", "job-a0 3"]
     assert len(lines("job-slow.polls")) in (6, 7)  # the batch that was stopped midway may have asked once more
+
+
+def test_a_folder_is_listed_by_a_few_calls(spark, tmp_path, monkeypatch):
+    names = [f"net.{i}.adj.bin" for i in range(300)] + ["with, comma", "; isDirectory=true; x", ".hidden", "_under", "a b", "ü"]
+    for n in names:
+        (tmp_path / n).touch()
+    (tmp_path / "folder").mkdir()
+    (tmp_path / "empty").mkdir()
+    client, calls = spark._jvm._gateway_client, []
+    send = client.send_command
+    monkeypatch.setattr(client, "send_command", lambda *a, **k: (calls.append(1), send(*a, **k))[1])
+    got = readers.file_names(spark, str(tmp_path))
+    assert got == sorted(names) and len(calls) < 100
+    assert readers.file_names(spark, str(tmp_path / "empty")) == []
+    assert readers.complete_indexes(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_empty_files_are_made_by_tasks(spark):
+    from weftgraph.plans import formats
+
+    files = spark.range(50).selectExpr("concat('n', id) AS file").repartition(4)
+    assert readers.file_names(spark, formats._empty_files(files, "made")) == sorted(f"n{i}" for i in range(50))

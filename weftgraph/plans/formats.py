@@ -3,8 +3,6 @@ the shared folder and read back; the SQL says what must come back."""
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,7 +12,7 @@ from ..functions import columns as fn
 from ..functions import validation
 from ..operators import alignment, communities, editing, networks, signal_calls, sji, views
 from ..session import ship
-from ..shared import TASK_ROWS, shared_dir, stage
+from ..shared import TASK_ROWS, shared_dir, stage, tasks
 from ..sources import adjacency, readers, writers
 from ..streaming import reload
 from . import bindings as b
@@ -202,29 +200,38 @@ def src26_id_list(spark, d):
     return readers.id_list(spark, _text(x, "ids")).select("id").distinct()
 
 
-def _empty_files(spark, name: str, files: list[str]) -> str:
+def _empty_files(files: DataFrame, name: str) -> str:
+    """A folder with an empty file for each name of `files`, made by the tasks that hold the names."""
+    spark = files.sparkSession
     path = shared_dir(spark, name)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(folder)
-    create = lambda n: fs.createNewFile(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}"))
-    with ThreadPoolExecutor(16) as pool:  # a store answers each file by itself
-        list(pool.map(create, files))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+
+    def create(batches):
+        to, at = adjacency.store(path)
+        for x in batches:
+            for n in x["file"]:
+                to.open_output_stream(f"{at}/{n}").close()
+            yield pd.DataFrame({"made": [len(x)]})
+
+    ship(spark)
+    files.select(F.col(files.columns[0]).alias("file")).mapInPandas(create, "made long").agg(F.sum("made")).collect()
     return path
 
 
 @query("SELECT 'net.' || s_suppkey AS prefix FROM supplier WHERE s_nationkey % 3 = 0 AND s_acctbal > 0")
 def src23_complete_indexes(spark, d):
     """A supplier's files: the offsets are missing for most nations, the names for those in debt."""
-    rows = b.table(spark, d, "supplier").select("s_suppkey", (F.col("s_nationkey") % 3 == 0).alias("offsets"), (F.col("s_acctbal") > 0).alias("names")).collect()
-    kinds = lambda r: [".adj.bin"] + [".adj.index.bin"] * r["offsets"] + [".node_ids.tsv"] * r["names"]
-    return readers.complete_indexes(spark, _empty_files(spark, "indexes", [f"net.{r['s_suppkey']}{k}" for r in rows for k in kinds(r)]))
+    kinds = [F.lit(".adj.bin"), F.when(F.col("s_nationkey") % 3 == 0, ".adj.index.bin"), F.when(F.col("s_acctbal") > 0, ".node_ids.tsv")]
+    x = b.table(spark, d, "supplier").select("s_suppkey", F.explode(F.array_compact(F.array(*kinds))).alias("kind"))
+    files = x.select(F.concat(F.lit("net."), F.col("s_suppkey").cast("string"), "kind").alias("file")).repartition(tasks(spark, x.count(), 20_000))
+    return readers.complete_indexes(spark, _empty_files(files, "indexes"))
 
 
 @query("SELECT name FROM (SELECT CASE WHEN n_nationkey % 2 = 0 THEN upper(n_name) ELSE lower(n_name) END || '.csv' AS name, n_name FROM nation) ORDER BY lower(name), name LIMIT 7")
 def srt8_first_files(spark, d):
-    rows = b.table(spark, d, "nation").select(F.when(F.col("n_nationkey") % 2 == 0, F.upper("n_name")).otherwise(F.lower("n_name")).alias("n")).collect()
-    path = _empty_files(spark, "some", [f"{r['n']}.csv" for r in rows])
+    names = b.table(spark, d, "nation").select(F.concat(F.when(F.col("n_nationkey") % 2 == 0, F.upper("n_name")).otherwise(F.lower("n_name")), F.lit(".csv")).alias("n"))
+    path = _empty_files(names, "some")
     return spark.createDataFrame([(n,) for n in readers.first_files(spark, path, 7)], "name string")
 
 

@@ -35,7 +35,8 @@ NODES_AT_ONCE, BYTES_AT_ONCE = 1 << 20, 16 << 20
 INDEX, PAIRS, MANIFEST = ".adj.index.bin", ".adj.bin", "parts.json"
 
 
-def _store(path: str):
+def store(path: str):
+    """The store of a path that all executors share, and the path in it."""
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
@@ -45,7 +46,7 @@ class Files:
     """The files of a folder; `bytes_read` counts what is read of them."""
 
     def __init__(self, path: str):
-        self.fs, self.folder = _store(path.rstrip("/"))
+        self.fs, self.folder = store(path.rstrip("/"))
         self.bytes_read = 0
 
     def read(self, name: str, at: int, size: int) -> bytes:

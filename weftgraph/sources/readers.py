@@ -4,9 +4,9 @@ edges, partitions, metrics, mappings, matrices, binary adjacency. Schemas are ex
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from fnmatch import fnmatch
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,12 +46,16 @@ def fields(text: Column) -> Column:
 
 
 def file_names(spark: SparkSession, folder: str) -> list[str]:
-    """Names of the files in a folder, empty ones too, from its store's listing."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    """Names of the files in a folder, empty ones too, from its store's listing. The listing comes as two texts, paths and
+    states, not by a few calls for each file; a path holds no zero character."""
+    path, jvm = spark._jvm.org.apache.hadoop.fs.Path(folder), spark._jvm
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
-    name = lambda f: f.getPath().getName() if f.isFile() else None
-    with ThreadPoolExecutor(16) as pool:  # a few calls for each file
-        return sorted(n for n in pool.map(name, found) if n is not None)
+    if not len(found):
+        return []
+    joined = lambda array: jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(array).mkString("\0").split("\0")
+    paths = joined(jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(found))
+    is_file = lambda p, state: state.partition(f"path={p}; isDirectory=")[2].startswith("false")
+    return sorted(p.rpartition("/")[2] for p, state in zip(paths, joined(found), strict=True) if is_file(p, state))
 
 
 def first_files(spark: SparkSession, folder: str, most: int | None = None) -> list[str]:
@@ -246,7 +250,7 @@ def id_list(spark: SparkSession, path: str, upper: bool = True) -> DataFrame:
 
 def complete_indexes(spark: SparkSession, folder: str) -> DataFrame:
     """prefix of the indexes all of whose three files are there, in order."""
-    x = spark.createDataFrame([(n,) for n in file_names(spark, folder)], "f string")
+    x = spark.createDataFrame(pd.DataFrame({"f": file_names(spark, folder)}, dtype=object), "f string")
     kind = F.regexp_extract("f", r"\.(adj\.bin|adj\.index\.bin|node_ids\.tsv)$", 1)
     y = x.select(kind.alias("kind"), F.regexp_replace("f", r"\.(adj\.bin|adj\.index\.bin|node_ids\.tsv)$", "").alias("prefix")).filter("kind <> ''")
     return y.groupBy("prefix").agg(F.countDistinct("kind").alias("n")).filter("n = 3").select("prefix").orderBy("prefix")
